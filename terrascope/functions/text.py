@@ -43,33 +43,11 @@ def fold_table() -> tuple[str, str]:
     return "".join(source + _MARKS), "".join(target)
 
 
-@lru_cache(maxsize=1)
-def _word_class() -> str:
-    """Regex class of the characters that become a letter (or vanish) when folded, as code point runs.
-
-    Upper case is included only to make the runs longer: the input is lower case.
-    """
-    source, target = fold_table()
-    points = sorted(ord(s) for s, t in zip(source, target) if t.isascii() and t.isalpha())
-    points += range(0x300, 0x370)
-    runs: list[list[int]] = []
-    for cp in points:
-        if runs and cp == runs[-1][1] + 1:
-            runs[-1][1] = cp
-        else:
-            runs.append([cp, cp])
-    return "[a-z" + "".join(f"\\u{lo:04x}-\\u{hi:04x}" for lo, hi in runs) + "]"
-
-
-def _translate(c: Column) -> Column:
-    source, target = fold_table()
-    # text without multi-byte characters has nothing to fold
-    return F.when(F.octet_length(c) > F.length(c), F.translate(c, source, target)).otherwise(c)
-
-
 def fold_accents(c: Column) -> Column:
-    """Lower case without diacritics."""
-    return _translate(F.lower(c))
+    """Lower case without diacritics. Text without multi-byte characters has nothing to fold."""
+    source, target = fold_table()
+    low = F.lower(c)
+    return F.when(F.octet_length(c) > F.length(c), F.translate(low, source, target)).otherwise(low)
 
 
 def tokens(c: Column, min_length: int = 1) -> Column:
@@ -77,15 +55,6 @@ def tokens(c: Column, min_length: int = 1) -> Column:
     return F.regexp_extract_all(fold_accents(c), F.lit(f"[a-z]{{{min_length},}}"), F.lit(0))
 
 
-def raw_words(c: Column) -> Column:
-    """Words before folding: cut first, so that only the few accented words need folding."""
-    return F.regexp_extract_all(F.lower(c), F.lit(_word_class() + "+"), F.lit(0))
-
-
-def fold_word(c: Column) -> Column:
-    return _translate(c)
-
-
 def score_words(words: Column) -> Column:
     """(positive - negative) / total * 10 clamped to [-1, 1], before rounding; 0 without words."""
     total = F.size(words)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.codes import code_number, code_text
 from ..functions.metrics import density, gdp_per_capita
 from .sales import given
 
@@ -78,28 +79,32 @@ def swap_layer(parents: DataFrame, children: DataFrame, parent_codes: DataFrame,
 
 
 def _tiles(low: str, high: str, size: float) -> Column:
-    def tile(c):
-        return F.floor(F.col(c) / F.lit(size)).cast("int")
-
-    return F.explode(F.sequence(tile(low), tile(high)))
+    """Tiles from `low` up to but not including `high`: no point on the upper border of a box is inside it."""
+    first = F.floor(F.col(low) / F.lit(size)).cast("int")
+    last = (F.ceil(F.col(high) / F.lit(size)) - 1).cast("int")
+    return F.explode(F.sequence(first, F.greatest(first, last)))
 
 
 def tag_points(
-    points: DataFrame, b: DataFrame, order: str = "geographic_code", tile: float = TILE_DEGREES
+    points: DataFrame, b: DataFrame, position: str | None = None, tile: float = TILE_DEGREES
 ) -> DataFrame:
-    """(id, code): the first feature, by `order`, whose outer ring holds the point; points outside are left out.
+    """(id, code): the first feature whose outer ring holds the point; points outside are left out.
+
+    First means the lowest number in the column `position`, unique per feature, or else the lowest code.
 
     Every ring is listed in the map tiles its box touches, a point lies in one tile, so candidates meet in an
     equi-join that Spark may broadcast when small or split when a tile is crowded. The box test comes before
     the even-odd test; holes are ignored. Point ids must be unique.
     """
+    rank = F.col(position).cast("bigint") if position else code_number(F.col("geographic_code"))
     rings = (
         parse_geometry(b)
-        .select(F.col("geographic_code").alias("code"), F.col(order).alias("_order"), F.explode("parts").alias("_part"))
-        .select("code", "_order", G.ring_edges(G.outer_ring(F.col("_part"))).alias("_edges"),
+        .filter(F.col("geographic_code") != "")
+        .select(rank.alias("_rank"), F.explode("parts").alias("_part"))
+        .select("_rank", G.ring_edges(G.outer_ring(F.col("_part"))).alias("_edges"),
                 G.bbox(F.array(F.array(G.outer_ring(F.col("_part"))))).alias("_box"))
-        .select("code", "_order", "_edges", "_box.*")
-        .filter(F.col("code").isNotNull() & (F.col("code") != "") & F.col("min_x").isNotNull())
+        .select("_rank", "_edges", "_box.*")
+        .filter(F.col("min_x").isNotNull())
         .withColumn("_tx", _tiles("min_x", "max_x", tile))
         .withColumn("_ty", _tiles("min_y", "max_y", tile))
     )
@@ -114,7 +119,11 @@ def tag_points(
     hits = located.join(rings, ["_tx", "_ty"]).filter(
         in_box & G.inside_edges(F.col("longitude"), F.col("latitude"), F.col("_edges"))
     )
-    return hits.groupBy("id").agg(F.min_by("code", "_order").alias("code"))
+    first = hits.groupBy("id").agg(F.min("_rank").alias("_rank"))
+    if not position:
+        return first.select("id", code_text(F.col("_rank")).alias("code"))
+    names = b.select(F.col(position).cast("bigint").alias("_rank"), F.col("geographic_code").alias("code"))
+    return first.join(names, "_rank").select("id", "code")
 
 
 # --- map metrics ----------------------------------------------------------------------------------------------

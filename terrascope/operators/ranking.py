@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,30 +13,28 @@ from ..session import checkpointed
 
 
 
+# 2^25 cents: a decimal(15,2) amount has at most 2^25 such buckets, and a bucket at most 2^25 amounts
+_WIDTH = Decimal("335544.32")
+
+
 def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Element n/2 (from 0) of the sorted non-NULL decimal(15,2) values of every group, as `median`.
 
-    Values are first counted per (group, value), which combines map-side. The rank is then located by digit
-    groups: which 10^8 bucket holds it, which 10^3 bucket inside that one, which amount inside that. A window
-    only ever sees the at most 100 000 buckets of one level, however many rows a group has.
+    Values are first counted per (group, value), which combines map-side and spreads a large group over all
+    tasks. Then the bucket that holds the middle is found, and the middle inside that bucket. The windows only
+    see bucket counts, at most 2^25 per group however many rows it has.
     """
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("decimal(15,2)").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns({"_hi": F.floor(F.col("_v") / 10**8), "_mid": F.floor(F.col("_v") / 10**3)})
+        .withColumn("_hi", F.floor(F.col("_v") / F.lit(_WIDTH)))
     )
-
-    top = counted.groupBy(*keys, "_hi").agg(F.sum("_n").alias("_n"))
-    total = F.sum("_n").over(W.partitionBy(*keys))
-    wanted = F.floor(total / 2).cast("bigint") + 1
-    found = _bucket(top.withColumn("_rank", wanted), keys, "_hi")
-
-    middle = _inside(counted, found, keys, "_hi").groupBy(*keys, "_mid", "_rank").agg(F.sum("_n").alias("_n"))
-    found = _bucket(middle, keys, "_mid")
-
-    bottom = _inside(counted, found, keys, "_mid").select(*keys, "_v", "_rank", "_n")
-    return _bucket(bottom, keys, "_v").select(*keys, F.col("_v").alias("median"))
+    buckets = counted.groupBy(*keys, "_hi").agg(F.sum("_n").alias("_n"))
+    middle = F.floor(F.sum("_n").over(W.partitionBy(*keys)) / 2).cast("bigint") + 1
+    found = _bucket(buckets.withColumn("_rank", middle), keys, "_hi")
+    inside = _inside(counted, found, keys, "_hi")
+    return _bucket(inside, keys, "_v").select(*keys, F.col("_v").alias("median"))
 
 
 def _bucket(levels: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:

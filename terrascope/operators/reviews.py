@@ -36,12 +36,8 @@ def score_reviews(reviews: DataFrame) -> DataFrame:
 
 def word_frequencies(reviews: DataFrame, city: str | None = None) -> DataFrame:
     """Words of at least four letters per city. Counts combine before the shuffle, so hot cities stay cheap."""
-    words = (
-        _of_city(reviews, city)
-        .select("city_insee_code", F.explode(X.raw_words(F.col("content"))).alias("_raw"))
-        .filter(F.length("_raw") >= X.MIN_CLOUD_LENGTH)
-        .select("city_insee_code", X.fold_word(F.col("_raw")).alias("word"))
-        .filter(F.length("word") >= X.MIN_CLOUD_LENGTH)
+    words = _of_city(reviews, city).select(
+        "city_insee_code", F.explode(X.tokens(F.col("content"), X.MIN_CLOUD_LENGTH)).alias("word")
     )
     return words.groupBy("city_insee_code", "word").agg(F.count(F.lit(1)).alias("n"))
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codes import code_number, code_text
 from ..functions.metrics import GRID_STEP, grid_cell, price_per_sqm
 from .paging import PAGE_SIZE, page
 from .ranking import upper_median
@@ -142,9 +143,10 @@ def dedup_mutations(tx: DataFrame, year: int | None = None) -> DataFrame:
         .agg(
             F.max("property_value").alias("price"),
             F.sum(F.when(home & plausible, F.col("built_surface"))).alias("surface"),
-            F.max(F.when(home, F.col("city_insee_code"))).alias("city_insee_code"),
+            F.max(F.when(home, code_number(F.col("city_insee_code")))).alias("_code"),
         )
-        .filter(F.col("surface").isNotNull() & F.col("city_insee_code").isNotNull())
+        .filter(F.col("surface").isNotNull() & F.col("_code").isNotNull())
+        .select("mutation_id", "year", "price", "surface", code_text(F.col("_code")).alias("city_insee_code"))
     )
 
 

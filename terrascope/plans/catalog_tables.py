@@ -29,30 +29,42 @@ NOW = dt.datetime(2024, 1, 1)
 # --- files ----------------------------------------------------------------------------------------------------
 
 
-def _write_csv(df, name, sep=",", **options):
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("header", True).option("sep", sep).option("escape", '"').options(**options).csv(path)
-    return path
+_INPUTS: dict[tuple, str] = {}
+
+
+def _input(spark, sf, name, write) -> str:
+    """Path of an input file set, written once per session and data set."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _INPUTS:
+        path = fresh_path(spark, name)
+        write(path)
+        _INPUTS[key] = path
+    return _INPUTS[key]
+
 
+def _write_csv(spark, sf, name, make, sep=",", **options):
+    def write(path):
+        make().write.option("header", True).option("sep", sep).option("escape", '"').options(**options).csv(path)
 
-def _write_lines(lines, header, name, **options):
+    return _input(spark, sf, name, write)
+
+
+def _write_lines(spark, sf, name, make, header, **options):
     """Ready-made lines under a header line in each file."""
-    path = fresh_path(lines.sparkSession, name)
-    one = lines.toDF(header)
-    one.write.option("header", True).option("sep", "\u0001").option("quote", "\u0000").options(**options).csv(path)
-    return path
+    def write(path):
+        lines = make().toDF(header).write.option("header", True).options(**options)
+        lines.option("sep", "\u0001").option("quote", "\u0000").csv(path)
 
+    return _input(spark, sf, name, write)
 
-def _write_json(df, name):
-    path = fresh_path(df.sparkSession, name)
-    df.write.json(path)
-    return path
 
+def _write_json(spark, sf, name, make):
+    return _input(spark, sf, name, lambda path: make().write.json(path))
 
-def _write_parquet(df, name, *partition):
-    path = fresh_path(df.sparkSession, name)
-    df.write.partitionBy(*partition).parquet(path)
-    return path
+
+def _write_parquet(spark, sf, name, make=None):
+    """A view, or what `make` gives, as a Parquet table."""
+    return _input(spark, sf, name, lambda path: (make() if make else view(spark, sf, name)).write.parquet(path))
 
 
 def _sales_lines(spark, sf):
@@ -83,7 +95,7 @@ _IMPORT_SQL = f"SELECT {_IMPORT_SELECT} FROM imported WHERE {_KEPT} AND year = {
     SELECT code_commune AS insee_code, TRY_CAST(valeur_fonciere AS DOUBLE) AS price,
       TRY_CAST(surface_reelle_bati AS DOUBLE) AS surface, date_mutation AS date FROM sales_csv""")
 def _(spark, sf):
-    return sources.scan_sales_csv(spark, _write_csv(view(spark, sf, "sales_csv"), "sales-csv"))
+    return sources.scan_sales_csv(spark, _write_csv(spark, sf, "sales-csv", lambda: view(spark, sf, "sales_csv")))
 
 
 @query("clean_sales", ["imported"], f"SELECT {_IMPORT_SELECT} FROM imported")
@@ -93,13 +105,13 @@ def _(spark, sf):
 
 @query("import_sales", ["imported"], _IMPORT_SQL)
 def _(spark, sf):
-    path = _write_lines(_sales_lines(spark, sf), _HEADER, "sales")
+    path = _write_lines(spark, sf, "sales", lambda: _sales_lines(spark, sf), _HEADER)
     return plain(sources.import_sales(spark, path, YEAR, view(spark, sf, "cities")).select(_IMPORT_COLUMNS))
 
 
 @query("import_sales_gzip", ["imported"], _IMPORT_SQL)
 def _(spark, sf):
-    path = _write_lines(_sales_lines(spark, sf), _HEADER, "sales-gz", compression="gzip")
+    path = _write_lines(spark, sf, "sales-gz", lambda: _sales_lines(spark, sf), _HEADER, compression="gzip")
     rows = sources.import_sales(spark, f"{path}/*.csv.gz", YEAR, view(spark, sf, "cities"))
     return plain(rows.select(_IMPORT_COLUMNS))
 
@@ -127,18 +139,22 @@ def write_archives(lines, header: str, folder: str) -> None:
 
 @query("import_sales_zip", ["imported"], _IMPORT_SQL)
 def _(spark, sf):
-    folder = fresh_path(spark, "sales-zip")
-    write_archives(_sales_lines(spark, sf), _HEADER, folder)
+    folder = _input(spark, sf, "sales-zip", lambda path: write_archives(_sales_lines(spark, sf), _HEADER, path))
     rows = sources.import_sales_zip(spark, folder, YEAR, view(spark, sf, "cities"))
     return plain(rows.select(_IMPORT_COLUMNS))
 
 
+def _indicator_file(spark, sf):
+    return _write_lines(
+        spark, sf, "indicators-csv", lambda: view(spark, sf, "raw_indicators").select("line"),
+        "code,year,value,label,unit")
+
+
 @query("import_audit", ["raw_indicators"], """
     SELECT CAST(count_if(value IS NOT NULL AND label IS NOT NULL) AS BIGINT) AS accepted,
       CAST(count_if(value IS NULL OR label IS NULL) AS BIGINT) AS skipped FROM raw_indicators""")
 def _(spark, sf):
-    path = _write_lines(view(spark, sf, "raw_indicators").select("line"), "code,year,value,label,unit", "ind")
-    return S.import_audit(sources.parse_indicators(spark, path, "ECONOMY"))
+    return S.import_audit(sources.parse_indicators(spark, _indicator_file(spark, sf), "ECONOMY"))
 
 
 _INDICATOR_SQL = """
@@ -151,8 +167,7 @@ def _register_import(category: str) -> None:
 
     @query(name, ["raw_indicators"], _INDICATOR_SQL.format(category=category))
     def _(spark, sf):
-        path = _write_lines(view(spark, sf, "raw_indicators").select("line"), "code,year,value,label,unit", "ind")
-        return sources.import_indicators(spark, path, category)
+        return sources.import_indicators(spark, _indicator_file(spark, sf), category)
 
 
 for _category in ("ECONOMY", "EDUCATION", "ENVIRONMENT", "INFRASTRUCTURE"):
@@ -160,10 +175,13 @@ for _category in ("ECONOMY", "EDUCATION", "ENVIRONMENT", "INFRASTRUCTURE"):
 
 
 def _energy_file(spark, sf, files=None):
-    rows = view(spark, sf, "energy").select(
-        F.col("code_insee").alias("code_insee_ban"), F.col("label").alias("etiquette_dpe"),
-        F.lit("B").alias("etiquette_ges"), F.lit("1990").alias("annee_construction"))
-    return _write_csv(rows.repartition(files) if files else rows, "energy")
+    def make():
+        rows = view(spark, sf, "energy").select(
+            F.col("code_insee").alias("code_insee_ban"), F.col("label").alias("etiquette_dpe"),
+            F.lit("B").alias("etiquette_ges"), F.lit("1990").alias("annee_construction"))
+        return rows.repartition(files) if files else rows
+
+    return _write_csv(spark, sf, f"energy-{files or 'one'}", make)
 
 
 _ENERGY_SCAN = "SELECT code_insee, label, 'B' AS ges_label, 1990 AS year FROM energy WHERE label <> ''"
@@ -180,9 +198,9 @@ def _(spark, sf):
 
 
 def _health_file(spark, sf):
-    raw = view(spark, sf, "health")
     given = {0: F.col("year"), 1: F.col("pathology"), 8: F.col("dept"), 11: F.col("prevalence")}
-    return _write_csv(raw.select(*[given.get(i, F.lit("x")).alias(f"h{i}") for i in range(12)]), "health", sep=";")
+    fields = [given.get(i, F.lit("x")).alias(f"h{i}") for i in range(12)]
+    return _write_csv(spark, sf, "health", lambda: view(spark, sf, "health").select(*fields), sep=";")
 
 
 @query("scan_health", ["health"], """
@@ -196,15 +214,18 @@ def _(spark, sf):
 
 
 def _regions_feed(spark, sf):
-    named = view(spark, sf, "regions").select("code", F.col("name").alias("nom"))
-    unnamed = view(spark, sf, "departments").select(F.lit(" ").alias("code"), F.col("name").alias("nom"))
-    return _write_json(named.unionByName(unnamed), "regions")
+    def make():
+        named = view(spark, sf, "regions").select("code", F.col("name").alias("nom"))
+        unnamed = view(spark, sf, "departments").select(F.lit(" ").alias("code"), F.col("name").alias("nom"))
+        return named.unionByName(unnamed)
+
+    return _write_json(spark, sf, "regions-json", make)
 
 
 def _departments_feed(spark, sf):
     region = F.when(F.col("code").cast("int") % 5 == 4, F.lit("99")).otherwise(F.col("region_code"))
-    return _write_json(
-        view(spark, sf, "departments").select("code", F.col("name").alias("nom"), region.alias("codeRegion")), "depts")
+    columns = ["code", F.col("name").alias("nom"), region.alias("codeRegion")]
+    return _write_json(spark, sf, "departments-json", lambda: view(spark, sf, "departments").select(*columns))
 
 
 def _communes_feed(spark, sf):
@@ -212,10 +233,11 @@ def _communes_feed(spark, sf):
     point = F.when(F.col("longitude").isNull(), F.array(F.lit(1.0))).otherwise(full)
     postal = F.when(F.col("postal_code").isNull(), F.array().cast("array<string>")).otherwise(
         F.array(F.col("postal_code"), F.lit("00000")))
-    return _write_json(view(spark, sf, "communes_feed").select(
+    columns = [
         "code", "nom", postal.alias("codesPostaux"), F.col("department_code").alias("codeDepartement"), "population",
         F.col("area").alias("surface"),
-        F.struct(F.lit("Point").alias("type"), point.alias("coordinates")).alias("centre")), "communes")
+        F.struct(F.lit("Point").alias("type"), point.alias("coordinates")).alias("centre")]
+    return _write_json(spark, sf, "communes-json", lambda: view(spark, sf, "communes_feed").select(*columns))
 
 
 @query("scan_regions_json", ["regions"], "SELECT * FROM regions")
@@ -240,21 +262,19 @@ def _(spark, sf):
         spark, _communes_feed(spark, sf), view(spark, sf, "departments"), multi_line=False)
 
 
-def _collections(rows, properties, name):
+def _collections(spark, sf, name, rows, properties):
     """One FeatureCollection document per line."""
     feature = F.concat(
         F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","properties":'), properties,
         F.lit(',"geometry":'), F.col("geometry"), F.lit("}]}"))
-    path = fresh_path(rows.sparkSession, name)
-    rows.select(feature.alias("value")).write.text(path)
-    return path
+    return _input(spark, sf, name, lambda path: rows.select(feature.alias("value")).write.text(path))
 
 
 @query("scan_boundaries", ["city_boundaries"], "SELECT * FROM city_boundaries WHERE CAST(geographic_code AS INT) % 9 <> 0")
 def _(spark, sf):
     name = F.when(F.col("geographic_code").cast("int") % 9 == 0, F.lit(" ")).otherwise(F.col("name"))
     properties = F.to_json(F.struct(F.col("geographic_code").alias("code"), name.alias("nom")))
-    path = _collections(view(spark, sf, "city_boundaries"), properties, "boundaries")
+    path = _collections(spark, sf, "boundaries", view(spark, sf, "city_boundaries"), properties)
     return sources.scan_boundaries(spark, path, "CITY", multi_line=False)
 
 
@@ -273,7 +293,7 @@ def _(spark, sf):
         F.col("iso_a3").alias("ISO_A3"), F.col("iso_a3_eh").alias("ISO_A3_EH"), F.col("adm0_a3").alias("ADM0_A3"),
         F.col("name").alias("NAME"), F.col("population").alias("POP_EST"), F.col("gdp_md").alias("GDP_MD"),
         F.lit("x").alias("WIKIDATAID")))
-    path = _collections(rows.withColumn("geometry", geometry), properties, "countries")
+    path = _collections(spark, sf, "countries", rows.withColumn("geometry", geometry), properties)
     layer = sources.scan_countries(spark, path, multi_line=False)
     return plain(layer.select("code", "iso_a3", "name", "population", "gdp", "area"), "area", digits=5)
 
@@ -290,7 +310,7 @@ def _(spark, sf):
 
 @query("scan_city_mapping", ["cities"], "SELECT insee_code, department_code FROM cities")
 def _(spark, sf):
-    return sources.scan_city_mapping(spark, _write_parquet(view(spark, sf, "cities"), "cities"))
+    return sources.scan_city_mapping(spark, _write_parquet(spark, sf, "cities"))
 
 
 @query("scan_geocodes", ["geocodes"], """
@@ -298,11 +318,12 @@ def _(spark, sf):
       score FROM geocodes WHERE CAST(id AS BIGINT) % 17 <> 0""")
 def _(spark, sf):
     key = F.col("id").cast("bigint")
-    rows = view(spark, sf, "geocodes").select(
+    columns = [
         F.when(key % 17 == 0, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id")).alias("id"),
         F.when(key % 19 == 0, F.lit("n/a")).otherwise(F.col("latitude").cast("string")).alias("latitude"),
-        "longitude", F.col("score").alias("result_score"))
-    return sources.scan_geocodes(spark, _write_csv(rows, "geocodes", sep=";"))
+        "longitude", F.col("score").alias("result_score")]
+    path = _write_csv(spark, sf, "geocodes", lambda: view(spark, sf, "geocodes").select(*columns), sep=";")
+    return sources.scan_geocodes(spark, path)
 
 
 # --- table maintenance ----------------------------------------------------------------------------------------
@@ -441,8 +462,8 @@ def _(spark, sf):
 
 def _aggregate_paths(spark, sf):
     return {
-        "sales": _write_csv(view(spark, sf, "sales_csv"), "sales-csv"),
-        "cities": _write_parquet(view(spark, sf, "cities"), "cities"),
+        "sales": _write_csv(spark, sf, "sales-csv", lambda: view(spark, sf, "sales_csv")),
+        "cities": _write_parquet(spark, sf, "cities"),
         "dept_stats": fresh_path(spark, "dept-stats"),
     }
 
@@ -472,8 +493,8 @@ _YEAR_STATS = f"""
 @query("job_import_year", ["imported"], _YEAR_STATS)
 def _(spark, sf):
     paths = {
-        "sales": _write_lines(_sales_lines(spark, sf), _HEADER, "sales"),
-        "cities": _write_parquet(view(spark, sf, "cities"), "cities"),
+        "sales": _write_lines(spark, sf, "sales", lambda: _sales_lines(spark, sf), _HEADER),
+        "cities": _write_parquet(spark, sf, "cities"),
         "transactions": fresh_path(spark, "transactions"),
         "city_stats": fresh_path(spark, "city-stats"),
     }
@@ -499,9 +520,12 @@ def _(spark, sf):
     nowhere = {"latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")}
     half = departments.filter("CAST(code AS INT) % 5 < 2").withColumn("name", F.lit("old"))
     paths = {
-        "regions": _write_parquet(regions.filter("code < '2'").withColumns({"name": F.lit("old"), **unknown}), "regions"),
-        "departments": _write_parquet(half.withColumns(unknown), "departments"),
-        "cities": _write_parquet(cities.filter("population % 2 = 0").withColumns(nowhere), "cities"),
+        "regions": _write_parquet(
+            spark, sf, "known-regions",
+            lambda: regions.filter("code < '2'").withColumns({"name": F.lit("old"), **unknown})),
+        "departments": _write_parquet(spark, sf, "known-departments", lambda: half.withColumns(unknown)),
+        "cities": _write_parquet(
+            spark, sf, "known-cities", lambda: cities.filter("population % 2 = 0").withColumns(nowhere)),
         "regions_json": _regions_feed(spark, sf),
         "departments_json": _departments_feed(spark, sf),
         "communes_json": _communes_feed(spark, sf),
@@ -546,8 +570,8 @@ def _(spark, sf):
         **_aggregate_paths(spark, sf),
         "transactions": _table(spark, sf),
         "city_stats": fresh_path(spark, "city-stats"),
-        "regions": _write_parquet(view(spark, sf, "regions"), "regions"),
-        "departments": _write_parquet(view(spark, sf, "departments"), "departments"),
+        "regions": _write_parquet(spark, sf, "regions"),
+        "departments": _write_parquet(spark, sf, "departments"),
     }
     done = jobs.job_recompute_stats(spark, paths, NOW)
 

@@ -6,9 +6,12 @@ the check side gets the same text as common table expressions.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import NEGATIVE_WORDS, POSITIVE_WORDS
+from ..sources.layout import spread_if_narrow
 
 TABLES = ("region", "nation", "customer", "orders", "lineitem", "events", "documents")
 
@@ -294,11 +297,22 @@ def _base(name: str) -> set[str]:
     return set().union(*[_base(source) for source in VIEWS[name][0]])
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Temporary view over one driver table; its files are listed once per session."""
+    path = f"{sf_dir}/{name}.parquet"
+    alias = f"terrascope_{name}_{zlib.crc32(path.encode()):08x}"
+    if not spark.catalog.tableExists(alias):
+        rows = spark.read.parquet(path)
+        # long texts are costly per row
+        (spread_if_narrow(rows) if name == "documents" else rows).createOrReplaceTempView(alias)
+    return alias
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view as a DataFrame over the Parquet files of `sf_dir`."""
-    files = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in sorted(_base(name))]
+    tables = [f"{t} AS (SELECT * FROM {_table(spark, sf_dir, t)})" for t in sorted(_base(name))]
     inner = [f"{n} AS ({VIEWS[n][1].strip()})" for n in _needed([name])]
-    return spark.sql("WITH " + ",\n".join(files + inner) + f"\nSELECT * FROM {name}")
+    return spark.sql("WITH " + ",\n".join(tables + inner) + f"\nSELECT * FROM {name}")
 
 
 def over(spark: SparkSession, name: str, **sources: DataFrame) -> DataFrame:

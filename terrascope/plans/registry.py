@@ -25,9 +25,10 @@ def query(name: str, views: Iterable[str] = (), sql: str | None = None):
     return register
 
 
-def plain(df: DataFrame, *rounded: str, digits: int = 6) -> DataFrame:
+def plain(df: DataFrame, *rounded: str, digits: int = 6, gridded: Iterable[str] = ()) -> DataFrame:
     """Types both engines print alike: money as double, dates as text, instants as microseconds; columns whose
-    value depends on the order of a floating-point sum are rounded."""
+    value depends on the order of a floating-point sum are rounded. `gridded` columns are means of quotients
+    that often end in a decimal tie, where the last bit would decide: they are cut a quarter off the grid."""
     def convert(field):
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DecimalType):
@@ -38,6 +39,8 @@ def plain(df: DataFrame, *rounded: str, digits: int = 6) -> DataFrame:
             c = F.unix_micros(c.cast("timestamp"))
         if field.name in rounded:
             c = F.round(c, digits)
+        if field.name in gridded:
+            c = F.floor(c * 10.0**digits + 0.25).cast("double") / 10.0**digits
         return c.alias(field.name)
 
     return df.select(*[convert(f) for f in df.schema.fields])

@@ -47,10 +47,3 @@ def parse_positional(lines: DataFrame, width: int, min_fields: int, sep: str = "
     """The same over a frame with one `line` column."""
     parsed = lines.select(F.from_csv("line", positional_schema(width), csv_options(sep)).alias("r")).select("r.*")
     return parsed.filter(enough_fields(F.col(_MALFORMED), sep, min_fields)).drop(_MALFORMED)
-
-
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Compressed files cannot be split: when they are fewer than the task slots, spread their rows."""
-    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-        return df.hint("rebalance")
-    return df

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from .delimited import parse_positional, read_positional, spread_if_narrow
+from .delimited import parse_positional, read_positional
+from .layout import spread_if_narrow
 
 # Width of the sales file and the positions that are read.
 SALES_WIDTH = 40
