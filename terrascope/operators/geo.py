@@ -184,8 +184,9 @@ def metric_ratio(metric_df: DataFrame) -> DataFrame:
 
 def choropleth_classes(metric_df: DataFrame, n: int = CLASSES) -> DataFrame:
     """Equal-width class 0..n-1 of every usable value."""
-    cls = F.least(F.lit(n - 1).cast("bigint"), F.floor(F.col("ratio") * n)).cast("int")
-    return metric_ratio(metric_df).withColumn("class", cls)
+    highest = F.least(F.lit(n - 1).cast("bigint"), F.floor(F.col("ratio") * n)).cast("int")
+    # least() passes over NULL
+    return metric_ratio(metric_df).withColumn("class", F.when(F.col("ratio").isNotNull(), highest))
 
 
 def heat_weights(points: DataFrame) -> DataFrame:

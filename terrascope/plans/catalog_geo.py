@@ -142,7 +142,8 @@ for _metric in G.MAP_METRICS:
 
 
 @query("choropleth_classes", ["city_class"], """
-    SELECT code, value, ratio, CAST(least(6, floor(ratio * 7)) AS INT) AS class FROM city_class""")
+    SELECT code, value, ratio, CASE WHEN ratio IS NOT NULL
+      THEN CAST(least(6, floor(ratio * 7)) AS INT) END AS class FROM city_class""")
 def _(spark, sf):
     return G.choropleth_classes(city_metric(spark, sf))
 
