@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import density, gdp_per_capita, ha_to_km2
+from ..sources.layers import union_layers
 from .paging import PAGE_SIZE, page
 from .sales import given
 
@@ -93,17 +94,24 @@ def search_places(
 
 
 def hierarchy(regions: DataFrame, departments: DataFrame, cities: DataFrame, stats: DataFrame) -> DataFrame:
-    """Region, department, commune and statistics side by side; empty parents are kept."""
+    """Region, department, commune and statistics side by side; empty parents are kept.
+
+    The large side is always the one that streams: communes look up their parents, and the parents that no
+    commune has named are added. Joined from the top, a department of many communes could not be split.
+    """
     r = regions.select(F.col("code").alias("region_code"), F.col("name").alias("region_name"))
     d = departments.select(
         F.col("code").alias("department_code"), F.col("name").alias("department_name"), "region_code"
-    )
+    ).join(r, "region_code")
     c = cities.select("insee_code", F.col("name").alias("city_name"), "department_code")
     s = stats.select("insee_code", "year", *_SUMS)
-    return (
-        r.join(d, "region_code", "left").join(c, "department_code", "left").join(s, "insee_code", "left")
-    ).select("region_code", "region_name", "department_code", "department_name", "insee_code", "city_name",
-             "year", *_SUMS)
+    placed = c.join(d, "department_code").join(s, "insee_code", "left")
+    no_cities = d.join(c.select("department_code").distinct(), "department_code", "left_anti")
+    no_departments = r.join(d.select("region_code").distinct(), "region_code", "left_anti")
+    rows = union_layers(placed, no_cities, no_departments)
+    return rows.select(
+        "region_code", "region_name", "department_code", "department_name", "insee_code", "city_name", "year", *_SUMS
+    )
 
 
 def _sums(rows: DataFrame, *keys: str) -> DataFrame:

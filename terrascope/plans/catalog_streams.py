@@ -9,7 +9,7 @@ from ..session import fresh_path
 from ..sinks import overwrite_years
 from .catalog_tables import GEOCODED_SQL, NOW
 from .fixtures import over, view
-from .registry import plain, query
+from .registry import micros, plain, query
 
 
 def _events(spark, sf):
@@ -28,7 +28,7 @@ def _job_payloads(spark, sf):
 
 def _vital_payloads(spark, sf):
     vitals = over(spark, "web_vitals", events=_events(spark, sf))
-    text = F.to_json(F.struct("name", "value", "id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts")))
+    text = F.to_json(F.struct("name", "value", "id", F.floor(micros(F.col("ts")) / 1000).alias("ts")))
     return vitals.select(F.when(F.col("event_id") % 47 == 0, F.lit("not json")).otherwise(text).alias("value"))
 
 

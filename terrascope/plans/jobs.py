@@ -75,11 +75,13 @@ def job_health(spark: SparkSession, path: str, target: str) -> DataFrame:
 def job_recompute_stats(spark: SparkSession, paths: dict, now: dt.datetime) -> dict[str, DataFrame]:
     """Commune statistics of every year in one pass, then the rollups and the department aggregate."""
     tx = spark.read.parquet(paths["transactions"])
-    stats = S.city_year_stats(tx).withColumn("updated_at", F.lit(now))
-    stats.hint("rebalance", "year").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-        "year"
-    ).parquet(paths["city_stats"])
+    sinks.overwrite_years(S.city_year_stats(tx).withColumn("updated_at", F.lit(now)), paths["city_stats"])
     fresh = spark.read.parquet(paths["city_stats"])
+    # years left from earlier runs that no longer have sales; the year list is one row per partition
+    gone = fresh.select("year").distinct().join(tx.select("year").distinct(), "year", "left_anti").limit(100)
+    for row in gone.collect():
+        sinks.truncate_year(spark, paths["city_stats"], row["year"])
+        fresh = spark.read.parquet(paths["city_stats"])
     regions, departments, cities = (spark.read.parquet(paths[n]) for n in ("regions", "departments", "cities"))
     return {
         "regions": H.region_stats(regions, departments, cities, fresh),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,12 @@ def query(name: str, views: Iterable[str] = (), sql: str | None = None):
     return register
 
 
+def micros(c: Column) -> Column:
+    """Microseconds since 1970 on the wall clock, whatever the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, c.cast("timestamp_ntz"))
+
+
 def plain(df: DataFrame, *rounded: str, digits: int = 6, gridded: Iterable[str] = ()) -> DataFrame:
     """Types both engines print alike: money as double, dates as text, instants as microseconds; columns whose
     value depends on the order of a floating-point sum are rounded. `gridded` columns are means of quotients
@@ -36,7 +42,7 @@ def plain(df: DataFrame, *rounded: str, digits: int = 6, gridded: Iterable[str]
         elif isinstance(field.dataType, T.DateType):
             c = c.cast("string")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.unix_micros(c.cast("timestamp"))
+            c = micros(c)
         if field.name in rounded:
             c = F.round(c, digits)
         if field.name in gridded:
