@@ -50,7 +50,8 @@ def _bucket(levels: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
 def _inside(counted: DataFrame, found: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
     names = [*keys, bucket]
     right = found.select(*[F.col(n).alias(f"_r_{n}") for n in names], "_rank")
-    same = [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in keys] + [F.col(bucket) == F.col(f"_r_{bucket}")]
+    # a plain equality would push a not-NULL test into this scan only, and Spark could not reuse the counts
+    same = [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names]
     return counted.join(right, same).drop(*[f"_r_{n}" for n in names])
 
 

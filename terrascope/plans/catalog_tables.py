@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import io
-import uuid
 import zipfile
 
 import pandas as pd
@@ -15,7 +15,7 @@ from ..operators import geo as G
 from ..operators import hierarchy as H
 from ..operators import indicators as I
 from ..operators import sales as S
-from ..session import fresh_path
+from ..session import fresh_path, qualified
 from . import jobs
 from .catalog_sales import DEPARTMENT_STATS_SQL, DEPT_STATS_SQL, REGION_STATS_SQL
 from .catalog_text import ENERGY_SQL, HEALTH_SQL, energy_rows, health_rows, scored_reviews
@@ -116,8 +116,10 @@ def _(spark, sf):
     return plain(rows.select(_IMPORT_COLUMNS))
 
 
-def write_archives(lines, header: str, folder: str) -> None:
+def write_archives(lines, header: str, path: str) -> None:
     """Zip archives of two CSV entries, one archive per Arrow batch, written by the tasks."""
+    folder = qualified(lines.sparkSession, path)
+
     def pack(frames):
         from pyarrow import fs
 
@@ -130,7 +132,7 @@ def write_archives(lines, header: str, folder: str) -> None:
                 for name, part in (("a.csv", frame["line"][:half]), ("b.csv", frame["line"][half:])):
                     archive.writestr(name, "\n".join([header, *part]) + "\n")
                 archive.writestr("readme.txt", "not a table\n")
-            with store.open_output_stream(f"{base}/{uuid.uuid5(uuid.NAMESPACE_OID, str(buffer.getvalue())).hex}.zip") as out:
+            with store.open_output_stream(f"{base}/{hashlib.md5(buffer.getvalue()).hexdigest()}.zip") as out:
                 out.write(buffer.getvalue())
             yield pd.DataFrame({"rows": [len(frame)]})
 

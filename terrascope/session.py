@@ -50,9 +50,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/terrascope/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, for libraries that do not know Spark's default one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = fs.makeQualified(target).toString()
+    return "file://" + full[len("file:"):] if full.startswith("file:/") and not full.startswith("file:///") else full
+
+
 def checkpointed(df):
     """Cut the lineage through reliable storage, so that lost executors do not change the result."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/checkpoints")
     return df.checkpoint(eager=True)

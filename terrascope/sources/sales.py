@@ -146,6 +146,6 @@ def lines_from_archives(archives: DataFrame, suffix: str = ".csv", block: int =
 
 def import_sales_zip(spark: SparkSession, path: str, year: int, cities: DataFrame) -> DataFrame:
     """Sales of one year from zip archives; each archive must stay under 2 GB, the limit of a binary value."""
-    archives = spark.read.format("binaryFile").load(path)
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     lines = spread_if_narrow(lines_from_archives(archives))
     return _finish(_named(parse_positional(lines, SALES_WIDTH, SALES_MIN_FIELDS)), year, cities)
