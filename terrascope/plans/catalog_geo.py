@@ -141,6 +141,28 @@ for _metric in G.MAP_METRICS:
     _register_metric(_metric)
 
 
+_COUNTRY = {
+    "population": "CAST(population AS DOUBLE)",
+    "density": "CASE WHEN population <> 0 THEN CAST(population AS DOUBLE) / (k + 7) END",
+    "gdp_per_capita": "CASE WHEN population <> 0 THEN gdp_md * 1000000 / CAST(population AS DOUBLE) END",
+    "average_price": "CAST(NULL AS DOUBLE)",
+}
+
+
+def _register_country(metric: str) -> None:
+    @query(f"country_metric_{metric}", ["countries"], f"""
+        SELECT adm0_a3 AS code, round({_COUNTRY[metric]}, 6) AS value FROM countries""")
+    def _(spark, sf):
+        rows = view(spark, sf, "countries").select(
+            F.col("adm0_a3").alias("code"), "population", F.col("gdp_md").alias("gdp"),
+            (F.col("k") + 7).cast("double").alias("area"))
+        return plain(G.country_metric(rows, metric), "value")
+
+
+for _metric in _COUNTRY:
+    _register_country(_metric)
+
+
 @query("choropleth_classes", ["city_class"], """
     SELECT code, value, ratio, CASE WHEN ratio IS NOT NULL
       THEN CAST(least(6, floor(ratio * 7)) AS INT) END AS class FROM city_class""")

@@ -91,6 +91,11 @@ _KEPT = "CAST(mutation_id AS BIGINT) % 41 <> 0"
 _IMPORT_SQL = f"SELECT {_IMPORT_SELECT} FROM imported WHERE {_KEPT} AND year = {YEAR}"
 
 
+def sales_file(spark, sf):
+    """The raw sales file of the data set, as plain CSV."""
+    return _write_lines(spark, sf, "sales", lambda: _sales_lines(spark, sf), _HEADER)
+
+
 @query("scan_sales_csv", ["sales_csv"], """
     SELECT code_commune AS insee_code, TRY_CAST(valeur_fonciere AS DOUBLE) AS price,
       TRY_CAST(surface_reelle_bati AS DOUBLE) AS surface, date_mutation AS date FROM sales_csv""")
@@ -105,7 +110,7 @@ def _(spark, sf):
 
 @query("import_sales", ["imported"], _IMPORT_SQL)
 def _(spark, sf):
-    path = _write_lines(spark, sf, "sales", lambda: _sales_lines(spark, sf), _HEADER)
+    path = sales_file(spark, sf)
     return plain(sources.import_sales(spark, path, YEAR, view(spark, sf, "cities")).select(_IMPORT_COLUMNS))
 
 
@@ -462,7 +467,7 @@ def _(spark, sf):
 # --- jobs -----------------------------------------------------------------------------------------------------
 
 
-def _aggregate_paths(spark, sf):
+def aggregate_paths(spark, sf):
     return {
         "sales": _write_csv(spark, sf, "sales-csv", lambda: view(spark, sf, "sales_csv")),
         "cities": _write_parquet(spark, sf, "cities"),
@@ -476,7 +481,7 @@ _JOB_DEPT_SQL = DEPT_STATS_SQL.replace(
 
 @query("job_dept_aggregate", ["tx", "cities"], _JOB_DEPT_SQL)
 def job_dept_aggregate(spark, sf):
-    return plain(jobs.job_dept_aggregate(spark, _aggregate_paths(spark, sf)), "avg_price", "avg_price_per_sqm")
+    return plain(jobs.job_dept_aggregate(spark, aggregate_paths(spark, sf)), "avg_price", "avg_price_per_sqm")
 
 
 _YEAR_STATS = f"""
@@ -495,7 +500,7 @@ _YEAR_STATS = f"""
 @query("job_import_year", ["imported"], _YEAR_STATS)
 def _(spark, sf):
     paths = {
-        "sales": _write_lines(spark, sf, "sales", lambda: _sales_lines(spark, sf), _HEADER),
+        "sales": sales_file(spark, sf),
         "cities": _write_parquet(spark, sf, "cities"),
         "transactions": fresh_path(spark, "transactions"),
         "city_stats": fresh_path(spark, "city-stats"),
@@ -569,7 +574,7 @@ def _(spark, sf):
     UNION ALL SELECT 'LOTS', department_code, transaction_count, avg_price, avg_price_per_sqm FROM a""")
 def _(spark, sf):
     paths = {
-        **_aggregate_paths(spark, sf),
+        **aggregate_paths(spark, sf),
         "transactions": _table(spark, sf),
         "city_stats": fresh_path(spark, "city-stats"),
         "regions": _write_parquet(spark, sf, "regions"),

@@ -78,7 +78,7 @@ def job_recompute_stats(spark: SparkSession, paths: dict, now: dt.datetime) -> d
     sinks.overwrite_years(S.city_year_stats(tx).withColumn("updated_at", F.lit(now)), paths["city_stats"])
     fresh = spark.read.parquet(paths["city_stats"])
     # years left from earlier runs that no longer have sales; the year list is one row per partition
-    gone = fresh.select("year").distinct().join(tx.select("year").distinct(), "year", "left_anti").limit(100)
+    gone = fresh.select("year").distinct().join(tx.select("year").distinct(), "year", "left_anti")
     for row in gone.collect():
         sinks.truncate_year(spark, paths["city_stats"], row["year"])
         fresh = spark.read.parquet(paths["city_stats"])

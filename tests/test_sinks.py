@@ -71,6 +71,13 @@ def test_city_upsert_keeps_the_department(spark):
                     "c": ("Added", "3", "02", 7, 1.0, 1.0, 1.0)}
 
 
+def test_a_key_given_twice_is_inserted_once(spark):
+    columns = "code STRING, name STRING"
+    known = spark.createDataFrame([("1", "a")], columns)
+    twice = spark.createDataFrame([("1", "b"), ("1", "c"), ("2", "x"), ("2", "x")], columns)
+    assert sorted(tuple(r) for r in sinks.upsert_names(known, twice).collect()) == [("1", "c"), ("2", "x")]
+
+
 def test_name_and_boundary_upsert(spark):
     known = spark.createDataFrame([("1", "Old", "r1", 5)], "code STRING, name STRING, region_code STRING, population BIGINT")
     new = spark.createDataFrame([("1", "New", "r2"), ("2", "Added", "r2")], "code STRING, name STRING, region_code STRING")
