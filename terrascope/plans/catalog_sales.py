@@ -354,14 +354,14 @@ def _stats_sql(source: str, keys: str) -> str:
           AS median_price,
         coalesce(CAST(min(CASE WHEN property_value > 0 THEN property_value END) AS DOUBLE), 0) AS min_price,
         coalesce(CAST(max(CASE WHEN property_value > 0 THEN property_value END) AS DOUBLE), 0) AS max_price,
-        CASE WHEN max(n) > 0 THEN floor(coalesce(avg(CASE WHEN built_surface > 0 THEN built_surface END), 0) * 1000000 + 0.25) / 1000000
+        CASE WHEN max(n) > 0 THEN floor(coalesce(avg(CASE WHEN built_surface > 0 THEN built_surface END), 0) * 1000 + 0.2718281) / 1000
           ELSE 0 END AS average_surface,
         CASE WHEN max(n) > 0 THEN floor(coalesce(avg(CASE WHEN built_surface > 0 AND property_value > 0
-          THEN CAST(property_value AS DOUBLE) / built_surface END), 0) * 1000000 + 0.25) / 1000000 ELSE 0 END AS average_price_per_sqm
+          THEN CAST(property_value AS DOUBLE) / built_surface END), 0) * 1000 + 0.2718281) / 1000 ELSE 0 END AS average_price_per_sqm
       FROM ranked {group}"""
 
 
-_ROUNDED = ("average_surface", "average_price_per_sqm")
+_MEANS = ("average_surface", "average_price_per_sqm")
 
 
 @query("transaction_stats", ["tx", "cities"], _stats_sql(
@@ -369,7 +369,7 @@ _ROUNDED = ("average_surface", "average_price_per_sqm")
         WHERE c.department_code = '{DEPT}' AND t.year = {YEAR}""", ""))
 def _(spark, sf):
     stats = S.transaction_stats(view(spark, sf, "tx"), view(spark, sf, "cities"), dept=DEPT, year=YEAR)
-    return plain(stats, gridded=_ROUNDED)
+    return plain(stats, gridded=_MEANS)
 
 
 @query("transaction_stats_of_region", ["tx", "cities", "departments"], _stats_sql(
@@ -378,12 +378,12 @@ def _(spark, sf):
 def _(spark, sf):
     stats = S.transaction_stats(
         view(spark, sf, "tx"), view(spark, sf, "cities"), region=REGION, departments=view(spark, sf, "departments"))
-    return plain(stats, gridded=_ROUNDED)
+    return plain(stats, gridded=_MEANS)
 
 
 @query("transaction_stats_by", ["tx"], _stats_sql("SELECT * FROM tx", "city_insee_code, year"))
 def _(spark, sf):
-    return plain(S.transaction_stats_by(view(spark, sf, "tx"), ["city_insee_code", "year"]), gridded=_ROUNDED)
+    return plain(S.transaction_stats_by(view(spark, sf, "tx"), ["city_insee_code", "year"]), gridded=_MEANS)
 
 
 @query("transaction_stats_by_department", ["tx", "cities"], _stats_sql(
@@ -391,7 +391,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = view(spark, sf, "tx").withColumnRenamed("city_insee_code", "insee_code")
     return plain(S.transaction_stats_by(
-        S.attach_department(rows, view(spark, sf, "cities")), ["department_code"]), gridded=_ROUNDED)
+        S.attach_department(rows, view(spark, sf, "cities")), ["department_code"]), gridded=_MEANS)
 
 
 @query("price_overview", ["tx"], f"""
@@ -429,13 +429,13 @@ def heat_sql(value: str, extra: str = "") -> str:
 
 
 @query("heat_points_average_price", ["tx"], heat_sql(
-    "floor(avg(CAST(property_value AS DOUBLE)) * 1000000 + 0.25) / 1000000"))
+    "floor(avg(CAST(property_value AS DOUBLE)) * 1000 + 0.2718281) / 1000"))
 def _(spark, sf):
     return plain(S.heat_points(view(spark, sf, "tx"), BOX, "AVERAGE_PRICE"), gridded=["value"])
 
 
 @query("heat_points_average_price_per_sqm", ["tx"], heat_sql(
-    "floor(avg(CAST(property_value AS DOUBLE) / built_surface) * 1000000 + 0.25) / 1000000", "AND built_surface > 0"))
+    "floor(avg(CAST(property_value AS DOUBLE) / built_surface) * 1000 + 0.2718281) / 1000", "AND built_surface > 0"))
 def _(spark, sf):
     return plain(S.heat_points(view(spark, sf, "tx"), BOX, "AVERAGE_PRICE_PER_SQM"), gridded=["value"])
 

@@ -432,7 +432,7 @@ def _(spark, sf):
     for _run in range(2):
         sinks.append_indicators(I.energy_distribution(energy_rows(spark, sf)), path)
         sinks.append_indicators(I.health_prevalence(health_rows(spark, sf)), path)
-    return plain(spark.read.parquet(path), "value")
+    return plain(spark.read.parquet(path), gridded=["value"])
 
 
 @query("append_reviews", ["scored"], "SELECT id, sentiment_score, sentiment_label FROM scored")
@@ -553,12 +553,12 @@ def _(spark, sf):
 
 @query("job_energy", ["energy"], ENERGY_SQL)
 def _(spark, sf):
-    return plain(jobs.job_energy(spark, _energy_file(spark, sf), fresh_path(spark, "indicators")), "value")
+    return plain(jobs.job_energy(spark, _energy_file(spark, sf), fresh_path(spark, "indicators")), gridded=["value"])
 
 
 @query("job_health", ["health"], HEALTH_SQL)
 def _(spark, sf):
-    return plain(jobs.job_health(spark, _health_file(spark, sf), fresh_path(spark, "indicators")), "value")
+    return plain(jobs.job_health(spark, _health_file(spark, sf), fresh_path(spark, "indicators")), gridded=["value"])
 
 
 @query("job_score_reviews", ["scored"], "SELECT id, sentiment_score, sentiment_label FROM scored")

@@ -82,13 +82,13 @@ def _(spark, sf):
 
 ENERGY_SQL = """
     SELECT 'CITY' AS geographic_level, e.code_insee AS geographic_code, 'ENERGY' AS category,
-      concat('DPE label ', l.label) AS label, round(count_if(e.label = l.label) * 100.0 / count(*), 6) AS value,
+      concat('DPE label ', l.label) AS label, floor(count_if(e.label = l.label) * 100.0 / count(*) * 1000 + 0.2718281) / 1000 AS value,
       '%' AS unit, CAST(NULL AS INT) AS year
     FROM energy e, (VALUES ('A'), ('B'), ('C'), ('D'), ('E'), ('F'), ('G')) AS l(label)
     WHERE e.label <> '' GROUP BY e.code_insee, l.label"""
 HEALTH_SQL = """
     SELECT 'DEPARTMENT' AS geographic_level, dept AS geographic_code, 'HEALTH' AS category,
-      concat('Pathology: ', pathology) AS label, round(avg(CAST(replace(prevalence, ',', '.') AS DOUBLE)), 6) AS value,
+      concat('Pathology: ', pathology) AS label, floor(avg(CAST(replace(prevalence, ',', '.') AS DOUBLE)) * 1000 + 0.2718281) / 1000 AS value,
       '%' AS unit, CAST(year AS INT) AS year
     FROM health WHERE trim(pathology) <> '' AND prevalence <> 'n/a' GROUP BY dept, pathology, year"""
 
@@ -109,16 +109,16 @@ def health_rows(spark, sf):
 
 @query("energy_distribution", ["energy"], ENERGY_SQL)
 def _(spark, sf):
-    return plain(I.energy_distribution(energy_rows(spark, sf)), "value")
+    return plain(I.energy_distribution(energy_rows(spark, sf)), gridded=["value"])
 
 
 @query("health_prevalence", ["health"], HEALTH_SQL)
 def _(spark, sf):
-    return plain(I.health_prevalence(health_rows(spark, sf)), "value")
+    return plain(I.health_prevalence(health_rows(spark, sf)), gridded=["value"])
 
 
 @query("indicators_for", ["health"], f"""
     WITH h AS ({HEALTH_SQL}) SELECT category, label, value, unit, year FROM h WHERE geographic_code = '03'""")
 def _(spark, sf):
     facts = I.health_prevalence(health_rows(spark, sf)).unionByName(I.energy_distribution(energy_rows(spark, sf)))
-    return plain(I.indicators_for(facts, "DEPARTMENT", "03", "HEALTH"), "value")
+    return plain(I.indicators_for(facts, "DEPARTMENT", "03", "HEALTH"), gridded=["value"])

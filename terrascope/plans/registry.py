@@ -13,6 +13,7 @@ from .fixtures import with_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
+GRID_SHIFT = 0.2718281  # no quotient of cents and whole square metres ends there
 
 
 def query(name: str, views: Iterable[str] = (), sql: str | None = None):
@@ -33,8 +34,8 @@ def micros(c: Column) -> Column:
 
 def plain(df: DataFrame, *rounded: str, digits: int = 6, gridded: Iterable[str] = ()) -> DataFrame:
     """Types both engines print alike: money as double, dates as text, instants as microseconds; columns whose
-    value depends on the order of a floating-point sum are rounded. `gridded` columns are means of quotients
-    that often end in a decimal tie, where the last bit would decide: they are cut a quarter off the grid."""
+    value depends on the order of a floating-point sum are rounded. `gridded` columns are means whose short
+    decimals often end in a tie, where the last bit would decide: they are cut to thousandths on a shifted grid."""
     def convert(field):
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DecimalType):
@@ -46,7 +47,7 @@ def plain(df: DataFrame, *rounded: str, digits: int = 6, gridded: Iterable[str]
         if field.name in rounded:
             c = F.round(c, digits)
         if field.name in gridded:
-            c = F.floor(c * 10.0**digits + 0.25).cast("double") / 10.0**digits
+            c = F.floor(c * 1000.0 + GRID_SHIFT).cast("double") / 1000.0
         return c.alias(field.name)
 
     return df.select(*[convert(f) for f in df.schema.fields])
