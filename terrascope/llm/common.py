@@ -143,16 +143,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_runs(hashed: RangeHash, limits: np.ndarray, window: int, gram: int):
-    """Runs of window starts whose least gram hash is the same: (text number, hash, first start, last start).
+    """Runs of window starts that share their first least gram: (text number, its hash, first start, last start).
 
-    Equal windows have equal least gram hashes, so a window can only repeat where its hash does. `limits` are the
-    offsets of the texts; no window crosses one.
+    Equal windows have equal least gram hashes and stand in different runs, so a window can only repeat where the hash
+    of a run does. `limits` are the offsets of the texts; no window crosses one.
     """
     n = int(limits[-1])
     if n < window:
         empty = np.empty(0, np.int64)
         return empty, np.empty(0, np.uint64), empty, empty
-    least = sliding_min(hashed.windows(gram), window - gram + 1)
+    grams = hashed.windows(gram)
+    least = sliding_min(grams, window - gram + 1)
     room = np.zeros(n + 1, np.int32)
     lengths = np.diff(limits)
     long = lengths >= window
@@ -160,7 +161,8 @@ def anchored_runs(hashed: RangeHash, limits: np.ndarray, window: int, gram: int)
     np.add.at(room, limits[1:][long] - window + 1, -1)
     valid = np.cumsum(room[:n - window + 1]) > 0
     first = valid.copy()
-    first[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+    # a window without the gram that the one before it began with, but with an equal one, starts a new run
+    first[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (grams[:len(least) - 1] == least[1:])
     first[limits[:-1][long]] = True
     last = valid.copy()
     last[:-1] &= ~valid[1:] | first[1:]
