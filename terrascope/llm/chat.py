@@ -97,7 +97,7 @@ def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
     for jump in jumps:
         further = members.alias("a").join(jump.alias("b"), _same("a", "msg", "b", "msg")).select(
             "a.conv", "a.leaf", F.col("b.up").alias("msg"))
-        members = members.unionByName(further)
+        members = staged(members.unionByName(further), "chat-members")
 
     placed = paths.select("conv", "msg", "depth", "chars")
     start = F.col("d.chars") - F.char_length("t.body") - len(END)
