@@ -48,7 +48,7 @@ def reply_paths(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(conv, msg, depth, score, chars) summed from the root, and for each k the (conv, msg, up) 2^k replies apart.
 
     `links`: conv, msg, parent, score, chars of each message. Every round joins the messages with themselves by their
-    present ancestor, on ids that are unique, so no key is crowded.
+    present ancestor, on ids that are unique, so no key is crowded; a message that has reached its root drops out.
     """
     known = links.select("conv", "msg", F.lit(True).alias("known"))
     level = staged(
@@ -58,18 +58,20 @@ def reply_paths(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     total, ids = level.agg(F.count(F.lit(1)), F.count_distinct(F.struct("conv", "msg"))).first()
     if total != ids:
         raise ValueError("a message id is there twice in one conversation")
-    jumps, reach = [], 1
-    while level.filter(F.col("up").isNotNull()).limit(1).count():
+    jumps, reach, done = [], 1, level.filter(F.col("up").isNull())
+    active = level.filter(F.col("up").isNotNull())
+    while active.limit(1).count():
         if reach > 2 * total:
             raise ValueError("messages answer one another in a circle")
-        jumps.append(level.filter(F.col("up").isNotNull()).select("conv", "msg", "up"))
-        joined = level.alias("a").join(level.alias("b"), _same("a", "up", "b", "msg"), "left")
+        jumps.append(active.select("conv", "msg", "up"))
+        joined = active.alias("a").join(done.unionByName(active).alias("b"), _same("a", "up", "b", "msg"))
         level = staged(joined.select(
-            "a.conv", "a.msg", "b.up",
-            *[(F.col(f"a.{c}") + F.coalesce(F.col(f"b.{c}"), F.lit(0))).alias(c) for c in ("depth", "score", "chars")],
+            "a.conv", "a.msg", "b.up", *[(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in ("depth", "score", "chars")],
         ), "chat-paths")
+        done = done.unionByName(level.filter(F.col("up").isNull()))
+        active = level.filter(F.col("up").isNotNull())
         reach *= 2
-    return level.drop("up"), jumps
+    return done.drop("up"), jumps
 
 
 def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:

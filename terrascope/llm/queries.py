@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, sharding, substring_dedup, suffix_dedup
-from .common import table
+from . import chat, decontaminate, jaccard, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from .common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -202,3 +202,29 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JO
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """The model of the labels outside the held-out fold."""
+    return toxicity.fit(docs, labels, ~toxicity.held_out(F.col("id")))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        F.col("toxicity.score").alias("score"), F.col("toxicity.predicted").alias("predicted"))
+
+
+@query("op7_document_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`n_near`: for ids divisible by 100, the documents within three bits, the document itself among them."""
+    found = staged(simhash.fingerprint_documents(table(spark, sf_dir, "documents")), "fingerprints")
+    asked = found.filter("id % 100 = 0")
+    near = asked.select("id", "fingerprint").join(
+        simhash.near_counts(found, asked), "fingerprint").select(F.col("id").alias("asked"), "n_near")
+    return found.join(near.distinct(), F.col("id") == F.col("asked"), "left").select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+        "near_next", "n_near")
