@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from . import chat, decontaminate, jaccard, licenses, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(near.distinct(), F.col("id") == F.col("asked"), "left").select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
         "near_next", "n_near")
+
+
+@query("op9_license_scans")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = licenses.license_names()
+    return found.select(
+        "doc_id", F.col("licenses.blocks").alias("n_blocks"), F.size("licenses.found").cast("bigint").alias("n_licensed"),
+        F.array_join(names, ",").alias("licenses"),
+        F.array_join(F.transform("licenses.found", lambda x: x["start"].cast("string")), ",").alias("starts"))

@@ -142,3 +142,13 @@ def shard_records(
     if map_path:
         write_map(slot_map, map_path, version)
     return numbered(sized, slot_map, by_slot)
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with their own columns, `virtual_slot` and `shard`. The texts are not shuffled: the map has one
+    row per slot."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("virtual_slot", "shard")]
+    placed = docs.select(*own, virtual_slot(F.col(doc_id), F.col(text), slots).alias("virtual_slot"))
+    by_slot = placed.select("virtual_slot", record_size(F.col(text)).alias("size"))
+    slot_map = staged(balanced_map(staged(slot_bytes(by_slot), "shard-slots"), shards), "shard-map")
+    return placed.join(slot_map, "virtual_slot").select(*own, "virtual_slot", "shard")
