@@ -37,7 +37,7 @@ SHINGLE, PERCENT = 5, 80
 COMMON = 0.002  # share of the texts from which on a shingle goes to the end of the order
 LIST_SETS = 1000  # sets in a list that a candidate tree takes
 BLOCK_SETS, BLOCK_BYTES = 4000, 4 << 20  # sets and packed text in one block of a class
-BITMAP_WORDS = 16  # 64-bit words of the largest bitmap that travels
+BITMAP_WORDS = 128  # 64-bit words of the largest bitmap that travels
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +123,22 @@ def _bitmap_words(n: int) -> int:
     return words_needed
 
 
-def _folded(raw: list[bytes]) -> np.ndarray:
-    """Bitmaps as one array, the wider ones OR-folded to the narrowest."""
-    arrays = [np.frombuffer(b, np.uint64) for b in raw]
-    width = min(len(a) for a in arrays)
-    return np.array([np.bitwise_or.reduce(a.reshape(-1, width), axis=0) for a in arrays])
+def _linked_lists(sizes: np.ndarray, raw: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of one list. Sets are compared by bitmaps of one width; similar sizes are at most one width
+    apart, and then the wider bitmap is OR-folded."""
+    width = np.array([len(b) // 8 for b in raw])
+    classes, links = Classes(len(raw)), []
+    for w in np.unique(width):
+        here, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        bits = np.zeros((len(raw), w), np.uint64)
+        bits[here] = np.frombuffer(b"".join(raw[i] for i in here), np.uint64).reshape(-1, w)
+        here = here[np.lexsort((sizes[here], bits[here, 0]))]
+        links += link(sizes, bits, here, percent, classes)
+        if len(wider):
+            double = np.frombuffer(b"".join(raw[i] for i in wider), np.uint64).reshape(-1, 2, w)
+            bits[wider] = np.bitwise_or.reduce(double, axis=1)
+            links += link(sizes, bits, here, percent, classes, others=wider)
+    return links
 
 
 def candidate_links(prefixed: DataFrame, percent: int) -> DataFrame:
@@ -150,10 +161,7 @@ def candidate_links(prefixed: DataFrame, percent: int) -> DataFrame:
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, ["list"]):
-            bits = _folded([r["bits"] for r in rows])
-            sizes = np.array([r["n"] for r in rows], np.int64)
-            order = np.lexsort((sizes, bits[:, 0]))
-            links = link(sizes, bits, order, percent, Classes(len(rows)))
+            links = _linked_lists(np.array([r["n"] for r in rows], np.int64), [r["bits"] for r in rows], percent)
             if links:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([rows[i]["set"] for i, _ in links], pa.int64()),
