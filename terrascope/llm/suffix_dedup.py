@@ -25,6 +25,7 @@ from .common import RangeHash, partitions, signed, staged
 WINDOW, GRAM = 200, 48
 SHARD_BYTES = 1 << 20  # a shard closes at the first sign after so many bytes
 RIVALS = 256  # different regions of one sign that one shard takes
+RANGES = 16  # ranges of strings for each shard of a split sign
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,13 +110,14 @@ def shard_strings(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndar
 
 
 def _cut_pieces(residue: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """sign, salt, split, key, first and the bytes of every region in the residue."""
-    parts = F.ceil(F.col("rivals") / F.lit(RIVALS))
+    """sign, salt, parts (over how many salts the sign is spread), key, first and the bytes of every region in the
+    residue."""
+    parts = F.ceil(F.col("rivals") / F.lit(RIVALS)).cast("int")
     dealt = residue.select(
-        "key", "sign", F.pmod("region", parts).cast("int").alias("salt"), (parts > 1).alias("split"), "first", "last")
+        "key", "sign", F.pmod("region", parts).cast("int").alias("salt"), parts.alias("parts"), "first", "last")
     schema = T.StructType([
         T.StructField("sign", T.LongType()), T.StructField("salt", T.IntegerType()),
-        T.StructField("split", T.BooleanType()), T.StructField("key", T.LongType()),
+        T.StructField("parts", T.IntegerType()), T.StructField("key", T.LongType()),
         T.StructField("first", T.IntegerType()), T.StructField("piece", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,25 +129,26 @@ def _cut_pieces(residue: DataFrame, docs: DataFrame, window: int) -> DataFrame:
                 key = columns["key"][row].as_py()
                 rows = {(p["sign"], p["first"]): p for p in places}.values()  # equal documents come with equal places
                 yield pa.RecordBatch.from_pylist([{
-                    "sign": p["sign"], "salt": p["salt"], "split": p["split"], "key": key, "first": p["first"],
+                    "sign": p["sign"], "salt": p["salt"], "parts": p["parts"], "key": key, "first": p["first"],
                     "piece": raw[p["first"]:p["last"] + window],
                 } for p in rows], schema=_arrow(schema))
 
-    return R.with_texts(dealt, docs, "sign", "salt", "split", "first", "last").mapInArrow(cut, schema)
+    return R.with_texts(dealt, docs, "sign", "salt", "parts", "first", "last").mapInArrow(cut, schema)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
 
 
 def _shards(pieces: DataFrame, window: int) -> DataFrame:
-    """Marks (key, first, last), and for strings of split signs also one row (key, first, last, sign, string, members)
-    for each class of the shard."""
+    """Marks (key, first, last), and for split signs also the shard's sorted strings, one of each class, cut into
+    ranges: sign, range and the arrays strings, keys and places. The more shards a sign has, the finer the ranges."""
     schema = T.StructType([
         T.StructField("key", T.LongType()), T.StructField("first", T.IntegerType()),
         T.StructField("last", T.IntegerType()), T.StructField("sign", T.LongType()),
-        T.StructField("string", T.LongType()), T.StructField("members", T.LongType())])
+        T.StructField("range", T.LongType()), T.StructField("strings", T.ArrayType(T.LongType())),
+        T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))])
     names = schema.names
 
     def close(held: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -159,25 +162,35 @@ def _shards(pieces: DataFrame, window: int) -> DataFrame:
         new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
         run = np.flatnonzero(new)
         end = np.append(run[1:], len(p)) - 1
-        none = pa.nulls(len(run), pa.int64())
         if len(run):
+            longs, lists = pa.nulls(len(run), pa.int64()), pa.nulls(len(run), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([
                 pa.array(key[p[run]]), pa.array((first[p[run]] + s[run]).astype(np.int32)),
-                pa.array((first[p[run]] + s[end]).astype(np.int32)), none, none, none], names)
-        split = np.array([h["split"] for h in held], bool)[piece]
+                pa.array((first[p[run]] + s[end]).astype(np.int32)), longs, longs, lists, lists,
+                pa.nulls(len(run), pa.list_(pa.int32()))], names)
+        parts = np.array([h["parts"] for h in held], np.int64)
         lead = np.ones(len(classes), bool)
         lead[1:] = classes[1:] != classes[:-1]
-        chosen = np.flatnonzero(split & lead)
+        chosen = np.flatnonzero((parts[piece] > 1) & lead)
         if len(chosen):
             p, s = piece[chosen], start[chosen]
             offsets = np.concatenate([[0], np.cumsum([len(h["piece"]) for h in held])])
             hashed = RangeHash(np.frombuffer(b"".join(h["piece"] for h in held), np.uint8))
-            at = offsets[p] + s
-            place = (first[p] + s).astype(np.int32)
+            string = hashed.of(offsets[p] + s, offsets[p] + s + window)
+            sign = np.array([h["sign"] for h in held], np.int64)[p]
+            bits = np.minimum(np.ceil(np.log2(parts[p] * RANGES)).astype(np.uint64), 63)
+            part = string >> (np.uint64(64) - bits)
+            by = np.lexsort((string, part, sign))
+            p, s, string, sign, part = p[by], s[by], string[by], sign[by], part[by]
+            new = np.ones(len(by), bool)
+            new[1:] = (sign[1:] != sign[:-1]) | (part[1:] != part[:-1])
+            begin = np.flatnonzero(new)
+            cuts = pa.array(np.append(begin, len(by)).astype(np.int32))
+            none = pa.nulls(len(begin), pa.int32())
             yield pa.RecordBatch.from_arrays([
-                pa.array(key[p]), pa.array(place), pa.array(place),
-                pa.array(np.array([h["sign"] for h in held], np.int64)[p]), pa.array(signed(hashed.of(at, at + window))),
-                pa.array(members[chosen])], names)
+                pa.nulls(len(begin), pa.int64()), none, none, pa.array(sign[begin]), pa.array(signed(part[begin])),
+                pa.ListArray.from_arrays(cuts, pa.array(signed(string))), pa.ListArray.from_arrays(cuts, pa.array(key[p])),
+                pa.ListArray.from_arrays(cuts, pa.array((first[p] + s).astype(np.int32)))], names)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, group = [], 0, None
@@ -196,25 +209,36 @@ def _shards(pieces: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(shard, schema)
 
 
-def _merged(strings: DataFrame) -> DataFrame:
-    """The strings of split signs that are in several shards: their sorted lists are cut by range, and every string is
-    looked up among all of its range by binary search."""
-    schema = T.StructType([strings.schema["key"], strings.schema["first"], strings.schema["last"]])
+def _merged(ranges: DataFrame) -> DataFrame:
+    """The strings of split signs that are in several shards: each is looked up by binary search among the strings that
+    all shards have in its range."""
+    schema = "key long, first int, last int"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         rows = pa.Table.from_batches(held).combine_chunks()
-        string, sign = rows.column("string").to_numpy(), rows.column("sign").to_numpy()
+        lists = rows.column("strings").chunk(0)
+        sign = np.repeat(rows.column("sign").to_numpy(), np.diff(lists.offsets.to_numpy()))
+        string = lists.flatten().to_numpy()
         both = (string.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ sign.view(np.uint64)
         sorted_all = np.sort(both)
-        there = np.searchsorted(sorted_all, both, "right") - np.searchsorted(sorted_all, both, "left")
-        found = pa.array(there > 1)
-        yield from rows.select(["key", "first", "last"]).filter(found).to_batches()
+        there = np.searchsorted(sorted_all, both, "right") - np.searchsorted(sorted_all, both, "left") > 1
+        key, place = (rows.column(c).chunk(0).flatten().to_numpy()[there] for c in ("keys", "places"))
+        by = np.lexsort((place, key))
+        key, place = key[by], place[by]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1] + 1)
+        run = np.flatnonzero(new)
+        if len(run):
+            end = np.append(run[1:], len(key)) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[run]), pa.array(place[run]), pa.array(place[end])], ["key", "first", "last"])
 
-    ranged = strings.repartitionByRange(partitions(strings.sparkSession), "string")
-    return ranged.select("key", "first", "last", "sign", "string").mapInArrow(merge, schema)
+    dealt = ranges.select("sign", "range", "strings", "keys", "places").repartition(
+        partitions(ranges.sparkSession), "sign", "range")
+    return dealt.mapInArrow(merge, schema)
 
 
 def repeated_strings(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -224,8 +248,8 @@ def repeated_strings(docs: DataFrame, window: int, gram: int) -> DataFrame:
     copies = classes.filter("n > 1").select("sign", "region")
     whole = shared.join(copies, ["sign", "region"]).select("key", "first", "last")
     sharded = staged(_shards(_cut_pieces(residue, docs, window), window), "suffix-shards")
-    local = sharded.filter("string IS NULL").select("key", "first", "last")
-    return whole.unionByName(local).unionByName(_merged(sharded.filter("string IS NOT NULL")))
+    local = sharded.filter("range IS NULL").select("key", "first", "last")
+    return whole.unionByName(local).unionByName(_merged(sharded.filter("range IS NOT NULL")))
 
 
 def remove_repeats(
