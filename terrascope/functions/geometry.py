@@ -102,6 +102,15 @@ def ring_edges(ring: Column) -> Column:
     return F.filter(F.transform(ring, edge), lambda e: e["yi"] != e["yj"])
 
 
+def edges_of_tile(edges: Column, west: Column, south: Column, size: float) -> Column:
+    """The edges that can count for a point of a tile: those over its latitudes, unless they end west of it."""
+    return F.filter(
+        edges,
+        lambda e: (F.greatest(e["yi"], e["yj"]) >= south) & (F.least(e["yi"], e["yj"]) <= south + F.lit(size))
+        & (F.greatest(e["xi"], e["xj"]) >= west),
+    )
+
+
 def inside_edges(lon: Column, lat: Column, edges: Column) -> Column:
     """Even-odd rule; a point on a lower or left border is inside, on an upper or right one outside."""
     crossed = F.filter(

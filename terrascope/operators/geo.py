@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.codes import code_number, code_text
 from ..functions.metrics import density, gdp_per_capita
 from .sales import given
 
@@ -53,7 +52,13 @@ def area_km2(b: DataFrame) -> DataFrame:
     return parse_geometry(b).select("geographic_code", G.geometry_area_km2(F.col("parts")).alias("area_km2"))
 
 
+BOX_COLUMNS = ("min_x", "min_y", "max_x", "max_y")
+
+
 def feature_bbox(b: DataFrame) -> DataFrame:
+    """Adds the bounding box; a table that was stored with its boxes is taken as it is, and nothing is parsed."""
+    if set(BOX_COLUMNS) <= set(b.columns):
+        return b
     return (
         parse_geometry(b)
         .select(*b.columns, G.bbox(F.col("parts")).alias("_box"))
@@ -90,13 +95,14 @@ def tag_points(
 ) -> DataFrame:
     """(id, code): the first feature whose outer ring holds the point; points outside are left out.
 
-    First means the lowest number in the column `position`, unique per feature, or else the lowest code.
+    First means the lowest number in the column `position`, unique per feature, or else the lowest code, of any length.
 
-    Every ring is listed in the map tiles its box touches, a point lies in one tile, so candidates meet in an
-    equi-join that Spark may broadcast when small or split when a tile is crowded. The box test comes before
-    the even-odd test; holes are ignored. Point ids must be unique.
+    Every ring is listed in the map tiles its box touches, with only the edges that a point of that tile can cross: those
+    that meet its band of latitudes and do not end west of it. A point lies in one tile, so candidates meet in an
+    equi-join that Spark may broadcast when small or split when a tile is crowded. The box test comes before the
+    even-odd test; holes are ignored. Point ids must be unique.
     """
-    rank = F.col(position).cast("bigint") if position else code_number(F.col("geographic_code"))
+    rank = F.col(position).cast("bigint") if position else F.col("geographic_code")
     rings = (
         parse_geometry(b)
         .filter(F.col("geographic_code") != "")
@@ -107,6 +113,7 @@ def tag_points(
         .filter(F.col("min_x").isNotNull())
         .withColumn("_tx", _tiles("min_x", "max_x", tile))
         .withColumn("_ty", _tiles("min_y", "max_y", tile))
+        .withColumn("_edges", G.edges_of_tile(F.col("_edges"), F.col("_tx") * tile, F.col("_ty") * tile, tile))
     )
     located = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
         "id", "latitude", "longitude",
@@ -121,7 +128,7 @@ def tag_points(
     )
     first = hits.groupBy("id").agg(F.min("_rank").alias("_rank"))
     if not position:
-        return first.select("id", code_text(F.col("_rank")).alias("code"))
+        return first.select("id", F.col("_rank").alias("code"))
     names = b.select(F.col(position).cast("bigint").alias("_rank"), F.col("geographic_code").alias("code"))
     return first.join(names, "_rank").select("id", "code")
 

@@ -13,7 +13,6 @@ from .paging import PAGE_SIZE, page
 from .sales import given
 
 SEARCH_ROWS = 8
-MAX_CODES = 2000
 _SUMS = ("transaction_count", "total_price", "total_residential_surface")
 
 
@@ -163,16 +162,16 @@ def department_stats(
     return _averages(rows, _present(departments, "code", "name", "region_code", "population", "area")).orderBy("code")
 
 
-def distinct_codes(df: DataFrame, n: int | None = MAX_CODES, column: str = "code") -> DataFrame:
-    """Distinct codes, by default as many as one request may name."""
+def distinct_codes(df: DataFrame, n: int | None = None, column: str = "code") -> DataFrame:
+    """Distinct codes; with `n` the first ones."""
     codes = df.select(column).distinct()
     return codes if n is None else codes.orderBy(column).limit(n)
 
 
 def city_stats(
-    cities: DataFrame, stats: DataFrame, codes: DataFrame, max_codes: int | None = MAX_CODES
+    cities: DataFrame, stats: DataFrame, codes: DataFrame, max_codes: int | None = None
 ) -> DataFrame:
-    """Rollup of the communes named in `codes`; `max_codes=None` lifts the limit of one request."""
+    """Rollup of the communes named in `codes`, or in the first `max_codes` of them."""
     wanted = distinct_codes(codes, max_codes).withColumnRenamed("code", "insee_code")
     chosen = cities.join(wanted, "insee_code", "left_semi")
     per_city = _sums(stats.join(wanted, "insee_code", "left_semi"), "insee_code")

@@ -17,6 +17,19 @@ def page(df: DataFrame, order: Sequence[str | Column], number: int = 0, size: in
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
+def page_after(
+    df: DataFrame, columns: Sequence[str], after: Sequence | None = None, size: int = PAGE_SIZE
+) -> DataFrame:
+    """The next page in ascending order of `columns` after the row with the values `after`; None starts at the front.
+
+    `columns` must end in a unique one. Every task keeps `size` rows however far the page is from the front.
+    """
+    if after is not None:
+        last = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(columns, after, strict=True)])
+        df = df.filter(F.struct(*columns) > last)
+    return df.orderBy(*columns).limit(size)
+
+
 def page_info(df: DataFrame, number: int = 0, size: int = PAGE_SIZE) -> DataFrame:
     """One row: size, total elements, total pages, page number."""
     total = F.count(F.lit(1))

@@ -17,8 +17,9 @@ from ..session import checkpointed
 _WIDTH = Decimal("335544.32")
 
 
-def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Element n/2 (from 0) of the sorted non-NULL decimal(15,2) values of every group, as `median`.
+def upper_median(df: DataFrame, keys: Sequence[str], value: str, lower: bool = False) -> DataFrame:
+    """Element n/2 (from 0) of the sorted non-NULL decimal(15,2) values of every group, as `median`; of an even number
+    of values the one before, where `lower` is asked for.
 
     Values are first counted per (group, value), which combines map-side and spreads a large group over all
     tasks. Then the bucket that holds the middle is found, and the middle inside that bucket. The windows only
@@ -31,7 +32,8 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         .withColumn("_hi", F.floor(F.col("_v") / F.lit(_WIDTH)))
     )
     buckets = counted.groupBy(*keys, "_hi").agg(F.sum("_n").alias("_n"))
-    middle = F.floor(F.sum("_n").over(W.partitionBy(*keys)) / 2).cast("bigint") + 1
+    total = F.sum("_n").over(W.partitionBy(*keys))
+    middle = F.floor((total + 1) / 2).cast("bigint") if lower else F.floor(total / 2).cast("bigint") + 1
     found = _bucket(buckets.withColumn("_rank", middle), keys, "_hi")
     inside = _inside(counted, found, keys, "_hi")
     return _bucket(inside, keys, "_v").select(*keys, F.col("_v").alias("median"))

@@ -15,11 +15,11 @@ def _duration_ms(start: str, end: str) -> Column:
 
 
 def latest_runs(job_runs: DataFrame, job_name: str | None = None) -> DataFrame:
-    """Newest completed run per year; `max_by` combines before the shuffle, unlike a window over all runs."""
+    """Newest completed run per year, of equal starts the one that ended last; the maximum combines before the shuffle."""
     done = job_runs.filter((F.col("status") == "COMPLETED") & F.col("end_time").isNotNull())
     if job_name is not None:
         done = done.filter(F.col("job_name") == job_name)
-    last = done.groupBy("year").agg(F.max_by(F.struct("start_time", "end_time"), "start_time").alias("_run"))
+    last = done.groupBy("year").agg(F.max(F.struct("start_time", "end_time")).alias("_run"))
     return last.select("year", "_run.*").select(
         "year",
         F.col("start_time").alias("last_run_at"),
@@ -36,7 +36,7 @@ def partition_status(tx: DataFrame, job_runs: DataFrame, job_name: str = IMPORT_
 def job_status(job_runs: DataFrame) -> DataFrame:
     """Per job: RUNNING while a started run has no end, plus start, status and duration of the newest run."""
     running = F.bool_or(F.col("status").isin("STARTED", "STARTING") & F.col("end_time").isNull())
-    last = F.max_by(F.struct("start_time", "end_time", "status"), "start_time")
+    last = F.max(F.struct("start_time", "end_time", "status"))
     jobs = job_runs.groupBy("job_name").agg(running.alias("_running"), last.alias("_last"))
     return jobs.select("job_name", "_running", "_last.*").select(
         "job_name",

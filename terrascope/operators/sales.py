@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codes import code_number, code_text
@@ -18,7 +19,7 @@ SALE_NATURES = ["Vente", "Vente en l'état futur d'achèvement"]
 RESIDENTIAL = ["MAISON", "APPARTEMENT"]
 MIN_PRICE, MAX_PRICE = 10_000, 5_000_000
 MIN_SURFACE, MAX_SURFACE = 9, 1000
-HEAT_ROWS = 5000
+_PLACE = "_place"
 HEAT_METRICS = ("AVERAGE_PRICE", "AVERAGE_PRICE_PER_SQM", "TRANSACTION_COUNT")
 
 
@@ -84,16 +85,18 @@ def transaction_summary(tx: DataFrame, cities: DataFrame) -> DataFrame:
         "property_type", "built_surface", "room_count", "land_surface",
     ]
     joined = tx.join(names, "city_insee_code", "left")
-    return joined.select(*[c for c in columns if c in joined.columns])
+    return joined.select(*[c for c in [*columns, _PLACE] if c in joined.columns])
 
 
 def search_transactions(
     tx: DataFrame, cities: DataFrame, *, number: int = 0, size: int = PAGE_SIZE,
     sort: Sequence[str | Column] = ("id",), **filters,
 ) -> DataFrame:
-    """One page of matching sales; only the page is joined to the commune names."""
-    rows = page(filter_transactions(tx, cities, **filters), [*sort, "id"], number, size)
-    return transaction_summary(rows, cities)
+    """One page of matching sales; only the page is joined to the commune names, and it keeps its order."""
+    order = [*sort, "id"]
+    rows = page(filter_transactions(tx, cities, **filters), order, number, size)
+    placed = rows.withColumn(_PLACE, F.row_number().over(W.orderBy(*order)))  # at most `size` rows
+    return transaction_summary(placed, cities).orderBy(_PLACE).drop(_PLACE)
 
 
 def transaction_detail(tx: DataFrame, cities: DataFrame, id) -> DataFrame:
@@ -114,14 +117,18 @@ def transaction_detail(tx: DataFrame, cities: DataFrame, id) -> DataFrame:
 
 
 def dept_sales_stats(sales: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Per department over priced lots: count, mean price, mean €/m², approximate (mergeable) median."""
+    """Per department over priced lots: count, mean price, mean €/m², exact lower median (prices in whole cents)."""
     priced = attach_department(sales.filter(F.col("price") > 0), mapping)
-    return priced.groupBy("department_code").agg(
+    totals = priced.groupBy("department_code").agg(
         F.count(F.lit(1)).alias("transaction_count"),
         F.avg("price").alias("avg_price"),
         F.avg(price_per_sqm(F.col("price"), F.col("surface"))).alias("avg_price_per_sqm"),
-        F.percentile_approx("price", 0.5).alias("median_price"),
     )
+    medians = upper_median(priced, ["department_code"], "price", lower=True)
+    return totals.join(
+        medians.select(F.col("department_code").alias("_dept"), F.col("median").cast("double").alias("median_price")),
+        F.col("department_code").eqNullSafe(F.col("_dept")), "left",
+    ).drop("_dept")
 
 
 def dedup_mutations(tx: DataFrame, year: int | None = None) -> DataFrame:
@@ -208,10 +215,9 @@ def transaction_stats(
     tx: DataFrame, cities: DataFrame, city=None, dept=None, year=None, region=None,
     departments: DataFrame | None = None,
 ) -> DataFrame:
-    """The same for one scope, always one row. Without any scope nothing is read and all figures are zero."""
-    scoped = given(city) or given(dept) or given(region) or year is not None
+    """The same for one scope, always one row. Without any scope it is the whole table."""
     rows = filter_transactions(tx, cities, city=city, dept=dept, year=year, region=region, departments=departments)
-    return transaction_stats_by(rows if scoped else tx.limit(0), [])
+    return transaction_stats_by(rows, [])
 
 
 def price_overview(stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -231,20 +237,21 @@ def rows_per_year(tx: DataFrame) -> DataFrame:
 
 
 def in_viewport(
-    df: DataFrame, south: float, west: float, north: float, east: float, max_degrees: float = 5.0
+    df: DataFrame, south: float, west: float, north: float, east: float, max_degrees: float | None = None
 ) -> DataFrame:
-    """Rows inside the box, borders included; inverted or too large boxes hold nothing."""
-    bad = north <= south or east <= west or north - south > max_degrees or east - west > max_degrees
-    if bad:
+    """Rows inside the box, borders included; inverted boxes, and those over `max_degrees` where it is given, hold
+    nothing."""
+    large = max_degrees is not None and max(north - south, east - west) > max_degrees
+    if north <= south or east <= west or large:
         return df.limit(0)
     return df.filter(F.col("latitude").between(south, north) & F.col("longitude").between(west, east))
 
 
 def heat_points(
     tx: DataFrame, box: tuple[float, float, float, float], metric: str, step: float = GRID_STEP,
-    rows: int | None = HEAT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Grid cells of the viewport with a mean price, mean €/m² or count; the densest cells are kept."""
+    """Grid cells of the viewport with a mean price, mean €/m² or count; with `rows` the densest cells only."""
     if metric not in HEAT_METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     seen = in_viewport(tx, *box).filter(F.col("property_value") > 0)
@@ -276,14 +283,15 @@ def _waiting(tx: DataFrame) -> DataFrame:
     return rows.filter(F.col("geocoded_at").isNull()) if "geocoded_at" in tx.columns else rows
 
 
-def geocode_backlog(tx: DataFrame, cities: DataFrame, limit: int) -> DataFrame:
-    """Addresses never tried, lowest ids first."""
+def geocode_backlog(tx: DataFrame, cities: DataFrame, limit: int | None = None) -> DataFrame:
+    """Addresses never tried; with `limit` those of the lowest ids."""
     names = cities.filter(F.col("name").isNotNull()).select(
         F.col("insee_code").alias("city_insee_code"), F.col("name").alias("city_name")
     )
     rows = _waiting(tx).filter(F.col("postal_code").isNotNull()).join(names, "city_insee_code")
     columns = ["id", "year", "street_number", "street_type", "postal_code", "city_name"]
-    return rows.select(*[c for c in columns if c in rows.columns]).orderBy("id").limit(limit)
+    waiting = rows.select(*[c for c in columns if c in rows.columns])
+    return waiting if limit is None else waiting.orderBy("id").limit(limit)
 
 
 def geocode_backlog_size(tx: DataFrame) -> DataFrame:

@@ -144,13 +144,13 @@ def _(spark, sf):
 
 @query("city_stats", ["tx", "city_rollup"], f"""
     SELECT * FROM city_rollup WHERE code IN
-      (SELECT DISTINCT city_insee_code FROM tx WHERE year = {YEAR} ORDER BY 1 LIMIT 2000)""")
+      (SELECT DISTINCT city_insee_code FROM tx WHERE year = {YEAR})""")
 def _(spark, sf):
     codes = view(spark, sf, "tx").filter(F.col("year") == YEAR).select(F.col("city_insee_code").alias("code"))
     return plain(H.city_stats(view(spark, sf, "cities"), _city_years(spark, sf), codes))
 
 
-@query("distinct_codes", ["tx"], "SELECT DISTINCT city_insee_code AS code FROM tx ORDER BY 1 LIMIT 2000")
+@query("distinct_codes", ["tx"], "SELECT DISTINCT city_insee_code AS code FROM tx")
 def _(spark, sf):
     return H.distinct_codes(view(spark, sf, "tx").select(F.col("city_insee_code").alias("code")))
 
@@ -425,7 +425,7 @@ def heat_sql(value: str, extra: str = "") -> str:
       round(longitude / CAST(0.001 AS DOUBLE), 0) * CAST(0.001 AS DOUBLE) AS longitude,
       {value} AS value, count(*) AS samples
     FROM tx WHERE {_IN_BOX} AND property_value > 0 {extra}
-    GROUP BY 1, 2 ORDER BY samples DESC, latitude, longitude LIMIT 5000"""
+    GROUP BY 1, 2"""
 
 
 @query("heat_points_average_price", ["tx"], heat_sql(
@@ -461,9 +461,9 @@ def _(spark, sf):
 @query("geocode_backlog", ["tx", "cities"], """
     SELECT t.id, t.year, t.postal_code, c.name AS city_name FROM tx t
       JOIN cities c ON c.insee_code = t.city_insee_code
-    WHERE t.latitude IS NULL AND t.postal_code IS NOT NULL ORDER BY t.id LIMIT 50000""")
+    WHERE t.latitude IS NULL AND t.postal_code IS NOT NULL""")
 def _(spark, sf):
-    return S.geocode_backlog(view(spark, sf, "tx"), view(spark, sf, "cities"), 50_000)
+    return S.geocode_backlog(view(spark, sf, "tx"), view(spark, sf, "cities"))
 
 
 @query("geocode_backlog_size", ["tx"], "SELECT count(*) AS backlog FROM tx WHERE latitude IS NULL")

@@ -144,6 +144,14 @@ def write_archives(lines, header: str, path: str) -> None:
     lines.mapInPandas(pack, "rows BIGINT").write.format("noop").mode("overwrite").save()
 
 
+@query("import_sales_ids", ["imported"], f"SELECT 2 * count(*) AS lots, 2 * count(*) AS ids FROM ({_IMPORT_SQL})")
+def _(spark, sf):
+    """The same file twice: every lot has an equal one, and ids differ all the same."""
+    path = sales_file(spark, sf)
+    rows = sources.import_sales(spark, [path, path], YEAR, view(spark, sf, "cities"))
+    return rows.agg(F.count(F.lit(1)).alias("lots"), F.count_distinct("id").alias("ids"))
+
+
 @query("import_sales_zip", ["imported"], _IMPORT_SQL)
 def _(spark, sf):
     folder = _input(spark, sf, "sales-zip", lambda path: write_archives(_sales_lines(spark, sf), _HEADER, path))
@@ -457,7 +465,7 @@ GEOCODED_SQL = """
 @query("apply_geocodes", ["tx_by_sale", "cities", "geocodes"], GEOCODED_SQL)
 def _(spark, sf):
     path = _table(spark, sf, "tx_by_sale")
-    backlog = S.geocode_backlog(view(spark, sf, "tx_by_sale"), view(spark, sf, "cities"), 50_000)
+    backlog = S.geocode_backlog(view(spark, sf, "tx_by_sale"), view(spark, sf, "cities"))
     matches = S.match_geocodes(backlog.select("id", "year"), view(spark, sf, "geocodes"))
     sinks.write_geocodes(spark, path, matches, NOW)
     rows = spark.read.option("mergeSchema", True).parquet(path)

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _OWN_ROOT: str | None = None
+_RUNS: dict[str, str] = {}  # shared folder to the folder of this run in it
 
 
 def build_session(app: str = "terrascope", master: str | None = None, **conf) -> SparkSession:
@@ -34,26 +35,58 @@ def build_session(app: str = "terrascope", master: str | None = None, **conf) ->
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a private one where it is unset."""
+    """The folder every executor can reach: `spark.checkpoint.dir`, else the context's checkpoint folder.
+
+    Where neither is set, a local session gets a private folder; any other session is an error, as its executors
+    would write to disks of their own.
+    """
     global _OWN_ROOT
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _OWN_ROOT is None:
         _OWN_ROOT = tempfile.mkdtemp(prefix="terrascope-")
         atexit.register(shutil.rmtree, _OWN_ROOT, ignore_errors=True)
     return _OWN_ROOT
 
 
+def is_local(master: str) -> bool:
+    """Whether the driver is the only executor."""
+    return master == "local" or master.startswith("local[")
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, in any file system."""
+    fs, target = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs.exists(target) and fs.delete(target, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path nobody has written to yet, inside the shared folder."""
-    return f"{shared_root(spark)}/terrascope/{name}-{uuid.uuid4().hex}"
+    """A path nobody has written to yet, inside the shared folder. It is removed when the session's JVM ends."""
+    root = shared_root(spark)
+    if root not in _RUNS:
+        _RUNS[root] = f"{root}/terrascope/run-{uuid.uuid4().hex}"
+        fs, target = _file_system(spark, _RUNS[root])
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+    return f"{_RUNS[root]}/{name}-{uuid.uuid4().hex}"
 
 
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system, for libraries that do not know Spark's default one."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, target = _file_system(spark, path)
     full = fs.makeQualified(target).toString()
     return "file://" + full[len("file:"):] if full.startswith("file:/") and not full.startswith("file:///") else full
 

@@ -1,5 +1,5 @@
 from .tables import (
-    append_indicators, append_reviews, apply_geocodes, check_year, overwrite_years, refresh_city_year,
-    replace_sales_year, truncate_year, upsert, upsert_boundaries, upsert_cities, upsert_names, write_dept_stats,
-    write_geocodes,
+    append_indicators, append_reviews, apply_geocodes, check_year, overwrite_years, read_geocodes, record_geocodes,
+    refresh_city_year, replace_sales_year, truncate_year, upsert, upsert_boundaries, upsert_cities, upsert_names,
+    with_geocodes, write_dept_stats, write_geocodes,
 )

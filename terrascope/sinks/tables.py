@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import folder_names, fresh_path, remove_folder
+
 FIRST_YEAR, LAST_YEAR = 2014, 2030
 
 
@@ -39,16 +41,9 @@ def _overwrite_partitions(df: DataFrame, path: str, key: str, sort: Sequence[str
     return written.get["rows"]
 
 
-def _drop_partition(spark: SparkSession, path: str, name: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(target) and fs.delete(target, True)
-
-
 def truncate_year(spark: SparkSession, table_path: str, year: int) -> bool:
     """Empty one year; other years are untouched."""
-    return _drop_partition(spark, table_path, f"year={check_year(year, allow_future=True)}")
+    return remove_folder(spark, f"{table_path}/year={check_year(year, allow_future=True)}")
 
 
 def overwrite_years(df: DataFrame, table_path: str, sort: Sequence[str] = ()) -> int:
@@ -91,15 +86,18 @@ def write_dept_stats(df: DataFrame, target: str | dict) -> None:
 
 
 def upsert(
-    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], overwrite: Sequence[str]
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], overwrite: Sequence[str],
+    order: str | None = None,
 ) -> DataFrame:
     """Insert new keys; on existing ones replace the `overwrite` columns (also by NULL), keep the rest.
 
-    A key that comes twice counts once: the greatest row is taken, since files have no order across tasks. The
-    grouping and the join share one shuffle.
+    A key that comes twice counts once: the row with the greatest `order` (a position in the feed, or a load time), or
+    without one the greatest row, since files have no order across tasks. The grouping and the join share one shuffle.
     """
     old = existing.select(*keys, F.struct(*existing.columns).alias("_old"))
-    new = incoming.groupBy(*keys).agg(F.max(F.struct(*incoming.columns)).alias("_new"))
+    row = F.struct(*[c for c in incoming.columns if c != order])
+    last = F.max_by(row, order) if order else F.max(row)
+    new = incoming.groupBy(*keys).agg(last.alias("_new"))
     joined = old.join(new, list(keys), "full")
 
     def pick(column: str) -> Column:
@@ -129,9 +127,23 @@ def upsert_boundaries(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(existing, incoming, ["geographic_level", "geographic_code"], ["name", "geometry"])
 
 
+FACT_KEY = ("geographic_level", "geographic_code", "category", "label", "year")
+
+
 def append_indicators(df: DataFrame, path: str) -> int:
-    """Replace the categories present in `df`, so that a second run of an import adds nothing."""
-    return _overwrite_partitions(df, path, "category")
+    """Add facts; one that is there already (same level, code, category, label and year) is replaced, so a second run
+    adds nothing. Only the categories present in `df` are rewritten. Returns the rows of those categories."""
+    spark = df.sparkSession
+    if not folder_names(spark, path):
+        return _overwrite_partitions(df, path, "category")
+    known = spark.read.parquet(path)
+    touched = known.join(df.select("category").distinct(), "category", "left_semi").select(df.columns)
+    new = df.select(*[F.col(c).alias(f"_{c}") for c in FACT_KEY])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FACT_KEY]
+    merged = touched.join(new, same, "left_anti").unionByName(df)
+    aside = fresh_path(spark, "indicators")  # a partition cannot be overwritten while it is read
+    merged.write.parquet(aside)
+    return _overwrite_partitions(spark.read.schema(merged.schema).parquet(aside), path, "category")
 
 
 def append_reviews(df: DataFrame, path: str) -> None:
@@ -162,8 +174,43 @@ def apply_geocodes(tx: DataFrame, matches: DataFrame, now: dt.datetime) -> DataF
     )
 
 
+GEOCODE_COLUMNS = ("id", "year", "latitude", "longitude", "resolved", "geocoded_at")
+
+
+def record_geocodes(matches: DataFrame, path: str, now: dt.datetime) -> int:
+    """Append attempts to the table of answers, partitioned by year; sales files are not touched. Returns the rows."""
+    answers = matches.withColumn("geocoded_at", F.lit(now).cast("timestamp")).select(*GEOCODE_COLUMNS)
+    written = Observation()
+    counted = answers.observe(written, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("append").partitionBy("year").parquet(path)
+    return written.get["rows"]
+
+
+def read_geocodes(spark: SparkSession, path: str) -> DataFrame:
+    """The table of answers; empty before the first run."""
+    schema = "id {}, latitude double, longitude double, resolved boolean, geocoded_at timestamp, year int"
+    if not folder_names(spark, path):
+        return spark.createDataFrame([], schema.format("bigint"))
+    return spark.read.parquet(path)
+
+
+def with_geocodes(tx: DataFrame, answers: DataFrame) -> DataFrame:
+    """Sales with the answers merged in: attempted rows have the time, those with a kept match also coordinates."""
+    best = F.max(F.struct("resolved", "latitude", "longitude", "geocoded_at")).alias("_a")
+    found = answers.groupBy("id").agg(best).select(
+        F.col("id").alias("_id"), F.col("_a.latitude").alias("_lat"), F.col("_a.longitude").alias("_lon"),
+        F.col("_a.resolved").alias("_resolved"), F.col("_a.geocoded_at").alias("_at"))
+    stamp = F.col("geocoded_at") if "geocoded_at" in tx.columns else F.lit(None).cast("timestamp")
+    return tx.join(found, F.col("id") == F.col("_id"), "left").withColumns({
+        "latitude": F.when(F.col("_resolved"), F.col("_lat")).otherwise(F.col("latitude")),
+        "longitude": F.when(F.col("_resolved"), F.col("_lon")).otherwise(F.col("longitude")),
+        "geocoded_at": F.coalesce("_at", stamp),
+    }).select(*tx.columns, *([] if "geocoded_at" in tx.columns else ["geocoded_at"]))
+
+
 def write_geocodes(spark: SparkSession, table_path: str, matches: DataFrame, now: dt.datetime) -> int:
-    """Rewrite the years that hold attempted rows. `matches` must not be computed from the rewritten files."""
+    """Fold answers into the sales: rewrite the years that hold attempted rows. `matches` must not be computed from the
+    rewritten files. Meant for years that are rewritten anyway; between those, `with_geocodes` merges on reading."""
     # one row per year of the table
     years = [r["year"] for r in matches.select("year").distinct().collect()]
     if not years:

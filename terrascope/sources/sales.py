@@ -7,6 +7,7 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
@@ -101,8 +102,7 @@ def resolve_city(sales: DataFrame, cities: DataFrame) -> DataFrame:
 
 def _finish(raw: DataFrame, year: int, cities: DataFrame) -> DataFrame:
     sales = clean_sales(raw).filter(F.col("year") == year)
-    content = F.xxhash64(*[F.col(c) for c in sales.columns])
-    located = resolve_city(sales.withColumn("id", content), cities)
+    located = resolve_city(_identified(sales), cities)
     return located.withColumns(
         {
             "latitude": F.lit(None).cast("double"),
@@ -112,15 +112,27 @@ def _finish(raw: DataFrame, year: int, cities: DataFrame) -> DataFrame:
     )
 
 
+def _identified(sales: DataFrame) -> DataFrame:
+    """Rows with an `id`: the SHA-256 of all fields, NULLs included, and which of several equal rows it is.
+
+    Equal rows are interchangeable, so their numbers are stable over retries as a set.
+    """
+    fields = F.to_json(F.struct(*sales.columns), {"ignoreNullFields": "false"})
+    digest = sales.withColumn("_digest", F.sha2(fields, 256))
+    copy = F.row_number().over(W.partitionBy("_digest").orderBy(F.lit(0)))
+    return digest.withColumn("id", F.concat_ws("-", "_digest", copy)).drop("_digest")
+
+
 def import_sales(spark: SparkSession, path: str | list[str], year: int, cities: DataFrame) -> DataFrame:
-    """Sales of one year from CSV or gzip. The row id is a hash of the cleaned content, stable over retries."""
+    """Sales of one year from CSV or gzip. Row ids are unique and come from the cleaned content."""
     return _finish(scan_sales_positions(spark, path), year, cities)
 
 
 def lines_from_archives(archives: DataFrame, suffix: str = ".csv", block: int = 20_000) -> DataFrame:
     """Data lines of every matching entry of zip archives given as (path, content), one archive per task.
 
-    Entries are decompressed as a stream and emitted in blocks, without their header line.
+    Entries are decompressed as a stream and emitted in blocks, without their header line. Bytes that are not UTF-8
+    become replacement characters.
     """
     def unpack(frames):
         for frame in frames:
@@ -130,7 +142,7 @@ def lines_from_archives(archives: DataFrame, suffix: str = ".csv", block: int =
                         if not name.endswith(suffix):
                             continue
                         with archive.open(name) as stream:
-                            lines = io.TextIOWrapper(stream, encoding="utf-8", newline=None)
+                            lines = io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline=None)
                             next(lines, None)
                             pending = []
                             for line in lines:

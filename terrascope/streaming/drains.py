@@ -1,42 +1,48 @@
-"""Incremental table maintenance driven by streams that end when they have caught up."""
+"""Incremental table maintenance."""
 
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sales import geocode_backlog, match_geocodes
-from ..sinks.tables import FIRST_YEAR, LAST_YEAR, check_year, overwrite_years, refresh_city_year, write_geocodes
-
-MAX_ROWS_PER_RUN = 50_000
-CHUNK_ROWS = 1_000
+from ..operators.sales import city_year_stats, geocode_backlog, match_geocodes
+from ..sinks.tables import FIRST_YEAR, LAST_YEAR, overwrite_years, read_geocodes, record_geocodes, with_geocodes
 
 
 def sales_refresh_stream(
     spark: SparkSession, landing: str, tables: dict[str, str], checkpoint: str, now: dt.datetime | None = None
 ) -> None:
-    """Replace every year for which files landed under `landing/year=YYYY`, then refresh its statistics.
+    """Replace every year for which files landed, then refresh the statistics of all of them in one pass.
 
-    A batch only tells which years changed; the replacement reads those years in full, so files of one year
-    may arrive in several batches and a repeated batch changes nothing.
+    Files land under `landing/year=YYYY/release=N/`, or under `landing/year=YYYY/` where there are no releases. The
+    newest release of a year is the year; later files of it may arrive in several batches. A batch only tells which
+    years changed and the replacement reads their newest release in full, so a repeated batch changes nothing. Rows of
+    years without a partition, or of years to come, are counted in `tables["rejected"]` where it is given.
     """
     schema = spark.read.parquet(landing).schema
+    last = min(LAST_YEAR, dt.date.today().year)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        supported = batch.filter(F.col("year").between(FIRST_YEAR, LAST_YEAR))
-        found = supported.select("year").distinct().collect()  # at most one row per supported year
-        years = sorted(check_year(r["year"]) for r in found)
+        counted = batch.groupBy("year").agg(F.count(F.lit(1)).alias("rows"))
+        found = {r["year"]: r["rows"] for r in counted.collect()}  # one row per year
+        years = sorted(y for y in found if y is not None and FIRST_YEAR <= y <= last)
+        refused = [(y, n) for y, n in found.items() if y not in years]
+        if refused and "rejected" in tables:
+            session.createDataFrame(refused, "year int, rows long").write.mode("overwrite").parquet(
+                f"{tables['rejected']}/batch={batch_id}")
         if not years:
             return
         landed = session.read.schema(schema).parquet(landing).filter(F.col("year").isin(years))
+        if "release" in landed.columns:
+            newest = landed.groupBy("year").agg(F.max("release").alias("release"))
+            landed = landed.join(newest, ["year", "release"], "left_semi").drop("release")
         overwrite_years(landed, tables["transactions"], ["mutation_date"])
-        tx = session.read.parquet(tables["transactions"])
-        for year in years:
-            refresh_city_year(tx, tables["city_stats"], year, now)
+        fresh = session.read.parquet(tables["transactions"]).filter(F.col("year").isin(years))
+        stamp = F.lit(now) if now else F.current_timestamp()
+        overwrite_years(city_year_stats(fresh).withColumn("updated_at", stamp), tables["city_stats"])
 
     (
         spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(refresh)
@@ -45,35 +51,13 @@ def sales_refresh_stream(
 
 
 def drain_geocoding(
-    spark: SparkSession, table_path: str, cities: DataFrame, geocodes: DataFrame, work: str, now: dt.datetime,
-    max_rows: int = MAX_ROWS_PER_RUN, chunk: int = CHUNK_ROWS,
+    spark: SparkSession, table_path: str, cities: DataFrame, geocodes: DataFrame, answers: str, now: dt.datetime,
 ) -> int:
-    """One run of the geocoding backlog: at most `max_rows` addresses, queued in files of `chunk` rows.
+    """Match the whole backlog of addresses in one pass and append the attempts to the table `answers`.
 
-    The stream over the queue matches what is new to the address table and logs the answers per batch; the
-    years concerned are rewritten once at the end of the run, not once per chunk. A run that stops early leaves
-    its rows in the backlog. Returns the rows of the rewritten years.
+    Addresses tried before are no longer in the backlog, so a run that stops early is simply run again. The sales files
+    stay as they are. Returns the addresses tried.
     """
-    backlog = geocode_backlog(spark.read.parquet(table_path), cities, max_rows)
-    queue, log = f"{work}/queue", f"{work}/answers"
-    backlog.write.mode("append").option("maxRecordsPerFile", chunk).parquet(queue)
-    batches: list[str] = []
-
-    def answer(batch: DataFrame, batch_id: int) -> None:
-        target = f"{log}/batch-{batch_id}"
-        match_geocodes(batch.select("id", "year"), geocodes).write.mode("overwrite").parquet(target)
-        batches.append(target)
-
-    stream = (
-        spark.readStream.schema(backlog.schema)
-        .option("maxFilesPerTrigger", max(1, math.ceil(max_rows / chunk)))
-        .parquet(queue)
-    )
-    (
-        stream.writeStream.foreachBatch(answer).option("checkpointLocation", f"{work}/checkpoint")
-        .trigger(availableNow=True).start().awaitTermination()
-    )
-    if not batches:
-        return 0
-    answers = spark.read.parquet(*batches)
-    return write_geocodes(spark, table_path, answers, now)
+    tx = with_geocodes(spark.read.parquet(table_path), read_geocodes(spark, answers))
+    waiting = geocode_backlog(tx, cities).select("id", "year").distinct()
+    return record_geocodes(match_geocodes(waiting, geocodes), answers, now)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import is_blank
 from ..schemas import JOB_EVENT, WEB_VITAL
+from ..session import folder_names, remove_folder
 
 _BAD = "_unreadable"
 RECENT = 20
@@ -48,9 +49,9 @@ def web_vitals_stream(spark: SparkSession, src) -> DataFrame:
 
 
 def job_state_stream(stream: DataFrame) -> DataFrame:
-    """Newest event of every job; the state is one row per job."""
-    last = F.max_by(F.struct("type", "message", "at"), "at").alias("_last")
-    return stream.groupBy("job").agg(last).select("job", "_last.*")
+    """Newest event of every job, of equal times the greatest; the state is one row per job."""
+    last = F.max(F.struct("at", "type", "message")).alias("_last")
+    return stream.groupBy("job").agg(last).select("job", "_last.type", "_last.message", "_last.at")
 
 
 def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -78,12 +79,13 @@ def _newest(events: DataFrame, n: int) -> DataFrame:
 
 def recent_events(stream: DataFrame, state: str, checkpoint: str, n: int = RECENT) -> None:
     """Keep the newest `n` events. Batch k merges its rows with the `n` rows that batch k-1 left, and writes its
-    own version, so a repeated batch gives the same version again."""
+    own version, so a repeated batch gives the same version again; the version before the last is removed."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = _newest(batch, n)
         if batch_id > 0:
             rows = _newest(rows.unionByName(batch.sparkSession.read.parquet(f"{state}/v{batch_id - 1}")), n)
         rows.write.mode("overwrite").parquet(f"{state}/v{batch_id}")
+        remove_folder(batch.sparkSession, f"{state}/v{batch_id - 2}")
 
     (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -92,5 +94,6 @@ def recent_events(stream: DataFrame, state: str, checkpoint: str, n: int = RECEN
 
 
 def read_recent(spark: SparkSession, state: str, n: int = RECENT) -> DataFrame:
-    """The newest version; each version holds at most `n` rows, older ones only repeat them."""
-    return _newest(spark.read.parquet(f"{state}/v*").distinct(), n)
+    """The newest version; equal events are events of their own."""
+    versions = [int(name[1:]) for name in folder_names(spark, state) if name[:1] == "v" and name[1:].isdigit()]
+    return _newest(spark.read.parquet(f"{state}/v{max(versions)}"), n)

@@ -80,6 +80,21 @@ def test_tagging_against_brute_force(spark):
         assert tags(spark, b, points, tile=tile) == expected
 
 
+def test_long_codes_a_wide_ring_and_a_crowded_tile(spark):
+    country = "ÎLE-DE-FRANCE-12"
+    b = layer(spark, {country: polygon(square(-30, 30, 30, 60)), "a-code-of-16-char": polygon(square(1, 41, 1.5, 41.5))})
+    crowd = [(1.0 + i % 90 / 100, 41.0 + i // 90 / 100) for i in range(1800)]
+    expected = ["a-code-of-16-char" if 1 <= x < 1.5 and 41 <= y < 41.5 else country for x, y in crowd]
+    for tile in (0.5, 1.0, 7.0):
+        assert tags(spark, b, crowd + [(-29.5, 59.5), (31, 40)], tile=tile) == ["ÎLE-DE-FRANCE-12" if e == country else min(e, country) for e in expected] + [country, None]
+
+
+def test_stored_boxes_are_not_computed_again(spark):
+    b = G.feature_bbox(layer(spark, {"b": polygon(square(1, 1, 2, 2)), "far": polygon(square(8, 8, 9, 9))}))
+    stored = b.withColumn("geometry", F.lit("not even JSON"))
+    assert [r["geographic_code"] for r in G.features_in_view(stored, 1, 1, 3, 3).collect()] == ["b"]
+
+
 def test_multipolygon_and_other_types(spark):
     b = layer(spark, {"m": multi([square(0, 0, 1, 1)], [square(5, 5, 6, 6)]), "p": {"type": "Point", "coordinates": [5, 5]}})
     assert tags(spark, b, [(5.5, 5.5), (0.5, 0.5), (3, 3)]) == ["m", "m", None]

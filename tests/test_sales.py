@@ -68,9 +68,9 @@ def test_mean_is_rounded_half_up(spark):
     assert stats(spark, [("0.01", None), ("0.02", None)])["average_price"] == 0.02
 
 
-def test_unscoped_stats_are_zero(spark):
+def test_unscoped_stats_cover_the_table(spark):
     row = S.transaction_stats(lots(spark, [(100, 10)]), None, city=" ").first()
-    assert row["total_transactions"] == 0 and row["max_price"] == 0
+    assert row["total_transactions"] == 1 and row["max_price"] == 100
 
 
 def test_price_overview_leaves_out_empty_groups(spark):
@@ -184,7 +184,8 @@ def test_viewport_guards(spark):
     df = spark.createDataFrame([(45.0, 2.0), (46.0, 2.0)], "latitude DOUBLE, longitude DOUBLE")
     assert S.in_viewport(df, 45.0, 2.0, 46.0, 3.0).count() == 2
     assert S.in_viewport(df, 46.0, 2.0, 45.0, 3.0).count() == 0
-    assert S.in_viewport(df, 40.0, 2.0, 46.0, 3.0).count() == 0
+    assert S.in_viewport(df, 40.0, 2.0, 46.0, 3.0).count() == 2
+    assert S.in_viewport(df, 40.0, 2.0, 46.0, 3.0, max_degrees=5.0).count() == 0
 
 
 def test_heat_cells(spark):
@@ -216,3 +217,30 @@ def test_duplicate_geocoder_answers_do_not_multiply(spark):
         "id BIGINT, latitude DOUBLE, longitude DOUBLE, score DOUBLE")
     rows = {r["id"]: (r["latitude"], r["resolved"]) for r in S.match_geocodes(inputs, answers).collect()}
     assert rows == {1: (45.0, True), 2: (45.0, False), 3: (45.0, True), 4: (None, False)}
+
+
+def test_pages_follow_one_another(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(10)], "a BIGINT, id BIGINT")
+    seen, after = [], None
+    while rows := P.page_after(df, ["a", "id"], after, 4).collect():
+        seen += [tuple(r) for r in rows]
+        after = seen[-1]
+    assert seen == sorted((i % 3, i) for i in range(10))
+
+
+def test_a_page_keeps_its_order_after_the_join(spark):
+    tx = spark.range(200).select(F.col("id"), (F.col("id") % 7).cast("string").alias("city_insee_code"), (500 - F.col("id")).alias("property_value"))
+    cities = spark.createDataFrame([(str(i), f"c{i}") for i in range(7)], "insee_code STRING, name STRING")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        page = S.search_transactions(tx, cities, number=1, size=50, sort=["property_value"])
+        assert [r["id"] for r in page.collect()] == list(range(149, 99, -1))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lower_median_is_exact(spark):
+    df = spark.createDataFrame([("a", v) for v in (4.0, 1.0, 3.0, 2.0)] + [("b", v) for v in (7.0, 5.0, 6.0)], "k STRING, v DOUBLE")
+    got = {r["k"]: float(r["median"]) for r in R.upper_median(df, ["k"], "v", lower=True).collect()}
+    assert got == {"a": 2.0, "b": 6.0}

@@ -88,16 +88,24 @@ def test_name_and_boundary_upsert(spark):
     assert {tuple(r) for r in b.collect()} == {("CITY", "1", "b", "h"), ("REGION", "1", "r", "g")}
 
 
+def test_the_last_row_of_a_feed_wins(spark):
+    known = spark.createDataFrame([("1", "Old", "r1")], "code STRING, name STRING, region_code STRING")
+    new = spark.createDataFrame([("1", "Z", 1), ("1", "A", 2)], "code STRING, name STRING, at INT")
+    assert [tuple(r) for r in sinks.upsert(known, new, ["code"], ["name"], order="at").collect()] == [("1", "A", "r1")]
+
+
 def test_indicator_rerun_adds_nothing(spark, tmp_path):
     path = str(tmp_path / "indicators")
     def facts(category, value):
         return spark.createDataFrame([("CITY", "1", category, "l", value, "%", 2020)],
                                      "geographic_level STRING, geographic_code STRING, category STRING, label STRING, "
                                      "value DOUBLE, unit STRING, year INT")
+    sinks.append_indicators(facts("ENERGY", 1.0).withColumn("year", F.lit(2019)), path)
     sinks.append_indicators(facts("ENERGY", 1.0), path)
     sinks.append_indicators(facts("HEALTH", 2.0), path)
     sinks.append_indicators(facts("ENERGY", 3.0), path)
-    assert {(r["category"], r["value"]) for r in spark.read.parquet(path).collect()} == {("ENERGY", 3.0), ("HEALTH", 2.0)}
+    assert sorted((r["category"], r["year"], r["value"]) for r in spark.read.parquet(path).collect()) == [
+        ("ENERGY", 2019, 1.0), ("ENERGY", 2020, 3.0), ("HEALTH", 2020, 2.0)]
 
 
 def test_geocodes_touch_only_tried_rows(spark, tmp_path):

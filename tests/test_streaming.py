@@ -79,22 +79,50 @@ def test_landed_years_are_replaced_and_refreshed(spark, tmp_path):
     assert spark.read.parquet(tables["transactions"]).count() == 3
 
 
-def test_geocoding_drains_in_runs(spark, tmp_path):
-    table, work = str(tmp_path / "tx"), str(tmp_path / "work")
+def test_geocoding_takes_the_whole_backlog_and_rewrites_no_sales(spark, tmp_path):
+    table, answered = str(tmp_path / "tx"), str(tmp_path / "answers")
     nothing = {c: F.lit(None).cast(t) for c, t in (("latitude", "double"), ("longitude", "double"), ("geocoded_at", "timestamp"))}
     sinks.overwrite_years(lots(spark, [(i, 2018 + i % 2, 1) for i in range(10)]).withColumns(nothing), table)
     cities = spark.createDataFrame([("c1", "Paris")], "insee_code STRING, name STRING")
     answers = spark.createDataFrame([(i, 45.0, 2.0, 0.9 if i % 3 else 0.1) for i in range(8)],
                                     "id BIGINT, latitude DOUBLE, longitude DOUBLE, score DOUBLE")
 
+    def merged():
+        return sinks.with_geocodes(spark.read.parquet(table), sinks.read_geocodes(spark, answered))
+
     def run():
-        streaming.drain_geocoding(spark, table, cities, answers, work, NOW, max_rows=4, chunk=2)
-        rows = spark.read.parquet(table).collect()
+        tried = streaming.drain_geocoding(spark, table, cities, answers, answered, NOW)
+        rows = merged().collect()
         assert len(rows) == 10
-        return sorted(r["id"] for r in rows if r["geocoded_at"]), sorted(r["id"] for r in rows if r["latitude"])
+        return tried, sorted(r["id"] for r in rows if r["geocoded_at"]), sorted(r["id"] for r in rows if r["latitude"])
+
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "tx").rglob("*.parquet")}
+    assert run() == (10, list(range(10)), [1, 2, 4, 5, 7])
+    assert run() == (0, list(range(10)), [1, 2, 4, 5, 7])
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "tx").rglob("*.parquet")} == before
+    assert S.geocode_backlog_size(merged()).first()["backlog"] == 0
+
 
-    assert run() == ([0, 1, 2, 3], [1, 2])
-    assert run() == (list(range(8)), [1, 2, 4, 5, 7])
-    assert run() == (list(range(10)), [1, 2, 4, 5, 7])
-    assert run() == (list(range(10)), [1, 2, 4, 5, 7])
-    assert S.geocode_backlog_size(spark.read.parquet(table)).first()["backlog"] == 0
+def test_the_newest_release_of_a_year_wins(spark, tmp_path):
+    landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "c")
+    tables = {"transactions": str(tmp_path / "tx"), "city_stats": str(tmp_path / "stats"), "rejected": str(tmp_path / "no")}
+
+    def land(release, rows):
+        lots(spark, rows).withColumn("release", F.lit(release)).write.mode("append").partitionBy("year", "release").parquet(landing)
+        streaming.sales_refresh_stream(spark, landing, tables, checkpoint, NOW)
+        return {r["year"]: r["transaction_count"] for r in spark.read.parquet(tables["city_stats"]).collect()}
+
+    assert land(1, [(1, 2018, 100000), (2, 2019, 100000)]) == {2018: 1, 2019: 1}
+    assert land(2, [(1, 2018, 100000), (3, 2018, 100000)]) == {2018: 2, 2019: 1}
+    assert land(2, [(4, 2018, 100000)]) == {2018: 3, 2019: 1}
+    assert land(1, [(5, 2018, 100000), (6, 2012, 100000), (7, 2031, 100000)]) == {2018: 3, 2019: 1}
+    assert sorted((r["year"], r["rows"]) for r in spark.read.parquet(tables["rejected"]).collect()) == [(2012, 1), (2031, 1)]
+
+
+def test_equal_events_are_kept_and_old_versions_removed(spark, tmp_path):
+    state, checkpoint = str(tmp_path / "state"), str(tmp_path / "c")
+    for run in range(4):
+        drop(tmp_path / "in", f"{run}.json", event(5, "a", "RUNNING"), event(5, "a", "RUNNING"))
+        streaming.recent_events(streaming.job_events_stream(spark, str(tmp_path / "in")), state, checkpoint, n=5)
+    assert streaming.read_recent(spark, state, 5).count() == 5
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v2", "v3"]
