@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Hand this package's source to the executors, once per application, so that their Python finds it however the
+    driver does. Spark serves the archive from the driver; executors read no folder of it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    folder, root = tempfile.mkdtemp(prefix="terrascope-code-"), Path(__file__).resolve().parents[2]
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/terrascope-code.zip", "w") as archive:
+        for source in sorted((root / "terrascope").rglob("*.py")):
+            archive.write(source, source.relative_to(root))
+    spark.sparkContext.addPyFile(f"{folder}/terrascope-code.zip")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
