@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrascope.llm import (
-    chat, decontaminate, jaccard, licenses, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity,
+    chat, components, decontaminate, jaccard, licenses, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity,
 )
 from terrascope.llm.components import connected
 
@@ -287,7 +287,9 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     assert Counter((r.id, r.n_shingles, r.component_id) for r in got.collect()) == expected
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [2, 500_000])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "BLOCK_LINKS", block)
     links = spark.createDataFrame([(1, 2), (3, 2), (7, 8), (9, 7), (5, 5), (3, 12), (20, 12)], "a long, b long")
     got = {r.node: r.root for r in connected(links, "a", "b").collect()}
     assert got == {1: 1, 2: 1, 3: 1, 12: 1, 20: 1, 7: 7, 8: 7, 9: 7}
