@@ -62,15 +62,15 @@ def balanced_map(by_slot: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def rebalanced_map(slot_map: DataFrame, by_slot: DataFrame, shards: int) -> DataFrame:
-    """The map edited for `shards` shards: overfull shards hand their smallest slots to the others.
+    """The map edited for `shards` shards: overfull shards hand slots to the others.
 
-    A slot stays where it is while its shard is within the mean; shards that are gone hand over all of theirs. The
-    slots that move are dealt out, largest first, to the shards with the most room.
+    Slots stay where they are, by number, while their shard is within the mean; shards that are gone hand over all of
+    theirs. The slots that move are dealt out, largest first, to the shards with the most room.
     """
     held = by_slot.join(slot_map, "virtual_slot", "left")
     mean = F.sum("bytes").over(W.partitionBy(F.lit(1))) / F.lit(shards)
     upto = F.sum("bytes").over(
-        W.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(W.unboundedPreceding, 0))
+        W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, 0))
     stays = F.coalesce((F.col("shard") < shards) & (F.col("_upto") <= F.col("_mean")), F.lit(False))
     load = F.sum(F.when(F.col("_stays"), F.col("bytes"))).over(W.partitionBy("shard"))
     marked = held.withColumn("_mean", mean).withColumn("_upto", upto).withColumn("_stays", stays).withColumn("_load", load)
