@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import staged
+
 # Letters that look like Latin ones, and what digits and signs stand for inside words.
 HOMOGLYPHS = str.maketrans(
     "авеікмнорстухѕјԁһӏ" "αβεικνορτυχ" "ıℓ",
@@ -121,8 +123,9 @@ def fit(
         known = known.filter(training)
     total = known.count()
     part = min(1.0, fit_rows / max(total, 1))
-    sample = known.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col("id")), F.lit(1 << 20)) < int(part * (1 << 20)))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(sample, "id").select("toxic", "text")
+    picked = F.pmod(F.xxhash64(F.lit("fit"), F.col("id")), F.lit(1 << 20)) < int(part * (1 << 20))
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(picked)
+    rows = staged(texts.join(known.filter(picked), "id").select("toxic", "text"), "toxicity-rows")
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
