@@ -37,7 +37,7 @@ SIGNS = str.maketrans("@$!|", "asil")  # only before a letter or digit: elsewher
 
 FIT_ROWS = 20_000  # labelled rows the model is fitted on, in the mean; the rows are chosen by a hash of their id
 STEM = (3, 12)  # letters in a stem
-LEAST_TEXTS, LEAST_ODDS = 4, 3.0  # toxic texts with a stem, and its log odds
+LEAST_TEXTS, LEAST_ODDS = 5, 3.0  # toxic texts with a stem, and its log odds
 LEXICON = 5_000  # stems kept, by weight
 EXCEPTIONS: tuple[str, ...] = ()  # phrases in which a stem is harmless, beside the learned ones
 RESULT = T.StructType([
