@@ -143,7 +143,6 @@ def mix(
     copies = F.col("_mix_whole") + F.when(point(F.col(doc_id)) < F.col("_mix_below"), 1).otherwise(0)
     return (
         docs.join(plan, F.col(source).eqNullSafe(F.col("_mix_source")))
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-        .filter(F.col("_mix_copy") <= copies)
+        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))))  # none for no copies
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
