@@ -3,7 +3,10 @@
 A block is the sentence, over its lines, around a word that license notices use. Each block is compressed alone and with
 each template as a raw zstandard dictionary; the templates are ranked by how much smaller the block gets. In that order they
 are compared word by word: a template is confirmed when the words that differ are few and none of them tells licenses
-apart (a name, a number, a clause). The first confirmed one is the block's license.
+apart (a name, a number, a clause; not the number of a list item). The first confirmed one is the block's license. A
+notice may be laid out in paragraphs: what stays unexplained of neighbouring blocks is compared together, blank lines and
+short gaps between them included, with the templates of several sentences. Texts are read in windows of WINDOW words, of
+which neighbours share half, so that a notice of up to half a window is seen whole.
 
 Defined results: a null or empty text has no blocks; ties of rank go to the earlier template; equal texts get equal
 results; a block that no template explains is reported without a license; a column named like the result is replaced.
@@ -14,7 +17,9 @@ from __future__ import annotations
 import difflib
 import functools
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -96,12 +101,17 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 # Words of which a notice has at least one.
 MARKS = re.compile(
-    r"licen[sc]|copyright|copyleft|public domain|creative commons|spdx|redistribut|permission (?:is|to)|\bwarrant(?:y|ies)",
+    r"licen[sc]|copyright|copyleft|public domain|creative commons|spdx|redistribut|permission (?:is|to)|\bwarrant(?:y|ies)|"
+    r"endorse\s+or\s+promote",
     re.IGNORECASE)
 TELLING = re.compile(
     r"mit|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|bsd|clause|isc|unencumbered|cc0|cc|by|nc|sa|nd|"
     r"attribution|sharealike|noncommercial|noderivatives|endorse|fee|\d+")
 REACH = 2000
+GAP_WORDS = 20  # words between blocks of one group
+LONG_WORDS = 20  # templates of more words are looked for over several blocks
+WINDOW = 800  # words compared with a template at once
+STRAY_WORDS = 10  # a smaller match so far from the others is chance
 LEAST_MATCH = 0.8  # share of a template's words that a block must have in order
 RESULT = T.StructType([
     T.StructField("blocks", T.LongType()),
@@ -116,12 +126,31 @@ _ARROW = pa.struct([
         ("license", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("saved", pa.float64()),
         ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))])))])
 _WORD = re.compile(r"[a-z]+\d*|\d+")
+_LISTED = re.compile(r"(?:^[^\w\n]*|[.:;]\s+)\(?(\d{1,2})[.)](?=\s)", re.MULTILINE)
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class Words:
+    """The words of a text, where they begin and end, and which of them number the items of a list."""
+
+    def __init__(self, text: str):
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(c.lower()[0] for c in text)
+        found = list(_WORD.finditer(low))
+        listed = {m.start(1) for m in _LISTED.finditer(text)}
+        self.text, self.said = text, [m[0] for m in found]
+        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+        self.listed = {i for i, at in enumerate(self.starts) if at in listed}
+
+    def part(self, low: int, high: int) -> str:
+        """The text of some words; the whole text, of all."""
+        return self.text if (low, high) == (0, len(self.said)) else self.text[self.starts[low]:self.ends[high - 1]]
+
+
 def _sentence(text: str, mark: re.Match) -> tuple[int, int]:
     """The lines around a mark, from the end of the sentence before to the end of its own. Of a line or sentence of
     more than REACH characters, the text within REACH of the mark."""
@@ -158,13 +187,24 @@ def blocks(text: str | None) -> list[list[tuple[int, str]]]:
     groups: list[list[tuple[int, str]]] = []
     last = -2
     for start, end in spans:
-        if start > last + 1:
+        if last < 0 or start > last + REACH or len(words(text[last:start])) > GAP_WORDS:
             groups.append([])
         groups[-1].append((start, text[start:end]))
         last = end
     return groups
 
 
+class Notice(NamedTuple):
+    """A confirmed template in a text: from where to where its words stand there, and which differ."""
+
+    license: str
+    saved: float
+    missing: tuple[str, ...]
+    added: tuple[str, ...]
+    start: int
+    end: int
+
+
 class Scanner:
     """Compressors with the templates as dictionaries."""
 
@@ -174,40 +214,97 @@ class Scanner:
         for name, texts in templates.items():
             for text in texts:
                 data = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.entries.append((name, words(text), zstandard.ZstdCompressor(level=3, dict_data=data)))
+                self.entries.append((
+                    name, words(text), Counter(words(text)), zstandard.ZstdCompressor(level=3, dict_data=data)))
 
-    def ranked(self, block: str) -> list[tuple[float, str, list[str]]]:
-        """(share of the compressed size saved, license, words of the template), the best first."""
+    def ranked(self, block: str, said: list[str], several: bool = False) -> list[tuple[float, str, list[str]]]:
+        """(share of the compressed size saved, license, words of the template), the best first. Templates of whose words
+        too few are said in any order are left out; `several` takes those that stand in several blocks."""
+        counts = Counter(said)
+        entries = [
+            e for e in self.entries if (len(e[1]) > LONG_WORDS or not several)
+            and sum(min(n, counts[w]) for w, n in e[2].items()) >= LEAST_MATCH * len(e[1])]
+        if not entries:
+            return []
         raw = block.encode("utf-8", "replace")
         size = len(self.alone.compress(raw))
-        scores = [((size - len(c.compress(raw))) / size, name, template) for name, template, c in self.entries]
+        scores = [((size - len(c.compress(raw))) / size, name, template) for name, template, _, c in entries]
         return sorted(scores, key=lambda s: -s[0])
 
     @functools.lru_cache(maxsize=4096)  # noqa: B019
-    def identify(self, block: str) -> tuple | None:
-        """(license, share saved, missing words, added words) of the first confirmed template, by rank."""
-        said = words(block)
-        for saved, name, template in self.ranked(block):
-            match = differences(template, said)
+    def identify(self, block: str, several: bool = False) -> list[Notice]:
+        """The notices of a text, in order."""
+        text, found, low = Words(block), [], 0
+        while low < len(text.said):
+            high = min(low + WINDOW, len(text.said))
+            found += self._first(text, low, high, several)
+            if high == len(text.said) or found:
+                break
+            low = high - WINDOW // 2
+        return found
+
+    def _first(self, text: Words, low: int, high: int, several: bool) -> list[Notice]:
+        """The first confirmed template, by rank, of the words from `low` to `high`."""
+        said, listed = text.said[low:high], {i - low for i in text.listed}
+        for saved, name, template in self.ranked(text.part(low, high), said, several):
+            match = differences(template, said, listed)
             if match is not None:
-                return name, saved, *match
-        return None
+                missing, added, first, end = match
+                return [Notice(name, saved, missing, added, text.starts[low + first], text.ends[low + end - 1])]
+        return []
 
 
-def differences(template: list[str], said: list[str]) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
-    """The template's words that the block lacks, and words inside the matched stretch that the template lacks; None
-    when too many are missing or one of either tells licenses apart."""
+def differences(
+    template: list[str], said: list[str], listed: Container[int] = (),
+) -> tuple[tuple[str, ...], tuple[str, ...], int, int] | None:
+    """The template's words that the block lacks, words inside the matched stretch that the template lacks, and where
+    the stretch begins and ends; None when too many are missing or one of either tells licenses apart. Words at the
+    places in `listed` number list items and are no additions."""
     pairs = [m for m in difflib.SequenceMatcher(None, template, said, autojunk=False).get_matching_blocks() if m.size]
     if sum(m.size for m in pairs) < LEAST_MATCH * len(template):
         return None
-    kept = {i for m in pairs for i in range(m.a, m.a + m.size)}
-    used = {i for m in pairs for i in range(m.b, m.b + m.size)}
-    missing = tuple(w for i, w in enumerate(template) if i not in kept)
-    low, high = min(used), max(used)
-    added = tuple(said[i] for i in range(low, high + 1) if i not in used)
-    if any(TELLING.fullmatch(w) for w in (*missing, *added)):
-        return None
-    return missing, added
+    for chosen in (_together(pairs, LEAST_MATCH * len(template)), pairs):
+        kept = {i for m in chosen for i in range(m.a, m.a + m.size)}
+        used = {i for m in chosen for i in range(m.b, m.b + m.size)}
+        missing = tuple(w for i, w in enumerate(template) if i not in kept)
+        low, high = min(used), max(used) + 1
+        added = tuple(said[i] for i in range(low, high) if i not in used and i not in listed)
+        if not any(TELLING.fullmatch(w) for w in (*missing, *added)):
+            return missing, added, low, high
+    return None
+
+
+def _together(pairs: list[difflib.Match], least: float) -> list[difflib.Match]:
+    """The matches without chance ones far before or after the others."""
+    pairs = list(pairs)
+    for outer, inner in ((0, 1), (-1, -2)):
+        while len(pairs) > 1 and sum(m.size for m in pairs) - pairs[outer].size >= least:
+            one, two = sorted((pairs[outer], pairs[inner]))
+            if two.b - one.b - one.size < max(STRAY_WORDS, pairs[outer].size):
+                break
+            del pairs[outer]
+    return pairs
+
+
+def group_notices(scanner: Scanner, text: str, group: list[tuple[int, str]]) -> list[tuple[int, int, Notice]]:
+    """(start, length, notice) of every notice of neighbouring blocks. A block with several notices is divided among
+    them; a notice over several blocks has all that lies from the first of them to the last."""
+    found, left, begin = [], [], group[0][0]
+    end = group[-1][0] + len(group[-1][1])
+    for start, block in group:
+        notices, low = scanner.identify(block), start
+        for i, notice in enumerate(notices):
+            high = start + (len(block) if i == len(notices) - 1 else notice.end)
+            found.append((low, high - low, notice))
+            left.append((begin, start + notice.start))
+            low, begin = high, start + notice.end
+    if len(group) > 1:
+        for low, high in [*left, (begin, end)]:
+            for notice in scanner.identify(text[low:high], several=True):
+                first = max([s for s, _ in group if low <= s <= low + notice.start], default=low)
+                last = min([s + len(b) for s, b in group if low + notice.end <= s + len(b) <= high], default=high)
+                found.append((first, last - first, notice))
+    return sorted(found, key=lambda f: f[0])
 
 
 def scan_licenses(
@@ -223,15 +320,11 @@ def scan_licenses(
         for batch in batches:
             rows = []
             for doc in batch.column(batch.schema.names.index(text)):
-                groups, found = blocks(doc.as_py()), []
-                for group in groups:
-                    known = [(start, block, scanner.identify(block)) for start, block in group]
-                    if len(group) > 1 and not any(k for _, _, k in known):
-                        whole = "\n".join(block for _, block in group)  # one notice of several sentences
-                        known = [(group[0][0], whole, scanner.identify(whole))]
-                    found += [{
-                        "license": k[0], "start": start, "length": len(block), "saved": k[1], "missing": list(k[2]),
-                        "added": list(k[3])} for start, block, k in known if k]
+                body = doc.as_py() or ""
+                groups = blocks(body)
+                found = [{
+                    "license": k.license, "start": start, "length": length, "saved": k.saved, "missing": list(k.missing),
+                    "added": list(k.added)} for group in groups for start, length, k in group_notices(scanner, body, group)]
                 rows.append({"blocks": sum(map(len, groups)), "found": found})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _ARROW)], [*batch.schema.names, result])
 

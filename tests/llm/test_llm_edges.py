@@ -330,3 +330,56 @@ def test_sharding(spark, docs, nothing, tmp_path):
     old = {r.virtual_slot: r.shard for r in sharding.read_map(spark, f"file://{tmp_path}/versions", 1).collect()}
     moved = sum(old[r.virtual_slot] != r.shard for r in newest.collect())
     assert 0 < moved < len(old) / 5
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+BSD_TEXT = """Copyright (c) 2019, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def named(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licenses.scan_licenses(df).orderBy("doc_id").select("licenses.found").collect()
+    return [[f.license for f in r.found] for r in rows]
+
+
+def test_license_in_paragraphs(spark):
+    bsd, google = BSD_TEXT.format("the copyright holder"), BSD_TEXT.format("Example Inc.")
+    texts = [
+        MIT_TEXT, bsd, google, " ".join(bsd.split()), MIT_TEXT.replace("\n", "\r\n"),
+        "Licensed under CC BY 4.0.\n\n" + MIT_TEXT, LONG[:9000] + "\n" + MIT_TEXT, "A licensed word. " * 3000 + "\n\n" + MIT_TEXT]
+    assert named(spark, texts) == [
+        ["MIT"], ["BSD-3-Clause"], ["BSD-3-Clause"], ["BSD-3-Clause"], ["MIT"], ["CC-BY-4.0", "MIT"],
+        ["MIT"], ["MIT"]]
+    assert named(spark, ["Licensed under the Apache License, Version\n3. Anything"]) == [[]]
