@@ -3,7 +3,9 @@
 A block is the sentence, over its lines, around a word that license notices use. Each block is compressed alone and with
 each template as a raw zstandard dictionary; the templates are ranked by how much smaller the block gets. In that order they
 are compared word by word: a template is confirmed when the words that differ are few and none of them tells licenses
-apart (a name, a number, a clause; not the number of a list item). The first confirmed one is the block's license. A
+apart (a name, a number, a clause; not the number of a list item). The first confirmed one is a license of the
+block; its stretch is cut out and what is left on either side is compared again, until nothing is confirmed. Notices in
+one sentence share the words before the name ("Licensed under the MIT License and ..."). A
 notice may be laid out in paragraphs: what stays unexplained of neighbouring blocks is compared together, blank lines and
 short gaps between them included, with the templates of several sentences. Texts are read in windows of WINDOW words, of
 which neighbours share half, so that a notice of up to half a window is seen whole.
@@ -18,7 +20,7 @@ import difflib
 import functools
 import re
 from collections import Counter
-from collections.abc import Container, Iterator
+from collections.abc import Container, Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -111,6 +113,7 @@ REACH = 2000
 GAP_WORDS = 20  # words between blocks of one group
 LONG_WORDS = 20  # templates of more words are looked for over several blocks
 WINDOW = 800  # words compared with a template at once
+JOINING = {"and", "or", "either", "also", "alternatively", "at", "your", "option", "of", "under", "terms", "the", "a", "an"}
 STRAY_WORDS = 10  # a smaller match so far from the others is chance
 LEAST_MATCH = 0.8  # share of a template's words that a block must have in order
 RESULT = T.StructType([
@@ -126,6 +129,7 @@ _ARROW = pa.struct([
         ("license", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("saved", pa.float64()),
         ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))])))])
 _WORD = re.compile(r"[a-z]+\d*|\d+")
+_STOP = re.compile(r"[.!?](?:\s|$)|\n\s*\n")
 _LISTED = re.compile(r"(?:^[^\w\n]*|[.:;]\s+)\(?(\d{1,2})[.)](?=\s)", re.MULTILINE)
 
 
@@ -237,37 +241,82 @@ class Scanner:
         text, found, low = Words(block), [], 0
         while low < len(text.said):
             high = min(low + WINDOW, len(text.said))
-            found += self._first(text, low, high, several)
-            if high == len(text.said) or found:
+            found += self._between(text, low, high, several)
+            if high == len(text.said):
                 break
-            low = high - WINDOW // 2
-        return found
-
-    def _first(self, text: Words, low: int, high: int, several: bool) -> list[Notice]:
-        """The first confirmed template, by rank, of the words from `low` to `high`."""
-        said, listed = text.said[low:high], {i - low for i in text.listed}
-        for saved, name, template in self.ranked(text.part(low, high), said, several):
-            match = differences(template, said, listed)
+            low = max(high - WINDOW // 2, found[-1][1] if found else 0)
+        return [notice for _, _, notice in found]
+
+    def _between(self, text: Words, low: int, high: int, several: bool) -> list[tuple[int, int, Notice]]:
+        """(first word, word after the last, notice) of the notices in the words from `low` to `high`, in order."""
+        found, waiting = [], [(low, high, range(0))]
+        while waiting:
+            low, high, lead = waiting.pop()
+            hit = None
+            if len(lead):
+                at = _joined(text, low, high)
+                hit = self._first(text, [*lead, *range(at, high)], several, at) if at else None
+            if hit is None:
+                lead, hit = range(0), self._first(text, range(low, high), several)
+            if hit is None:
+                continue
+            found.append(hit)
+            if not len(lead):
+                lead = range(hit[0], hit[1])
+                lead = lead[:next((i for i, w in enumerate(lead) if TELLING.fullmatch(text.said[w])), 0)]
+                waiting.append((low, hit[0], range(0)))
+            waiting.append((hit[1], high, lead))
+        return sorted(found, key=lambda f: f[0])
+
+    def _first(
+        self, text: Words, places: Sequence[int], several: bool, joined: int | None = None,
+    ) -> tuple[int, int, Notice] | None:
+        """The first confirmed template, by rank, of the words at `places`. With `joined`, words before that place are
+        the lead of another notice, and the stretch must use some of them and the word at `joined`."""
+        if not len(places):
+            return None
+        said, listed = [text.said[i] for i in places], {j for j, i in enumerate(places) if i in text.listed}
+        lead = 0 if joined is None else places.index(joined)
+        part = text.part(places[lead], places[-1] + 1)
+        if lead:
+            part = f"{text.part(places[0], places[lead - 1] + 1)} {part}"
+        for saved, name, template in self.ranked(part, said, several):
+            match = differences(template, said, listed, lead)
             if match is not None:
                 missing, added, first, end = match
-                return [Notice(name, saved, missing, added, text.starts[low + first], text.ends[low + end - 1])]
-        return []
+                first, end = places[max(first, lead)], places[end - 1] + 1
+                return first, end, Notice(name, saved, missing, added, text.starts[first], text.ends[end - 1])
+        return None
+
+
+def _joined(text: Words, low: int, high: int) -> int | None:
+    """The place of the first word from `low` on that does not join, if the same sentence goes on until there."""
+    at = next((i for i in range(low, high) if text.said[i] not in JOINING), None)
+    if not at:
+        return None
+    between = text.text[text.ends[low - 1]:text.starts[at]]
+    return at if between.strip() and not _STOP.search(between) else None
 
 
 def differences(
-    template: list[str], said: list[str], listed: Container[int] = (),
+    template: list[str], said: list[str], listed: Container[int] = (), lead: int = 0,
 ) -> tuple[tuple[str, ...], tuple[str, ...], int, int] | None:
     """The template's words that the block lacks, words inside the matched stretch that the template lacks, and where
     the stretch begins and ends; None when too many are missing or one of either tells licenses apart. Words at the
-    places in `listed` number list items and are no additions."""
+    places in `listed` number list items and are no additions. Of a sentence with the first `lead` words taken from the
+    notice before, the stretch must have some of them and the next word."""
     pairs = [m for m in difflib.SequenceMatcher(None, template, said, autojunk=False).get_matching_blocks() if m.size]
-    if sum(m.size for m in pairs) < LEAST_MATCH * len(template):
+    least = LEAST_MATCH * len(template)
+    if sum(m.size for m in pairs) < least:
         return None
-    for chosen in (_together(pairs, LEAST_MATCH * len(template)), pairs):
+    before = [pairs[:i] for i in range(len(pairs) - 1, 0, -1) if said[pairs[i - 1].b + pairs[i - 1].size] in ("and", "or")]
+    for chosen in (_together(pairs, least), pairs, *(b for b in before if sum(m.size for m in b) >= least)):
         kept = {i for m in chosen for i in range(m.a, m.a + m.size)}
         used = {i for m in chosen for i in range(m.b, m.b + m.size)}
         missing = tuple(w for i, w in enumerate(template) if i not in kept)
         low, high = min(used), max(used) + 1
+        if lead and (low >= lead or lead not in used):
+            continue
         added = tuple(said[i] for i in range(low, high) if i not in used and i not in listed)
         if not any(TELLING.fullmatch(w) for w in (*missing, *added)):
             return missing, added, low, high

@@ -383,3 +383,22 @@ def test_license_in_paragraphs(spark):
         ["MIT"], ["BSD-3-Clause"], ["BSD-3-Clause"], ["BSD-3-Clause"], ["MIT"], ["CC-BY-4.0", "MIT"],
         ["MIT"], ["MIT"]]
     assert named(spark, ["Licensed under the Apache License, Version\n3. Anything"]) == [[]]
+
+
+def test_several_licenses_in_a_block(spark):
+    texts = [
+        "Licensed under the MIT License. Licensed under CC BY 4.0.",
+        "Licensed under the MIT License and the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0, or (at your option) the MIT license.",
+        "Licensed under the MIT License, the Apache License, Version 2.0 and CC BY 4.0.",
+        "Licensed under the MIT and the Apache License, Version 2.0.",
+        "SPDX-License-Identifier: MIT OR Apache-2.0",
+        "Licensed under the MIT License. The Apache License, Version 2.0 is longer.",
+        "Licensed under the MIT No Attribution License.",
+        MIT_TEXT + "\n" + BSD_TEXT.format("Somebody"),
+        "Licensed under CC BY 4.0. Some words. " * 400,
+        LONG[:3000] + " Licensed under CC BY 4.0. " + LONG[:1500] + " Released under the MIT License. " + LONG[:3000]]
+    assert named(spark, texts) == [
+        ["MIT", "CC-BY-4.0"], ["MIT", "Apache-2.0"], ["Apache-2.0", "MIT"], ["MIT", "Apache-2.0", "CC-BY-4.0"],
+        ["MIT", "Apache-2.0"], ["MIT", "Apache-2.0"], ["MIT"], [], ["MIT", "BSD-3-Clause"], ["CC-BY-4.0"] * 400,
+        ["CC-BY-4.0", "MIT"]]
