@@ -227,9 +227,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`n_near`: for ids divisible by 100, the documents within three bits, the document itself among them."""
     found = staged(simhash.fingerprint_documents(table(spark, sf_dir, "documents")), "fingerprints")
     asked = found.filter("id % 100 = 0")
-    near = asked.select("id", "fingerprint").join(
-        simhash.near_counts(found, asked), "fingerprint").select(F.col("id").alias("asked"), "n_near")
-    return found.join(near.distinct(), F.col("id") == F.col("asked"), "left").select(
+    counted = asked.join(simhash.near_counts(found, asked), "fingerprint", "left")
+    others = found.filter("coalesce(id % 100, 1) <> 0").withColumn("n_near", F.lit(None).cast("bigint"))
+    return counted.unionByName(others).select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
         "near_next", "n_near")
 

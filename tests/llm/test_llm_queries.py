@@ -94,3 +94,16 @@ def test_shards(spark, texts):
     assert sorted(r.doc_id for r in rows) == sorted(texts)
     assert set(load) == set(range(8)) and max(load.values()) - min(load.values()) < 0.02 * max(load.values())
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_near_counts_of_an_id_with_several_texts(spark, tmp_path):
+    said = [(100, f"t{i} u{i} v{i} w{i} x{i} y{i}") for i in range(6)] + [(100, "t0 u0 v0 w0 x0 y0")] + [
+        (i, "t1 u1 v1 w1 x1 y1") for i in (7, 200, None)] + [(None, "more"), (300, "t0 u0 v0 w0 x0 y0")]
+    spark.createDataFrame(said, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op7_document_fingerprints"](spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in said)
+    prints = [int(r.fingerprint, 16) for r in rows]
+    for r, p in zip(rows, prints, strict=True):
+        near = sum((p ^ q).bit_count() <= 3 for q in prints) if r.doc_id in (100, 200, 300) else None
+        assert r.n_near == near
+    assert len({r.n_near for r in rows if r.doc_id == 100}) > 1
