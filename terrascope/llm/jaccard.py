@@ -124,19 +124,21 @@ def _bitmap_words(n: int) -> int:
 
 
 def _linked_lists(sizes: np.ndarray, raw: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Links between sets of one list. Sets are compared by bitmaps of one width; similar sizes are at most one width
-    apart, and then the wider bitmap is OR-folded."""
+    """Links between sets of one list. Sets are compared by bitmaps of one width; wider bitmaps are OR-folded. A set has
+    more than half the bits of its width, so similar sets have widths of a ratio under 200 / percent."""
     width = np.array([len(b) // 8 for b in raw])
     classes, links = Classes(len(raw)), []
     for w in np.unique(width):
-        here, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        here, wider = np.flatnonzero(width == w), np.flatnonzero((width > w) & (percent * width < 200 * w))
         bits = np.zeros((len(raw), w), np.uint64)
         bits[here] = np.frombuffer(b"".join(raw[i] for i in here), np.uint64).reshape(-1, w)
         here = here[np.lexsort((sizes[here], bits[here, 0]))]
         links += link(sizes, bits, here, percent, classes)
         if len(wider):
-            double = np.frombuffer(b"".join(raw[i] for i in wider), np.uint64).reshape(-1, 2, w)
-            bits[wider] = np.bitwise_or.reduce(double, axis=1)
+            for v in np.unique(width[wider]):
+                at = wider[width[wider] == v]
+                parts = np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(-1, v // w, w)
+                bits[at] = np.bitwise_or.reduce(parts, axis=1)
             links += link(sizes, bits, here, percent, classes, others=wider)
     return links
 

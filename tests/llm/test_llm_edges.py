@@ -402,3 +402,15 @@ def test_several_licenses_in_a_block(spark):
         ["MIT", "CC-BY-4.0"], ["MIT", "Apache-2.0"], ["Apache-2.0", "MIT"], ["MIT", "Apache-2.0", "CC-BY-4.0"],
         ["MIT", "Apache-2.0"], ["MIT", "Apache-2.0"], ["MIT"], [], ["MIT", "BSD-3-Clause"], ["CC-BY-4.0"] * 400,
         ["CC-BY-4.0", "MIT"]]
+
+
+def test_jaccard_of_sets_far_apart_in_size(spark):
+    rows = []
+    for g in range(6):
+        words = [f"{g}w{i}" for i in range(204)]
+        rows += [(3 * g, " ".join(words[:68])), (3 * g + 1, " ".join(words)), (3 * g + 2, " ".join(words[:60]))]
+    rows += [(100, " ".join(f"9w{i}" for i in range(15))), (101, " ".join(f"9w{i}" for i in range(100)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (10, 30, 80):
+        got = jaccard.similar_classes(df, percent=percent)
+        assert Counter((r.id, r.n_shingles, r.component_id) for r in got.collect()) == brute_classes(rows, percent)
