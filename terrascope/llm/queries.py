@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrascope.session import fresh_path
+
 from . import chat, decontaminate, jaccard, licenses, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import shipped, staged, table
 
@@ -142,7 +144,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_records(table(spark, sf_dir, "documents")).select(
+    map_path = fresh_path(spark, "shard-versions")
+    return sharding.shard_records(table(spark, sf_dir, "documents"), map_path=map_path).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 

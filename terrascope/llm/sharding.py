@@ -1,8 +1,9 @@
 """Sharding by fixed virtual slots.
 
 A record is hashed into one of thousands of slots. Bytes are summed per slot, and a table of one row per slot says which
-shard has it. The table is versioned: rebalancing writes a new version that moves a few slots, and the records need no
-new hash. Shards come out near equal in bytes.
+shard has it, also for slots without records yet. The table is versioned: a run with a stored version keeps its places;
+when the number of shards changes, rebalancing writes a new version that moves a few slots, and the records need no new
+hash. Shards come out near equal in bytes.
 
 Defined results: a null text has no bytes (size 1), and its CRC is that of no bytes; equal records share a slot; ties
 between slots go by slot number, ties between shards by shard number; an empty table gives no rows; columns named like
@@ -40,6 +41,14 @@ def slot_bytes(sized: DataFrame) -> DataFrame:
     return sized.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("records"))
 
 
+def every_slot(by_slot: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Bytes and records of all slots; one without records weighs a byte, so that empty slots are dealt evenly."""
+    return by_slot.sparkSession.range(slots).select(F.col("id").cast("int").alias("virtual_slot")).join(
+        by_slot, "virtual_slot", "left").select(
+            "virtual_slot", F.coalesce("bytes", F.lit(1).cast("bigint")).alias("bytes"),
+            F.coalesce("records", F.lit(0).cast("bigint")).alias("records"))
+
+
 def balanced_map(by_slot: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(virtual_slot, shard): the largest slot first, each to the shard with the fewest bytes so far.
 
@@ -107,6 +116,33 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return versions.filter(F.col("version") == version).drop("version")
 
 
+def stored_versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions stored whole under a path, in order; none if it does not exist."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(files)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def slot_map_for(by_slot: DataFrame, shards: int, map_path: str | None = None, version: int | None = None) -> DataFrame:
+    """The map for all slots of `by_slot`. With `map_path`, the stored `version` or else the newest one holds; a missing one
+    is created. If it is for another number of shards or lacks slots, it is edited and stored after the newest."""
+    if not map_path:
+        return staged(balanced_map(by_slot, shards), "shard-map")
+    spark = by_slot.sparkSession
+    known = stored_versions(spark, map_path)
+    if not known or (version is not None and version not in known):
+        version = max(known, default=0) + 1 if version is None else version
+        write_map(balanced_map(by_slot, shards), map_path, version)
+        return read_map(spark, map_path, version)
+    stored = read_map(spark, map_path, known[-1] if version is None else version)
+    slots = by_slot.count()
+    held, last = by_slot.join(stored, "virtual_slot").agg(F.count(F.lit(1)), F.max("shard")).first()
+    if held == slots and last + 1 == min(shards, slots):
+        return stored
+    write_map(rebalanced_map(stored, by_slot, shards), map_path, known[-1] + 1)
+    return read_map(spark, map_path, known[-1] + 1)
+
+
 def sized_records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and virtual_slot of every record."""
     return docs.select(
@@ -130,25 +166,25 @@ def numbered(sized: DataFrame, slot_map: DataFrame, by_slot: DataFrame) -> DataF
 
 def shard_records(
     docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text",
-    map_path: str | None = None, version: int = 1,
+    map_path: str | None = None, version: int | None = None,
 ) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard and place (position in the shard) of every record.
 
-    Sizes are computed once and staged without the texts. With `map_path` the map is stored there as `version`.
+    Sizes are computed once and staged without the texts. `map_path` and `version` are those of `slot_map_for`.
     """
     sized = staged(sized_records(docs, doc_id, text, slots), "shard-sizes")
-    by_slot = staged(slot_bytes(sized), "shard-slots")
-    slot_map = staged(balanced_map(by_slot, shards), "shard-map")
-    if map_path:
-        write_map(slot_map, map_path, version)
-    return numbered(sized, slot_map, by_slot)
+    by_slot = staged(every_slot(slot_bytes(sized), slots), "shard-slots")
+    return numbered(sized, slot_map_for(by_slot, shards, map_path, version), by_slot)
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sharded(
+    docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text",
+    map_path: str | None = None, version: int | None = None,
+) -> DataFrame:
     """The documents with their own columns, `virtual_slot` and `shard`. The texts are not shuffled: the map has one
-    row per slot."""
+    row per slot. `map_path` and `version` are those of `slot_map_for`."""
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("virtual_slot", "shard")]
     placed = docs.select(*own, virtual_slot(F.col(doc_id), F.col(text), slots).alias("virtual_slot"))
     by_slot = placed.select("virtual_slot", record_size(F.col(text)).alias("size"))
-    slot_map = staged(balanced_map(staged(slot_bytes(by_slot), "shard-slots"), shards), "shard-map")
+    slot_map = slot_map_for(staged(every_slot(slot_bytes(by_slot), slots), "shard-slots"), shards, map_path, version)
     return placed.join(slot_map, "virtual_slot").select(*own, "virtual_slot", "shard")

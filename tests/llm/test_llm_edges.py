@@ -414,3 +414,19 @@ def test_jaccard_of_sets_far_apart_in_size(spark):
     for percent in (10, 30, 80):
         got = jaccard.similar_classes(df, percent=percent)
         assert Counter((r.id, r.n_shingles, r.component_id) for r in got.collect()) == brute_classes(rows, percent)
+
+
+def test_sharding_by_a_stored_map(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    some = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    more = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    first = {r.doc_id: r.shard for r in sharding.shard_records(some, map_path=path).collect()}
+    grown = {r.doc_id: r.shard for r in sharding.shard_records(more, map_path=path).collect()}
+    assert len(grown) == 3000 and all(grown[i] == s for i, s in first.items())
+    assert {r.doc_id: r.shard for r in sharding.sharded(more, map_path=path).collect()} == grown
+    assert sharding.read_map(spark, path).count() == 4096 and sharding.stored_versions(spark, path) == [1]
+    nine = {r.doc_id: r.shard for r in sharding.shard_records(more, 9, map_path=path).collect()}
+    assert sharding.stored_versions(spark, path) == [1, 2] and set(nine.values()) == set(range(9))
+    assert sum(nine[i] != s for i, s in grown.items()) < 1000
+    again = {r.doc_id: r.shard for r in sharding.shard_records(more, map_path=path, version=1).collect()}
+    assert again == grown and sharding.stored_versions(spark, path) == [1, 2]
