@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from terrascope.session import fresh_path
 
-from . import chat, decontaminate, jaccard, licenses, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity
-from .common import shipped, staged, table
+from . import (
+    chat, decontaminate, jaccard, licenses, merkle, mixing, secrets, sharding, simhash, substring_dedup, suffix_dedup,
+    toxicity, vector_codes,
+)
+from .common import ascii_lower, shipped, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -245,3 +248,183 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("licenses.blocks").alias("n_blocks"), F.size("licenses.found").cast("bigint").alias("n_licensed"),
         F.array_join(names, ",").alias("licenses"),
         F.array_join(F.transform("licenses.found", lambda x: x["start"].cast("string")), ",").alias("starts"))
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+
+
+_FIELDS = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_FOLDED = f"translate(text, '{UPPER}', '{LOWER}')"
+MERKLE_SQL = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT n, list_reduce(list_prepend(n, range(0, 8)),
+                        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t
+  FROM (SELECT unnest(range(0, 256)) AS n)),
+crc_list AS (SELECT list(t ORDER BY n) AS ts FROM crc_table),
+d AS (
+  SELECT doc_id, lang, sha256({_FIELDS} || {_field('text')}) AS leaf,
+         sha256({_FIELDS} || {_field(_FOLDED)}) AS lowered,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, x: xor(c >> 8, ts[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+  FROM documents, crc_list),
+leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, leaf, CASE WHEN crc % 3 = 0 THEN lowered ELSE leaf END AS folded,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+  FROM d),
+nodes AS (
+  SELECT 0 AS level, lang, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY level, lang, idx // 8, n),
+sides AS (
+  SELECT level, lang, idx, n, digest,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY level, lang, idx // 8 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY level, lang, idx // 8 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM nodes),
+walk AS (
+  SELECT r, 0 AS level, lang, idx, n, '' AS proof, folded FROM leaves
+  UNION ALL
+  SELECT r, w.level + 1, w.lang, w.idx // 8, (w.n + 7) // 8, proof || lft || rgt, sha256(lft || folded || rgt)
+  FROM walk w JOIN sides s ON s.level = w.level AND s.lang IS NOT DISTINCT FROM w.lang AND s.idx = w.idx WHERE w.n > 1),
+up AS (SELECT r, lang, proof, folded FROM walk WHERE n = 1),
+subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees
+  FROM nodes WHERE n = 1),
+over_nodes AS (
+  SELECT 0 AS level, tree AS idx, trees AS n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM over_nodes WHERE n > 1 GROUP BY level, idx // 8, n),
+over_sides AS (
+  SELECT level, idx,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY level, idx // 8 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY level, idx // 8 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM over_nodes),
+over_walk AS (
+  SELECT r, subroot, 0 AS level, tree AS idx, trees AS n, proof, folded
+  FROM up JOIN subroots s ON s.lang IS NOT DISTINCT FROM up.lang
+  UNION ALL
+  SELECT r, subroot, w.level + 1, w.idx // 8, (w.n + 7) // 8, proof || lft || rgt, sha256(lft || folded || rgt)
+  FROM over_walk w JOIN over_sides s ON s.level = w.level AND s.idx = w.idx WHERE w.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, w.folded AS folded_root, w.folded = root AS verified
+FROM over_walk w JOIN leaves USING (r), (SELECT digest AS root FROM over_nodes WHERE n = 1) WHERE w.n = 1
+"""
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = merkle.leaf_digest(*[F.col(c) for c in merkle.FIELDS])
+    lowered = merkle.leaf_digest(*[F.col(c) for c in merkle.FIELDS[:-1]], ascii_lower(F.col("text")))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    proved = merkle.manifest(docs, carry=["doc_id", F.when(tampered, lowered).otherwise(leaf).alias("folded")])
+    m = F.col("merkle")
+    return proved.select(
+        "doc_id", m["leaf"].alias("leaf"), m["subroot"].alias("subroot"), m["root"].alias("root"),
+        F.sha2(merkle.proof_text(m["proof"]), 256).alias("proof_sha256"),
+        merkle.replayed(F.col("folded"), m["proof"]).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _codes_round(k: int) -> str:
+    """Assignment of all parts to the codebooks b{k}, and the next codebooks b{k + 1}."""
+    return f"""
+a{k} AS (
+  SELECT r, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist
+  FROM (SELECT v.r, v.p, b.e, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i])))::BIGINT AS dist
+        FROM v JOIN b{k} b USING (p)) GROUP BY r, p),
+s{k} AS (
+  SELECT p, e, i, sum(y)::BIGINT AS t, count(*) AS n
+  FROM (SELECT p, e, unnest(x) AS y, unnest(range(1, len(x) + 1)) AS i FROM a{k} JOIN v USING (r, p)) GROUP BY p, e, i),
+m{k} AS (SELECT p, e, list((t - ((t % n) + n) % n) // n ORDER BY i) AS x FROM s{k} GROUP BY p, e),
+b{k + 1} AS (SELECT p, e, coalesce(m{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN m{k} USING (p, e)),"""
+
+
+CODES_SQL = rf"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label,
+         list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS whole
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+v AS (
+  SELECT r, p, whole[p * (len(whole) // 16) + 1 : (p + 1) * (len(whole) // 16)] AS x
+  FROM (SELECT r, whole, unnest(range(0, 16)) AS p FROM k)),
+b0 AS (SELECT p, r AS e, x FROM v WHERE r < 64),
+{_codes_round(0)}{_codes_round(1)}{_codes_round(2)}
+c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, e, i)) AS books
+      FROM (SELECT p, e, unnest(x) AS y, unnest(range(1, len(x) + 1)) AS i FROM b2))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, books AS codebooks_sha256
+FROM k JOIN c USING (r), h
+"""
+
+
+@query("op12_vector_code_compression", CODES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.fit(vectors)
+    coded = staged(vector_codes.encode(vectors, books), "vector-codes")
+    return vector_codes.label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+_ANY_CASE = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_SQL_HEAD = rf"{_ANY_CASE}[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?"
+_SQL_KINDS = {  # kind: (pattern, value, condition)
+    "assign": (_SQL_HEAD + "[A-Za-z0-9+/_.=-]+", f"regexp_extract(m, '{_SQL_HEAD}([A-Za-z0-9+/_.=-]+)', 1)", "length(value) >= 6"),
+    "access": ("AKIA[A-Z0-9]+", "m", "length(m) >= 20"),
+    "hex": ("[0-9a-f]+", "m", "length(m) >= 24"),
+    "issued": (secrets.ISSUED.replace(r"\.", "[.]"), "m", "true"),
+    "mixed": (secrets.MIXED, "m", "regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9].*[0-9]')"),
+}
+
+
+def _secrets_of(i: int, kind: str, pattern: str, value: str, condition: str) -> str:
+    return f"""
+  SELECT r, {i} AS k, '{kind}' AS kind, m, start, start + length(m) AS stop, value FROM (
+    SELECT r, m, (sum(length(piece) + before) OVER (PARTITION BY r ORDER BY i))::BIGINT AS start, {value} AS value FROM (
+      SELECT r, i, m, piece, coalesce(lag(length(m)) OVER (PARTITION BY r ORDER BY i), 0) AS before FROM (
+        SELECT r, unnest(ms) AS m, unnest(pieces[:len(ms)]) AS piece, unnest(range(len(ms))) AS i FROM (
+          SELECT r, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS pieces FROM d)))) WHERE {condition}"""
+
+
+SECRETS_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(_secrets_of(i, k, *v) for i, (k, v) in enumerate(_SQL_KINDS.items()))}),
+owned AS (
+  SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners FROM found JOIN d USING (r) GROUP BY value),
+judged AS (
+  SELECT r, k, kind, start, stop, CASE
+    WHEN len(list_distinct(string_split(lower(value), ''))) < {secrets.LEAST_DIFFERENT}
+      OR regexp_matches(lower(value), '{"|".join(secrets.DULL)}') THEN 'dull'
+    WHEN owners >= {secrets.SHARED_OWNERS} THEN 'shared' ELSE 'live' END AS standing
+  FROM found JOIN owned USING (value)),
+rows AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (k < 3 AND standing = 'live') AS n_live,
+         count(*) FILTER (k < 3 AND standing = 'shared') AS n_shared,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3 OR standing = 'live') AS spans
+  FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+       coalesce(n_shared, 0) AS n_shared
+FROM d LEFT JOIN rows USING (r)
+"""
+
+
+@query("op13_secret_scans", SECRETS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`n_live` and `n_shared`: base spans whose value stays with few owners and looks random, or is widely copied."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    spans = F.col("secrets")
+    base = secrets.of_kinds(spans, *secrets.BASE)
+
+    def count(of):
+        return F.size(of).cast("bigint")
+
+    return secrets.scan_secrets(docs).select(
+        "doc_id", *[count(secrets.of_kinds(spans, k)).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(spans).alias("spans"),
+        *[count(secrets.of_standing(base, k)).alias(f"n_{k}") for k in ("live", "shared")])
