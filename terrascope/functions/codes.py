@@ -14,11 +14,10 @@ _PAD = "\u0000"
 
 
 def code_number(c: Column) -> Column:
-    """Bytes of an ASCII code of up to seven characters as one number; a longer code is an error."""
-    fits = F.octet_length(c) <= CODE_LENGTH
+    """Bytes of a code of up to seven bytes as one number. A longer text is no commune code: NULL, as where a code is
+    looked up among the communes and not found."""
     number = F.conv(F.hex(F.rpad(c, CODE_LENGTH, _PAD)), 16, 10).cast("bigint")
-    too_long = F.raise_error(F.concat(F.lit("code is longer than seven bytes: "), c)).cast("bigint")
-    return F.when(c.isNotNull(), F.when(fits, number).otherwise(too_long))
+    return F.when(F.octet_length(c) <= CODE_LENGTH, number)
 
 
 def code_text(n: Column) -> Column:

@@ -17,6 +17,21 @@ def page(df: DataFrame, order: Sequence[str | Column], number: int = 0, size: in
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
+def after_row(df: DataFrame, columns: Sequence[str], after: Sequence) -> Column:
+    """Rows behind the one with the values `after`, in ascending order of `columns`, NULL first.
+
+    Written as a chain of plain comparisons with a bound on the first column in front, which Parquet row groups can be
+    skipped by; a comparison of structs is not pushed down.
+    """
+    behind = F.lit(False)
+    for c, v in reversed(list(zip(columns, after, strict=True))):
+        value = F.lit(v).cast(df.schema[c].dataType)
+        behind = F.col(c).isNotNull() | (F.col(c).isNull() & behind) if v is None else (
+            (F.col(c) > value) | ((F.col(c) == value) & behind))
+    first = after[0]
+    return behind if first is None else (F.col(columns[0]) >= F.lit(first).cast(df.schema[columns[0]].dataType)) & behind
+
+
 def page_after(
     df: DataFrame, columns: Sequence[str], after: Sequence | None = None, size: int = PAGE_SIZE
 ) -> DataFrame:
@@ -25,8 +40,7 @@ def page_after(
     `columns` must end in a unique one. Every task keeps `size` rows however far the page is from the front.
     """
     if after is not None:
-        last = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(columns, after, strict=True)])
-        df = df.filter(F.struct(*columns) > last)
+        df = df.filter(after_row(df, columns, after))
     return df.orderBy(*columns).limit(size)
 
 

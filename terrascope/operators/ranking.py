@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,50 +10,74 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
+#: buckets for every doubling of a value: about 15 000 hold all prices from 1 000 to 30 million, and one of them at
+#: 200 000 holds 135 neighbouring whole amounts
+_STEPS = 1024
+_SHIFT = 1100 * _STEPS  # more than the buckets below 1
 
 
-# 2^25 cents: a decimal(15,2) amount has at most 2^25 such buckets, and a bucket at most 2^25 amounts
-_WIDTH = Decimal("335544.32")
+def value_bucket(v: Column) -> Column:
+    """A whole number that never falls when the value grows: the logarithm in steps, mirrored for negative values."""
+    size = F.floor(F.log2(F.abs(v.cast("double"))) * _STEPS).cast("bigint") + _SHIFT
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("bigint"))
+
+
+def is_finite(c: Column) -> Column:
+    """Neither NULL nor NaN nor infinite; NaN is greater than any number here."""
+    x = c.cast("double")
+    return (x < float("inf")) & (x > float("-inf"))
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, lower: bool = False) -> DataFrame:
-    """Element n/2 (from 0) of the sorted non-NULL decimal(15,2) values of every group, as `median`; of an even number
-    of values the one before, where `lower` is asked for.
+    """Element n/2 (from 0) of the sorted finite values of every group, as `median`; of an even number of values the one
+    before, where `lower` is asked for. Any number type; the values themselves are compared, none is rounded.
 
-    Values are first counted per (group, value), which combines map-side and spreads a large group over all
-    tasks. Then the bucket that holds the middle is found, and the middle inside that bucket. The windows only
-    see bucket counts, at most 2^25 per group however many rows it has.
+    Values are first counted per (group, value), which combines map-side and spreads a large group over all tasks.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("decimal(15,2)").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_hi", F.floor(F.col("_v") / F.lit(_WIDTH)))
-    )
-    buckets = counted.groupBy(*keys, "_hi").agg(F.sum("_n").alias("_n"))
-    total = F.sum("_n").over(W.partitionBy(*keys))
+    counted = df.filter(is_finite(F.col(value))).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return median_of_counts(counted, keys, lower).select(*keys, "median")
+
+
+def median_of_counts(counted: DataFrame, keys: Sequence[str], lower: bool = False, sums: Sequence[Column] = ()) -> DataFrame:
+    """The median of every group from its counts: `counted` has the keys, values `_v` and how often each occurs, `_n`.
+
+    `sums` are named aggregates over the rows of `counted`, added up with the counts and returned with the median. The
+    bucket that holds the middle is found first, then the middle inside that bucket. The windows only see bucket
+    counts and the values of one bucket, however many rows a group has.
+    """
+    bucketed = counted.withColumn("_hi", value_bucket(F.col("_v")))
+    levels = bucketed.groupBy(*keys, "_hi").agg(F.sum("_n").alias("_n"), *sums)
+    names = [c for c in levels.columns if c not in (*keys, "_hi", "_n")]
+    group = W.partitionBy(*keys)
+    total = F.sum("_n").over(group)
     middle = F.floor((total + 1) / 2).cast("bigint") if lower else F.floor(total / 2).cast("bigint") + 1
-    found = _bucket(buckets.withColumn("_rank", middle), keys, "_hi")
-    inside = _inside(counted, found, keys, "_hi")
-    return _bucket(inside, keys, "_v").select(*keys, F.col("_v").alias("median"))
+    ranked = levels.select(*keys, "_hi", "_n", middle.alias("_rank"), *[F.sum(c).over(group).alias(c) for c in names])
+    held = [c for c in counted.columns if c not in (*keys, "_v", "_n")]
+    # true of every row; without it, Spark would leave these columns out on this side and count all rows a second time
+    same = bucketed.filter(F.hash(*held) >= F.lit(-(1 << 31))) if held else bucketed
+    inside = _inside(same, _bucket(ranked, keys, "_hi", names), keys, "_hi", names)
+    return _bucket(inside, keys, "_v", names).select(*keys, F.col("_v").alias("median"), *names)
 
 
-def _bucket(levels: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
+def _bucket(levels: DataFrame, keys: Sequence[str], bucket: str, names: Sequence[str] = ()) -> DataFrame:
     """The bucket of each group in which rank `_rank` falls, with the rank left inside it."""
     upto = F.sum("_n").over(W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, 0))
     return (
         levels.withColumn("_upto", upto)
         .filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
-        .select(*keys, bucket, (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
+        .select(*keys, bucket, *names, (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
     )
 
 
-def _inside(counted: DataFrame, found: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
+def _inside(
+    counted: DataFrame, found: DataFrame, keys: Sequence[str], bucket: str, sums: Sequence[str] = ()
+) -> DataFrame:
     names = [*keys, bucket]
-    right = found.select(*[F.col(n).alias(f"_r_{n}") for n in names], "_rank")
+    right = found.select(*[F.col(n).alias(f"_r_{n}") for n in names], *sums, "_rank")
     # a plain equality would push a not-NULL test into this scan only, and Spark could not reuse the counts
     same = [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names]
-    return counted.join(right, same).drop(*[f"_r_{n}" for n in names])
+    return counted.select(*names, *[c for c in ("_v", "_n") if c not in names]).join(right, same).drop(
+        *[f"_r_{n}" for n in names])
 
 
 def rank_in_groups(df: DataFrame, group: str, order: Sequence[Column], name: str = "rank") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import code_number, code_text
 from ..functions.metrics import GRID_STEP, grid_cell, price_per_sqm
 from .paging import PAGE_SIZE, page
-from .ranking import upper_median
+from .ranking import is_finite, median_of_counts, upper_median
 
 # Which sales count, and the bounds of a plausible sale.
 SALE_NATURES = ["Vente", "Vente en l'état futur d'achèvement"]
@@ -117,18 +117,23 @@ def transaction_detail(tx: DataFrame, cities: DataFrame, id) -> DataFrame:
 
 
 def dept_sales_stats(sales: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Per department over priced lots: count, mean price, mean €/m², exact lower median (prices in whole cents)."""
-    priced = attach_department(sales.filter(F.col("price") > 0), mapping)
-    totals = priced.groupBy("department_code").agg(
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.avg("price").alias("avg_price"),
-        F.avg(price_per_sqm(F.col("price"), F.col("surface"))).alias("avg_price_per_sqm"),
-    )
-    medians = upper_median(priced, ["department_code"], "price", lower=True)
-    return totals.join(
-        medians.select(F.col("department_code").alias("_dept"), F.col("median").cast("double").alias("median_price")),
-        F.col("department_code").eqNullSafe(F.col("_dept")), "left",
-    ).drop("_dept")
+    """Per department over priced lots: count, mean price, mean €/m², exact lower median. Prices that are no finite
+    positive number do not count; others are taken as they are, whatever their size and their digits.
+
+    Lots are counted once per (department, price); counts, sums and median all come from that.
+    """
+    priced = attach_department(sales.filter((F.col("price") > 0) & is_finite(F.col("price"))), mapping)
+    ratio = price_per_sqm(F.col("price"), F.col("surface"))
+    counted = priced.groupBy("department_code", F.col("price").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(ratio).alias("_r"), F.count(ratio).alias("_rn"))
+    found = median_of_counts(counted, ["department_code"], lower=True, sums=[
+        F.sum("_n").alias("transaction_count"), F.sum(F.col("_v") * F.col("_n")).alias("_price"),
+        F.sum("_r").alias("_ratio"), F.sum("_rn").alias("_ratios")])
+    return found.select(
+        "department_code", "transaction_count",
+        (F.col("_price") / F.col("transaction_count")).alias("avg_price"),
+        F.when(F.col("_ratios") > 0, F.col("_ratio") / F.col("_ratios")).alias("avg_price_per_sqm"),
+        F.col("median").cast("double").alias("median_price"))
 
 
 def dedup_mutations(tx: DataFrame, year: int | None = None) -> DataFrame:

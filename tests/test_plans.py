@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from terrascope import sinks
 from terrascope.operators import geo as G
 from terrascope.operators import hierarchy as H
+from terrascope.operators import paging as P
 from terrascope.operators import reviews as R
 from terrascope.operators import sales as S
 from terrascope.plans.catalog import QUERIES
@@ -86,7 +87,21 @@ def test_sales_are_aggregated_in_hash_tables(spark, table):
 def test_viewport_reaches_the_scan(spark, table):
     text = plan(S.heat_points(table, (41.0, -5.0, 45.0, 0.0), "AVERAGE_PRICE"))
     assert "GreaterThanOrEqual(latitude,41.0)" in text and "LessThanOrEqual(longitude,0.0)" in text
-    assert "TakeOrderedAndProject" in text
+    assert "TakeOrderedAndProject" not in text  # all cells; with a number of rows, the densest only
+    assert "TakeOrderedAndProject" in plan(S.heat_points(table, (41.0, -5.0, 45.0, 0.0), "AVERAGE_PRICE", rows=5000))
+
+
+def test_the_next_page_is_pushed_to_the_scan(spark, table):
+    day = dt.date(2019, 3, 1)
+    text = plan(P.page_after(table, ["mutation_date", "id"], [day, "x"]))
+    assert "GreaterThanOrEqual(mutation_date,2019-03-01)" in text and "TakeOrderedAndProject" in text
+
+
+def test_department_counts_are_made_once(spark):
+    view(spark, SF, "cities").count()
+    done = QUERIES["dept_sales_stats"](spark, SF)
+    done.collect()
+    assert "ReusedExchange" in plan(done)
 
 
 def test_pages_and_top_words_limit_before_the_shuffle(spark, table):

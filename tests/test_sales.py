@@ -244,3 +244,42 @@ def test_lower_median_is_exact(spark):
     df = spark.createDataFrame([("a", v) for v in (4.0, 1.0, 3.0, 2.0)] + [("b", v) for v in (7.0, 5.0, 6.0)], "k STRING, v DOUBLE")
     got = {r["k"]: float(r["median"]) for r in R.upper_median(df, ["k"], "v", lower=True).collect()}
     assert got == {"a": 2.0, "b": 6.0}
+
+
+def test_department_stats_take_any_price(spark):
+    rows = [("c1", v, 10.0) for v in (1e14, 1e14, float("nan"), float("inf"), -5.0, None, 0.001, 0.002, 250000.123)]
+    rows += [("c2", v, None) for v in (1e300, 1e-300)] + [("c3", float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "insee_code STRING, price DOUBLE, surface DOUBLE")
+    mapping = spark.createDataFrame([("c1", "01"), ("c2", None), ("c3", "03")], "insee_code STRING, department_code STRING")
+    got = {r["department_code"]: r for r in S.dept_sales_stats(df, mapping).collect()}
+    assert set(got) == {"01", None}
+    assert got["01"]["transaction_count"] == 5 and got["01"]["median_price"] == 250000.123
+    assert got["01"]["avg_price"] == pytest.approx((2e14 + 250000.126) / 5)
+    assert (got[None]["transaction_count"], got[None]["median_price"], got[None]["avg_price_per_sqm"]) == (2, 1e-300, None)
+
+
+def test_a_long_commune_code_is_no_commune(spark):
+    rows = [("m1", "97A123456"), ("m2", "00001"), ("m3", "00001"), ("m3", "00002000000")]
+    tx = spark.createDataFrame(
+        [(m, dt.date(2020, 1, 1), "Vente", Decimal(100000), "MAISON", 50.0, c) for m, c in rows],
+        "mutation_id STRING, mutation_date DATE, mutation_nature STRING, property_value DECIMAL(15,2), "
+        "property_type STRING, built_surface DOUBLE, city_insee_code STRING")
+    assert [(r["insee_code"], r["transaction_count"]) for r in S.city_year_stats(tx).collect()] == [("00001", 2)]
+
+
+def test_medians_of_any_numbers(spark):
+    rng = random.Random(3)
+    values = [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(501)] + [0.0] * 40 + [5e-324, -5e-324]
+    df = spark.createDataFrame([("a", v) for v in values] + [("a", None), ("a", float("nan"))], "k STRING, v DOUBLE")
+    ordered = sorted(values)
+    for lower, at in ((False, len(ordered) // 2), (True, (len(ordered) + 1) // 2 - 1)):
+        assert R.upper_median(df, ["k"], "v", lower=lower).first()["median"] == ordered[at]
+
+
+def test_pages_after_a_null(spark):
+    df = spark.createDataFrame([(None if i % 3 == 0 else i % 3, i) for i in range(20)], "a BIGINT, id BIGINT")
+    seen, after = [], None
+    while rows := P.page_after(df, ["a", "id"], after, 4).collect():
+        seen += [tuple(r) for r in rows]
+        after = seen[-1]
+    assert len(seen) == 20 and seen == sorted(seen, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
