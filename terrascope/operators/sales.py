@@ -189,7 +189,11 @@ def transaction_stats_by(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.avg("_surface").alias("_mean_surface"),
         F.avg(F.col("_price").cast("double") / F.col("_surface")).alias("_mean_ratio"),
     )
-    medians = upper_median(rows, keys, "_price")
+    return stats_columns(totals, upper_median(rows, keys, "_price"), keys)
+
+
+def stats_columns(totals: DataFrame, medians: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The published columns from the totals and the median of every group."""
     if keys:
         medians = medians.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "median")
         same = [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import streaming
+from .. import sinks, streaming
 from ..session import fresh_path
 from ..sinks import overwrite_years, read_geocodes, with_geocodes
 from .catalog_tables import GEOCODED_SQL, NOW
@@ -88,16 +88,17 @@ def _(spark, sf):
     FROM city_year""")
 def _(spark, sf):
     landing = fresh_path(spark, "landing")
-    tables = {"transactions": fresh_path(spark, "transactions"), "city_stats": fresh_path(spark, "city-stats")}
+    tables = {"store": fresh_path(spark, "sales-store")}
     tx = view(spark, sf, "tx")
-    # a first release with other prices, then the second in two deliveries
+    # a first release with other prices, then the second in two deliveries that share sales
+    half = F.pmod(F.hash("id"), F.lit(2)) == 0
     parts = [
         tx.withColumn("property_value", F.col("property_value") + 1).withColumn("release", F.lit(1)),
-        tx.filter(F.pmod(F.hash("mutation_id"), F.lit(2)) == 0).withColumn("release", F.lit(2)),
-        tx.filter(F.pmod(F.hash("mutation_id"), F.lit(2)) != 0).withColumn("release", F.lit(2)),
+        tx.filter(half).withColumn("release", F.lit(2)),
+        tx.filter(~half).withColumn("release", F.lit(2)),
     ]
     for part in parts:
         columns = [F.col(c).cast(tx.schema[c].dataType).alias(c) for c in tx.columns]
         part.select(*columns, "release").write.mode("append").partitionBy("year", "release").parquet(landing)
         streaming.sales_refresh_stream(spark, landing, tables, landing + "-checkpoint", NOW)
-    return plain(spark.read.parquet(tables["city_stats"]).drop("updated_at"))
+    return plain(sinks.read_city_stats(spark, tables["store"]).drop("updated_at"))

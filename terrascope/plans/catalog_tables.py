@@ -15,14 +15,15 @@ from ..operators import geo as G
 from ..operators import hierarchy as H
 from ..operators import indicators as I
 from ..operators import sales as S
+from ..operators import summaries as U
 from ..session import fresh_path, qualified
 from . import jobs
-from .catalog_sales import DEPARTMENT_STATS_SQL, DEPT_STATS_SQL, REGION_STATS_SQL
+from .catalog_sales import BOX, DEPARTMENT_STATS_SQL, DEPT, DEPT_STATS_SQL, REGION, REGION_STATS_SQL
 from .catalog_text import ENERGY_SQL, HEALTH_SQL, energy_rows, health_rows, scored_reviews
 from .fixtures import view
-from .registry import plain, query
+from .registry import CHECKS, QUERIES, plain, query
 
-YEAR = 2019
+YEAR, YEARS = 2019, range(2014, 2025)
 NOW = dt.datetime(2024, 1, 1)
 
 
@@ -356,27 +357,42 @@ def _(spark, sf):
     return plain(spark.read.parquet(target), "avg_price", "avg_price_per_sqm")
 
 
-def _table(spark, sf, name="tx", sort=("mutation_date",)):
-    path = fresh_path(spark, "transactions")
-    sinks.overwrite_years(view(spark, sf, name), path, sort)
-    return path
+_STORES: dict[tuple, str] = {}
+
+
+def sales_store(spark, sf) -> str:
+    """A store of all years with their statistics, written once per session and data set. For reading only."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        root = fresh_path(spark, "sales-store")
+        lots = view(spark, sf, "tx")
+        sinks.publish_years(sinks.YearStore(spark, root), lots, YEARS, NOW)
+        _STORES[key] = root
+    return _STORES[key]
+
+
+def _lots_store(spark, sf, name="tx") -> str:
+    """A store of its own with the lots of all years, without statistics."""
+    root = fresh_path(spark, "lots-store")
+    sinks.YearStore(spark, root).replace("lots", view(spark, sf, name), YEARS)
+    return root
 
 
 @query("replace_sales_year", ["tx"], f"""
     SELECT id, year, CAST(property_value AS DOUBLE) AS property_value FROM tx
     WHERE year <> {YEAR} OR property_type = 'MAISON'""")
 def _(spark, sf):
-    path = _table(spark, sf)
+    root = _lots_store(spark, sf)
     renewed = view(spark, sf, "tx").filter("property_type = 'MAISON'")
-    sinks.replace_sales_year(renewed, path, YEAR)
-    return plain(spark.read.parquet(path).select("id", "year", "property_value"))
+    sinks.replace_sales_year(renewed, root, YEAR)
+    return plain(sinks.read_sales(spark, root).select("id", "year", "property_value"))
 
 
 @query("truncate_year", ["tx"], f"SELECT id, year FROM tx WHERE year <> {YEAR}")
 def _(spark, sf):
-    path = _table(spark, sf)
-    sinks.truncate_year(spark, path, YEAR)
-    return spark.read.parquet(path).select("id", "year")
+    root = _lots_store(spark, sf)
+    sinks.truncate_year(spark, root, YEAR)
+    return sinks.read_sales(spark, root).select("id", "year")
 
 
 _CITY_YEAR = "insee_code, year, transaction_count, CAST(total_price AS DOUBLE) AS total_price, total_residential_surface"
@@ -389,7 +405,7 @@ def _(spark, sf):
     sinks.refresh_city_year(tx.filter("property_type = 'MAISON'"), path, YEAR, NOW)
     for year in (YEAR + 1, YEAR):
         sinks.refresh_city_year(tx, path, year, NOW)
-    return plain(spark.read.parquet(path).drop("updated_at"))
+    return plain(sinks.read_city_stats(spark, path).drop("updated_at"))
 
 
 @query("upsert_cities", ["cities"], """
@@ -464,11 +480,11 @@ GEOCODED_SQL = """
 
 @query("apply_geocodes", ["tx_by_sale", "cities", "geocodes"], GEOCODED_SQL)
 def _(spark, sf):
-    path = _table(spark, sf, "tx_by_sale")
+    root = _lots_store(spark, sf, "tx_by_sale")
     backlog = S.geocode_backlog(view(spark, sf, "tx_by_sale"), view(spark, sf, "cities"))
     matches = S.match_geocodes(backlog.select("id", "year"), view(spark, sf, "geocodes"))
-    sinks.write_geocodes(spark, path, matches, NOW)
-    rows = spark.read.option("mergeSchema", True).parquet(path)
+    sinks.write_geocodes(spark, root, matches, NOW)
+    rows = sinks.read_sales(spark, root)
     return rows.select("lot_id", "latitude", "longitude", F.col("geocoded_at").isNotNull().alias("tried"))
 
 
@@ -510,8 +526,7 @@ def _(spark, sf):
     paths = {
         "sales": sales_file(spark, sf),
         "cities": _write_parquet(spark, sf, "cities"),
-        "transactions": fresh_path(spark, "transactions"),
-        "city_stats": fresh_path(spark, "city-stats"),
+        "store": fresh_path(spark, "sales-store"),
     }
     return plain(jobs.job_import_year(spark, paths, YEAR, NOW).drop("updated_at"))
 
@@ -583,8 +598,7 @@ def _(spark, sf):
 def _(spark, sf):
     paths = {
         **aggregate_paths(spark, sf),
-        "transactions": _table(spark, sf),
-        "city_stats": fresh_path(spark, "city-stats"),
+        "store": _lots_store(spark, sf),
         "regions": _write_parquet(spark, sf, "regions"),
         "departments": _write_parquet(spark, sf, "departments"),
     }
@@ -603,3 +617,47 @@ def _(spark, sf):
         .unionByName(long("departments", "DEPARTMENT", "code", *figures))
         .unionByName(long("dept_stats", "LOTS", "department_code", "transaction_count", "avg_price", "avg_price_per_sqm"))
     )
+
+
+# --- read from stored summaries -------------------------------------------------------------------------------
+
+
+def _rollup(name: str, like: str, make) -> None:
+    """A key that must give what the key `like` gives from the lots."""
+    QUERIES[name], CHECKS[name] = make, CHECKS[like]
+
+
+def _summary(spark, sf):
+    return sinks.read_prices(spark, sales_store(spark, sf))
+
+
+_MEANS = ("average_surface", "average_price_per_sqm")
+_rollup("transaction_stats_rollup", "transaction_stats", lambda spark, sf: plain(U.stats_of_summary(U.summary_scope(
+    _summary(spark, sf), view(spark, sf, "cities"), dept=DEPT, year=YEAR), []), gridded=_MEANS))
+_rollup("transaction_stats_of_region_rollup", "transaction_stats_of_region", lambda spark, sf: plain(
+    U.stats_of_summary(U.summary_scope(_summary(spark, sf), view(spark, sf, "cities"), region=REGION,
+                                       departments=view(spark, sf, "departments")), []), gridded=_MEANS))
+_rollup("transaction_stats_by_rollup", "transaction_stats_by", lambda spark, sf: plain(U.stats_of_summary(
+    _summary(spark, sf).withColumnRenamed("insee_code", "city_insee_code"), ["city_insee_code", "year"]), gridded=_MEANS))
+_rollup("transaction_stats_by_department_rollup", "transaction_stats_by_department", lambda spark, sf: plain(
+    U.stats_of_summary(S.attach_department(_summary(spark, sf), view(spark, sf, "cities")), ["department_code"]),
+    gridded=_MEANS))
+_rollup("dept_sales_stats_rollup", "dept_sales_stats", lambda spark, sf: plain(
+    U.dept_stats_of_summary(_summary(spark, sf), view(spark, sf, "cities")), "avg_price", "avg_price_per_sqm"))
+
+
+def _register_cells(metric: str) -> None:
+    def points(spark, sf):
+        root = sales_store(spark, sf)
+        found = U.heat_points_of_cells(sinks.read_cells(spark, root), BOX, metric, lots=sinks.read_sales(spark, root))
+        return plain(found, gridded=[] if metric == "TRANSACTION_COUNT" else ["value"])
+
+    _rollup(f"heat_points_{metric.lower()}_stored", f"heat_points_{metric.lower()}", points)
+
+
+for _metric in S.HEAT_METRICS:
+    _register_cells(_metric)
+
+
+_rollup("in_viewport_stored", "in_viewport", lambda spark, sf: S.in_viewport(
+    sinks.read_sales(spark, sales_store(spark, sf)).select("id", "latitude", "longitude"), *BOX))

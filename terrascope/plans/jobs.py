@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import sinks, sources
 from ..operators import hierarchy as H
@@ -23,13 +22,12 @@ def job_dept_aggregate(spark: SparkSession, paths: dict) -> DataFrame:
 
 
 def job_import_year(spark: SparkSession, paths: dict, year: int, now: dt.datetime | None = None) -> DataFrame:
-    """Replace one year of sales from its raw file, then refresh the commune statistics of that year."""
+    """Replace one year of sales from its raw file, with all its statistics, in one switch of `paths["store"]`."""
     sinks.check_year(year)
     cities = spark.read.parquet(paths["cities"])
     importer = sources.import_sales_zip if paths["sales"].endswith(".zip") else sources.import_sales
-    sinks.replace_sales_year(importer(spark, paths["sales"], year, cities), paths["transactions"], year)
-    sinks.refresh_city_year(spark.read.parquet(paths["transactions"]), paths["city_stats"], year, now)
-    return spark.read.parquet(paths["city_stats"])
+    sinks.publish_years(sinks.YearStore(spark, paths["store"]), importer(spark, paths["sales"], year, cities), [year], now)
+    return sinks.read_city_stats(spark, paths["store"])
 
 
 def job_reference_data(
@@ -73,15 +71,9 @@ def job_health(spark: SparkSession, path: str, target: str) -> DataFrame:
 
 
 def job_recompute_stats(spark: SparkSession, paths: dict, now: dt.datetime) -> dict[str, DataFrame]:
-    """Commune statistics of every year in one pass, then the rollups and the department aggregate."""
-    tx = spark.read.parquet(paths["transactions"])
-    sinks.overwrite_years(S.city_year_stats(tx).withColumn("updated_at", F.lit(now)), paths["city_stats"])
-    fresh = spark.read.parquet(paths["city_stats"])
-    # years left from earlier runs that no longer have sales; the year list is one row per partition
-    gone = fresh.select("year").distinct().join(tx.select("year").distinct(), "year", "left_anti")
-    for row in gone.collect():
-        sinks.truncate_year(spark, paths["city_stats"], row["year"])
-        fresh = spark.read.parquet(paths["city_stats"])
+    """The statistics of every year in one pass, then the rollups and the department aggregate."""
+    sinks.rebuild_statistics(sinks.YearStore(spark, paths["store"]), now)
+    fresh = sinks.read_city_stats(spark, paths["store"])
     regions, departments, cities = (spark.read.parquet(paths[n]) for n in ("regions", "departments", "cities"))
     return {
         "regions": H.region_stats(regions, departments, cities, fresh),

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import folder_names, fresh_path, remove_folder
+from ..session import folder_names, fresh_path
 
 FIRST_YEAR, LAST_YEAR = 2014, 2030
 
@@ -41,41 +41,11 @@ def _overwrite_partitions(df: DataFrame, path: str, key: str, sort: Sequence[str
     return written.get["rows"]
 
 
-def truncate_year(spark: SparkSession, table_path: str, year: int) -> bool:
-    """Empty one year; other years are untouched."""
-    return remove_folder(spark, f"{table_path}/year={check_year(year, allow_future=True)}")
-
-
 def overwrite_years(df: DataFrame, table_path: str, sort: Sequence[str] = ()) -> int:
-    """Replace every year present in `df`; the other years keep their files."""
+    """Replace every year present in a plain partitioned table; the other years keep their files."""
     return _overwrite_partitions(df, table_path, "year", sort)
 
 
-def replace_sales_year(df: DataFrame, table_path: str, year: int) -> int:
-    """Replace one year of sales; rows of other years are dropped first; no rows means an emptied year.
-
-    Rows are sorted by date inside the files, so row groups can be skipped by date.
-    """
-    check_year(year)
-    rows = overwrite_years(df.filter(F.col("year") == year), table_path, ["mutation_date"])
-    if rows == 0:
-        truncate_year(df.sparkSession, table_path, year)
-    return rows
-
-
-def refresh_city_year(tx: DataFrame, table_path: str, year: int, now: dt.datetime | None = None) -> int:
-    """Recompute one year of commune statistics."""
-    from ..operators.sales import city_year_stats
-
-    check_year(year)
-    stamp = F.lit(now) if now else F.current_timestamp()
-    stats = city_year_stats(tx, year).withColumn("updated_at", stamp)
-    rows = overwrite_years(stats, table_path)
-    if rows == 0:
-        truncate_year(tx.sparkSession, table_path, year)
-    return rows
-
-
 def write_dept_stats(df: DataFrame, target: str | dict) -> None:
     """Overwrite the department statistics: Parquet path, or JDBC options (truncated, so keys survive)."""
     if isinstance(target, dict):
@@ -206,14 +176,3 @@ def with_geocodes(tx: DataFrame, answers: DataFrame) -> DataFrame:
         "longitude": F.when(F.col("_resolved"), F.col("_lon")).otherwise(F.col("longitude")),
         "geocoded_at": F.coalesce("_at", stamp),
     }).select(*tx.columns, *([] if "geocoded_at" in tx.columns else ["geocoded_at"]))
-
-
-def write_geocodes(spark: SparkSession, table_path: str, matches: DataFrame, now: dt.datetime) -> int:
-    """Fold answers into the sales: rewrite the years that hold attempted rows. `matches` must not be computed from the
-    rewritten files. Meant for years that are rewritten anyway; between those, `with_geocodes` merges on reading."""
-    # one row per year of the table
-    years = [r["year"] for r in matches.select("year").distinct().collect()]
-    if not years:
-        return 0
-    touched = spark.read.parquet(table_path).filter(F.col("year").isin(years))
-    return overwrite_years(apply_geocodes(touched, matches.drop("year"), now), table_path, ["mutation_date"])

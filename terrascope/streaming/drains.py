@@ -4,45 +4,53 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sales import city_year_stats, geocode_backlog, match_geocodes
-from ..sinks.tables import FIRST_YEAR, LAST_YEAR, overwrite_years, read_geocodes, record_geocodes, with_geocodes
+from ..operators.sales import geocode_backlog, match_geocodes
+from ..sinks.releases import YearStore
+from ..sinks.sales_store import add_delivery, publish_years
+from ..sinks.tables import FIRST_YEAR, LAST_YEAR, read_geocodes, record_geocodes, with_geocodes
 
 
 def sales_refresh_stream(
     spark: SparkSession, landing: str, tables: dict[str, str], checkpoint: str, now: dt.datetime | None = None
 ) -> None:
-    """Replace every year for which files landed, then refresh the statistics of all of them in one pass.
+    """Keep the lots and statistics of every year in the store `tables["store"]` up to what has landed.
 
     Files land under `landing/year=YYYY/release=N/`, or under `landing/year=YYYY/` where there are no releases. The
-    newest release of a year is the year; later files of it may arrive in several batches. A batch only tells which
-    years changed and the replacement reads their newest release in full, so a repeated batch changes nothing. Rows of
-    years without a partition, or of years to come, are counted in `tables["rejected"]` where it is given.
+    newest release of a year is the year: the first file of a newer one replaces it, later files of it are added, late
+    ones of an older release are passed over. Only the batch's files are read; lots, statistics and the release are
+    switched together, and the batch is noted with them, so a repeated batch changes nothing. Rows of years without a
+    partition, or of years to come, are counted in `tables["rejected"]` where it is given.
     """
     schema = spark.read.parquet(landing).schema
     last = min(LAST_YEAR, dt.date.today().year)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        counted = batch.groupBy("year").agg(F.count(F.lit(1)).alias("rows"))
-        found = {r["year"]: r["rows"] for r in counted.collect()}  # one row per year
-        years = sorted(y for y in found if y is not None and FIRST_YEAR <= y <= last)
-        refused = [(y, n) for y, n in found.items() if y not in years]
+        session, key = batch.sparkSession, f"{checkpoint}#{batch_id}"
+        release = F.col("release").cast("bigint") if "release" in batch.columns else F.lit(0).cast("bigint")
+        counted = batch.groupBy("year", release.alias("release")).agg(F.count(F.lit(1)).alias("rows"))
+        found, refused = {}, {}
+        for r in counted.collect():  # one row per year and release
+            if r["year"] is not None and FIRST_YEAR <= r["year"] <= last:
+                found[r["year"]] = max(r["release"], found.get(r["year"], r["release"]))
+            else:
+                refused[r["year"]] = refused.get(r["year"], 0) + r["rows"]
         if refused and "rejected" in tables:
-            session.createDataFrame(refused, "year int, rows long").write.mode("overwrite").parquet(
+            session.createDataFrame(list(refused.items()), "year int, rows long").write.mode("overwrite").parquet(
                 f"{tables['rejected']}/batch={batch_id}")
-        if not years:
-            return
-        landed = session.read.schema(schema).parquet(landing).filter(F.col("year").isin(years))
-        if "release" in landed.columns:
-            newest = landed.groupBy("year").agg(F.max("release").alias("release"))
-            landed = landed.join(newest, ["year", "release"], "left_semi").drop("release")
-        overwrite_years(landed, tables["transactions"], ["mutation_date"])
-        fresh = session.read.parquet(tables["transactions"]).filter(F.col("year").isin(years))
-        stamp = F.lit(now) if now else F.current_timestamp()
-        overwrite_years(city_year_stats(fresh).withColumn("updated_at", stamp), tables["city_stats"])
+        store = YearStore(session, tables["store"])
+        known = {y: store.head(y)["notes"] for y in found}
+        newer = [y for y, r in found.items() if key not in known[y].get("deliveries", []) and r > known[y].get("release", -1)]
+        same = [y for y, r in found.items() if r == known[y].get("release", -1)]
+        for release_number in sorted({found[y] for y in newer}):
+            years = [y for y in newer if found[y] == release_number]
+            publish_years(store, _of_release(batch, release, release_number), years, now,
+                          {"release": release_number, "deliveries": [key]})
+        for release_number in sorted({found[y] for y in same}):
+            years = [y for y in same if found[y] == release_number]
+            add_delivery(store, _of_release(batch, release, release_number), years, key, now)
 
     (
         spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(refresh)
@@ -50,14 +58,19 @@ def sales_refresh_stream(
     )
 
 
+def _of_release(batch: DataFrame, release: Column, number: int) -> DataFrame:
+    return batch.filter(release == number).drop("release")
+
+
 def drain_geocoding(
-    spark: SparkSession, table_path: str, cities: DataFrame, geocodes: DataFrame, answers: str, now: dt.datetime,
+    spark: SparkSession, table: str | DataFrame, cities: DataFrame, geocodes: DataFrame, answers: str, now: dt.datetime,
 ) -> int:
     """Match the whole backlog of addresses in one pass and append the attempts to the table `answers`.
 
     Addresses tried before are no longer in the backlog, so a run that stops early is simply run again. The sales files
-    stay as they are. Returns the addresses tried.
+    stay as they are. `table` is the lots, or the path of a plain table of them. Returns the addresses tried.
     """
-    tx = with_geocodes(spark.read.parquet(table_path), read_geocodes(spark, answers))
+    lots = spark.read.parquet(table) if isinstance(table, str) else table
+    tx = with_geocodes(lots, read_geocodes(spark, answers))
     waiting = geocode_backlog(tx, cities).select("id", "year").distinct()
     return record_geocodes(match_geocodes(waiting, geocodes), answers, now)
