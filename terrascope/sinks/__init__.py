@@ -1,7 +1,7 @@
 from .releases import YearStore
 from .sales_store import (
-    add_delivery, publish_years, read_cells, read_city_stats, read_prices, read_sales, rebuild_statistics,
-    refresh_city_year, replace_sales_year, truncate_year, write_geocodes,
+    add_delivery, compact_year, publish_years, read_cells, read_city_stats, read_prices, read_sales,
+    rebuild_statistics, refresh_city_year, replace_sales_year, truncate_year, write_geocodes,
 )
 from .tables import (
     append_indicators, append_reviews, apply_geocodes, check_year, overwrite_years, read_geocodes, record_geocodes,

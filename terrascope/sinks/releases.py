@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from ..session import _file_system, folder_names, remove_folder
 
 HEADS = "_heads"
+ROW_GROUP = 16 << 20
 
 
 class YearStore:
@@ -78,20 +79,22 @@ class YearStore:
     def new_folder(self) -> str:
         return uuid.uuid4().hex
 
-    def write(self, part: str, df: DataFrame, folder: str, sort: Sequence = (), by: Sequence = ()) -> int:
+    def write(self, part: str, df: DataFrame, folder: str, sort: Sequence = (), by: Sequence = (),
+              inner: Sequence[str] = ()) -> int:
         """Write rows of any years (column `year`) into the folder of this name in every year; no reader sees them yet.
 
         AQE cuts a large year into files of the advisory size; with `by`, rows are dealt in ranges of these columns
-        instead, so that files hold narrow ranges. Returns the rows, counted while they are written.
+        instead and row groups are small, so that files and row groups hold narrow ranges. `inner` columns become folders
+        below. Returns the rows, counted while they are written.
         """
         written = Observation()
-        spread = df.repartitionByRange("year", *by) if by else df.hint("rebalance", "year")
+        spread = df.repartitionByRange("year", *by) if by else df.hint("rebalance", "year", *inner)
         if sort:
-            spread = spread.sortWithinPartitions("year", *sort)
-        (
-            spread.observe(written, F.count(F.lit(1)).alias("rows")).withColumn("folder", F.lit(f"f{folder}"))
-            .write.mode("append").partitionBy("year", "folder").parquet(f"{self.root}/{part}")
-        )
+            spread = spread.sortWithinPartitions("year", *inner, *sort)
+        writer = spread.observe(written, F.count(F.lit(1)).alias("rows")).withColumn("folder", F.lit(f"f{folder}")).write
+        if by:
+            writer = writer.option("parquet.block.size", ROW_GROUP)
+        writer.mode("append").partitionBy("year", "folder", *inner).parquet(f"{self.root}/{part}")
         return written.get["rows"]
 
     def written_years(self, part: str, folder: str, years: Iterable[int]) -> list[int]:
@@ -101,7 +104,7 @@ class YearStore:
     def read(self, part: str, years: Iterable[int] | None = None, schema: T.StructType | None = None,
              folders: dict[int, Sequence[str]] | None = None) -> DataFrame:
         """The rows of a part as the heads name them now. `schema` is needed where no year has rows."""
-        wanted = self.years() if years is None else [y for y in years]
+        wanted = self.years() if years is None else list(years)
         named = folders or {y: self.head(y)["parts"].get(part, []) for y in wanted}
         paths = [f"{self.root}/{part}/year={y}/folder=f{f}" for y, fs in named.items() for f in fs]
         if not paths:

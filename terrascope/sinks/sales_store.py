@@ -42,7 +42,7 @@ def write_lots(store: YearStore, lots: DataFrame, folder: str) -> int:
 def write_derived(store: YearStore, lots: DataFrame, folder: str, stamp: Column, states: DataFrame | None = None) -> None:
     """The derived parts of some lots. `lots` should be read back from the store, not recomputed."""
     states = U.sale_states(lots) if states is None else states
-    store.write("sales", states, folder, sort=["slot"], by=["slot"])
+    store.write("sales", states, folder, inner=["slot"])
     store.write("city_stats", U.added(U.contributions(states)).withColumn("updated_at", stamp), folder)
     store.write("prices", U.price_summary(lots), folder, sort=["insee_code"])
     if "latitude" in lots.columns:
@@ -80,6 +80,11 @@ def rebuild_statistics(store: YearStore, now: dt.datetime | None = None) -> None
         store.switch(year, _named(store, folder, year, DERIVED))
 
 
+def compact_year(store: YearStore, year: int, now: dt.datetime | None = None) -> int:
+    """The deliveries of a year written anew as one; notes stay. Returns the lots."""
+    return publish_years(store, store.read("lots", [year]), [year], now)
+
+
 def add_delivery(store: YearStore, lots: DataFrame, years: Iterable[int], key: str, now: dt.datetime | None = None) -> None:
     """Lots that come on top of what their years hold. Only the delivery is read, and of the years the states of sales in
     the slots that the delivery touches: old contributions of its sales are taken off, the new ones added.
@@ -95,7 +100,7 @@ def add_delivery(store: YearStore, lots: DataFrame, years: Iterable[int], key: s
     heads = {y: store.head(y) for y in full}
     if full:
         written = store.read("lots", folders={y: [folder] for y in full})
-        store.write("sales", U.sale_states(written), folder, sort=["slot"], by=["slot"])
+        store.write("sales", U.sale_states(written), folder, inner=["slot"])
         touched = store.written_years("sales", folder, full)
         states = store.read("sales", folders={y: [folder] for y in touched}) if touched else None
         if states is not None:
@@ -140,7 +145,7 @@ def read_cells(spark: SparkSession, root: str, years: Iterable[int] | None = Non
 def replace_sales_year(df: DataFrame, root: str, year: int) -> int:
     """Replace one year of lots in one switch; rows of other years are dropped first; no rows means an emptied year."""
     check_year(year)
-    store, folder = YearStore(df.sparkSession, root), None
+    store = YearStore(df.sparkSession, root)
     folder = store.new_folder()
     rows = write_lots(store, df.filter(F.col("year") == year), folder)
     store.switch(year, {"lots": [folder] if rows else []})

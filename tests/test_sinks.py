@@ -18,13 +18,14 @@ def sales(spark, rows):
 
 
 def content(spark, path):
-    return sorted((r["id"], r["year"]) for r in spark.read.parquet(path).collect())
+    return sorted((r["id"], r["year"]) for r in sinks.read_sales(spark, path).collect())
 
 
 @pytest.fixture
 def table(spark, tmp_path):
     path = str(tmp_path / "tx")
-    sinks.overwrite_years(sales(spark, [(1, 2018, 100000), (2, 2019, 100000), (3, 2019, 100000)]), path, ["mutation_date"])
+    rows = sales(spark, [(1, 2018, 100000), (2, 2019, 100000), (3, 2019, 100000)])
+    sinks.YearStore(spark, path).replace("lots", rows, [2018, 2019])
     return path
 
 
@@ -43,6 +44,7 @@ def test_replacing_by_nothing_empties_the_year(spark, table):
 def test_truncate(spark, table):
     assert sinks.truncate_year(spark, table, 2019) and not sinks.truncate_year(spark, table, 2030)
     assert content(spark, table) == [(1, 2018)]
+    assert not sinks.truncate_year(spark, table, 2019)
 
 
 @pytest.mark.parametrize("year", [2013, 2031, dt.date.today().year + 1])
@@ -56,9 +58,9 @@ def test_refresh_is_repeatable_and_can_empty(spark, tmp_path):
     tx = sales(spark, [(1, 2018, 100000), (2, 2019, 100000)])
     for year in (2018, 2019, 2019):
         sinks.refresh_city_year(tx, path, year, NOW)
-    assert sorted(r["year"] for r in spark.read.parquet(path).collect()) == [2018, 2019]
+    assert sorted(r["year"] for r in sinks.read_city_stats(spark, path).collect()) == [2018, 2019]
     assert sinks.refresh_city_year(tx.filter("year = 2018"), path, 2019, NOW) == 0
-    assert [r["year"] for r in spark.read.parquet(path).collect()] == [2018]
+    assert [r["year"] for r in sinks.read_city_stats(spark, path).collect()] == [2018]
 
 
 def test_city_upsert_keeps_the_department(spark):
@@ -113,14 +115,14 @@ def test_geocodes_touch_only_tried_rows(spark, tmp_path):
     base = sales(spark, [(1, 2018, 1), (2, 2018, 1), (3, 2019, 1), (4, 2019, 1)]).withColumns(
         {"latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double"),
          "geocoded_at": F.lit(None).cast("timestamp")})
-    sinks.overwrite_years(base, path)
+    sinks.YearStore(spark, path).replace("lots", base, [2018, 2019])
     matches = spark.createDataFrame(
         [(1, 2018, 45.0, 2.0, True), (2, 2018, 46.0, 3.0, False), (1, 2018, None, None, False)],
         "id BIGINT, year INT, latitude DOUBLE, longitude DOUBLE, resolved BOOLEAN")
     assert sinks.write_geocodes(spark, path, matches, NOW) == 2
-    rows = {r["id"]: (r["latitude"], r["geocoded_at"] is not None) for r in spark.read.parquet(path).collect()}
+    rows = {r["id"]: (r["latitude"], r["geocoded_at"] is not None) for r in sinks.read_sales(spark, path).collect()}
     assert rows == {1: (45.0, True), 2: (None, True), 3: (None, False), 4: (None, False)}
-    assert S.geocode_backlog_size(spark.read.parquet(path)).first()["backlog"] == 2
+    assert S.geocode_backlog_size(sinks.read_sales(spark, path)).first()["backlog"] == 2
 
 
 def test_department_statistics_are_replaced(spark, tmp_path):

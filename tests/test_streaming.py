@@ -63,11 +63,11 @@ def lots(spark, rows):
 
 def test_landed_years_are_replaced_and_refreshed(spark, tmp_path):
     landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "c")
-    tables = {"transactions": str(tmp_path / "tx"), "city_stats": str(tmp_path / "stats")}
+    tables = {"store": str(tmp_path / "store"), "rejected": str(tmp_path / "rejected")}
 
     def run():
         streaming.sales_refresh_stream(spark, landing, tables, checkpoint, NOW)
-        return {r["year"]: r["transaction_count"] for r in spark.read.parquet(tables["city_stats"]).collect()}
+        return {r["year"]: r["transaction_count"] for r in sinks.read_city_stats(spark, tables["store"]).collect()}
 
     lots(spark, [(1, 2018, 100000), (2, 2019, 100000)]).write.partitionBy("year").parquet(landing)
     assert run() == {2018: 1, 2019: 1}
@@ -76,7 +76,8 @@ def test_landed_years_are_replaced_and_refreshed(spark, tmp_path):
     more.write.mode("append").partitionBy("year").parquet(landing)
     assert run() == {2018: 1, 2019: 2}
     assert run() == {2018: 1, 2019: 2}
-    assert spark.read.parquet(tables["transactions"]).count() == 3
+    assert sinks.read_sales(spark, tables["store"]).count() == 3
+    assert [tuple(r)[:2] for r in spark.read.parquet(tables["rejected"]).collect()] == [(2012, 1)]
 
 
 def test_geocoding_takes_the_whole_backlog_and_rewrites_no_sales(spark, tmp_path):
@@ -105,12 +106,12 @@ def test_geocoding_takes_the_whole_backlog_and_rewrites_no_sales(spark, tmp_path
 
 def test_the_newest_release_of_a_year_wins(spark, tmp_path):
     landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "c")
-    tables = {"transactions": str(tmp_path / "tx"), "city_stats": str(tmp_path / "stats"), "rejected": str(tmp_path / "no")}
+    tables = {"store": str(tmp_path / "store"), "rejected": str(tmp_path / "no")}
 
     def land(release, rows):
         lots(spark, rows).withColumn("release", F.lit(release)).write.mode("append").partitionBy("year", "release").parquet(landing)
         streaming.sales_refresh_stream(spark, landing, tables, checkpoint, NOW)
-        return {r["year"]: r["transaction_count"] for r in spark.read.parquet(tables["city_stats"]).collect()}
+        return {r["year"]: r["transaction_count"] for r in sinks.read_city_stats(spark, tables["store"]).collect()}
 
     assert land(1, [(1, 2018, 100000), (2, 2019, 100000)]) == {2018: 1, 2019: 1}
     assert land(2, [(1, 2018, 100000), (3, 2018, 100000)]) == {2018: 2, 2019: 1}
