@@ -286,6 +286,26 @@ def _collections(spark, sf, name, rows, properties):
     return _input(spark, sf, name, lambda path: rows.select(feature.alias("value")).write.text(path))
 
 
+def _one_file(spark, sf, name, make, opening: str, closing: str):
+    """A single file: the rows' JSON objects between brackets, as the feeds send them."""
+    def write(path):
+        lines = make().coalesce(1).select(F.concat(
+            F.when(F.monotonically_increasing_id() == 0, F.lit(opening)).otherwise(F.lit(",")), F.col("value")).alias("value"))
+        end = spark.sql(f"SELECT '{closing}' AS value")
+        lines.unionByName(end).coalesce(1).write.text(path)
+
+    return _input(spark, sf, name, write)
+
+
+def _array_of(spark, sf, name, lines_path):
+    """The records of a JSON-lines feed as one array in one file."""
+    return _one_file(spark, sf, name, lambda: spark.read.text(lines_path), "[", "]")
+
+
+def _in_array(name: str, make) -> None:
+    QUERIES[f"{name}_array"], CHECKS[f"{name}_array"] = make, CHECKS[name]
+
+
 @query("scan_boundaries", ["city_boundaries"], "SELECT * FROM city_boundaries WHERE CAST(geographic_code AS INT) % 9 <> 0")
 def _(spark, sf):
     name = F.when(F.col("geographic_code").cast("int") % 9 == 0, F.lit(" ")).otherwise(F.col("name"))
@@ -294,12 +314,14 @@ def _(spark, sf):
     return sources.scan_boundaries(spark, path, "CITY", multi_line=False)
 
 
-@query("scan_countries", ["countries"], """
+_COUNTRIES_SQL = """
     SELECT coalesce(nullif(iso_a3, '-99'), nullif(iso_a3_eh, '-99'), nullif(adm0_a3, '-99')) AS code, iso_a3, name,
       population, gdp_md AS gdp, round(radians(1) * (sin(radians(k + 1)) - sin(radians(k))) * 6371008.8 * 6371008.8
         / 1000000, 5) AS area
-    FROM countries""")
-def _(spark, sf):
+    FROM countries"""
+
+
+def _countries_feed(spark, sf):
     rows = view(spark, sf, "countries")
     y, y1 = F.col("k").cast("string"), (F.col("k") + 1).cast("string")
     geometry = F.concat(
@@ -309,11 +331,18 @@ def _(spark, sf):
         F.col("iso_a3").alias("ISO_A3"), F.col("iso_a3_eh").alias("ISO_A3_EH"), F.col("adm0_a3").alias("ADM0_A3"),
         F.col("name").alias("NAME"), F.col("population").alias("POP_EST"), F.col("gdp_md").alias("GDP_MD"),
         F.lit("x").alias("WIKIDATAID")))
-    path = _collections(spark, sf, "countries", rows.withColumn("geometry", geometry), properties)
-    layer = sources.scan_countries(spark, path, multi_line=False)
+    return _collections(spark, sf, "countries", rows.withColumn("geometry", geometry), properties)
+
+
+def _countries(layer):
     return plain(layer.select("code", "iso_a3", "name", "population", "gdp", "area"), "area", digits=5)
 
 
+@query("scan_countries", ["countries"], _COUNTRIES_SQL)
+def _(spark, sf):
+    return _countries(sources.scan_countries(spark, _countries_feed(spark, sf), multi_line=False))
+
+
 @query("union_layers", ["regions", "cities"], """
     SELECT code, name, CAST(NULL AS BIGINT) AS population, 'region' AS layer FROM regions
     UNION ALL SELECT insee_code, name, population, 'province' FROM cities""")
@@ -342,6 +371,44 @@ def _(spark, sf):
     return sources.scan_geocodes(spark, path)
 
 
+_in_array("scan_regions_json", lambda spark, sf: sources.scan_regions_json(
+    spark, _array_of(spark, sf, "regions-array", _regions_feed(spark, sf))))
+_in_array("scan_departments_json", lambda spark, sf: sources.scan_departments_json(
+    spark, _array_of(spark, sf, "departments-array", _departments_feed(spark, sf)), view(spark, sf, "regions")))
+_in_array("scan_communes_json", lambda spark, sf: sources.scan_communes_json(
+    spark, _array_of(spark, sf, "communes-array", _communes_feed(spark, sf)), view(spark, sf, "departments")))
+
+
+def _collection(spark, sf, name, lines_path):
+    """The features of collections of one feature a line, as one collection in one file."""
+    opening = '{"type":"FeatureCollection","features":['
+    features = spark.read.text(lines_path).select(F.expr(
+        f"substring(value, {len(opening) + 1}, char_length(value) - {len(opening) + 2})").alias("value"))
+    return _one_file(spark, sf, name, lambda: features, opening, "]}")
+
+
+_CORNERS = " || ',' || ".join(
+    f"'[' || CAST(CAST({x} AS DOUBLE) AS VARCHAR) || ',' || CAST(CAST({y} AS DOUBLE) AS VARCHAR) || ']'"
+    for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0")))
+
+
+@query("scan_boundaries_array", ["city_boxes"], f"""
+    SELECT 'CITY' AS geographic_level, code AS geographic_code, name, '[[[' || {_CORNERS} || ']]]' AS coordinates
+    FROM city_boxes WHERE CAST(code AS INT) % 9 <> 0""")
+def _(spark, sf):
+    QUERIES["scan_boundaries"](spark, sf)  # writes the collections of one feature each
+    lines = _INPUTS[spark.sparkContext.applicationId, sf, "boundaries"]
+    rows = sources.scan_boundaries(spark, _collection(spark, sf, "boundaries-array", lines), "CITY")
+    # numbers as numbers: 41.00 may be written 41.0
+    return G.parse_geometry(rows).select(
+        "geographic_level", "geographic_code", "name", F.to_json("parts").alias("coordinates"))
+
+
+@query("scan_countries_array", ["countries"], _COUNTRIES_SQL)
+def _(spark, sf):
+    return _countries(sources.scan_countries(spark, _collection(spark, sf, "countries-array", _countries_feed(spark, sf))))
+
+
 # --- table maintenance ----------------------------------------------------------------------------------------
 
 

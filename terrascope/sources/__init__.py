@@ -1,5 +1,6 @@
 from .delimited import field_count, read_positional
 from .indicators import import_indicators, parse_indicators, scan_energy, scan_energy_pages, scan_health
+from .json_arrays import read_json_records
 from .layout import spread_if_narrow
 from .layers import scan_boundaries, scan_countries, union_layers
 from .reference import (

@@ -11,6 +11,7 @@ from ..functions import cleaning as C
 from ..functions import geometry as G
 from ..functions import metrics as M
 from ..schemas import LEVELS
+from .json_arrays import read_json_records
 
 # Country properties that are kept.
 KEPT_PROPERTIES = {
@@ -20,9 +21,11 @@ KEPT_PROPERTIES = {
 
 
 def _features(spark: SparkSession, path: str, properties: str, multi_line: bool) -> DataFrame:
-    """Features of FeatureCollections: one per file, or with `multi_line=False` one per line (splittable)."""
-    schema = f"features ARRAY<STRUCT<properties: STRUCT<{properties}>, geometry: STRING>>"
-    documents = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    """Features of FeatureCollections: one collection per file, read in splits, or with `multi_line=False` one per line."""
+    feature = f"properties: STRUCT<{properties}>, geometry: STRING"
+    if multi_line:
+        return read_json_records(spark, path, feature, features=True).select("properties.*", "geometry")
+    documents = spark.read.schema(f"features ARRAY<STRUCT<{feature}>>").json(path)
     return documents.select(F.explode("features").alias("f")).select("f.properties.*", "f.geometry")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from .json_arrays import read_json_records
 
 _COMMUNE = (
     "code STRING, nom STRING, codesPostaux ARRAY<STRING>, codeDepartement STRING, population BIGINT, "
@@ -13,15 +14,21 @@ _COMMUNE = (
 )
 
 
-def _json(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
-    rows = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+def _json(spark: SparkSession, path: str, schema: str, multi_line: bool, position: str | None = None) -> DataFrame:
+    if multi_line:
+        rows = read_json_records(spark, path, schema, position=position)
+    else:
+        rows = spark.read.schema(schema).json(path)
     return rows.filter(~C.is_blank(F.col("code")) & ~C.is_blank(F.col("nom")))
 
 
-def scan_regions_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """`multi_line=True` reads one JSON array per file; `False` reads JSON lines, which can be split."""
-    rows = _json(spark, path, "code STRING, nom STRING", multi_line)
-    return rows.select("code", F.col("nom").alias("name"))
+def scan_regions_json(
+    spark: SparkSession, path: str, multi_line: bool = True, position: str | None = None
+) -> DataFrame:
+    """`multi_line=True` reads files of one JSON array each, in splits; `False` reads JSON lines. `position` names a
+    column with the place in an array feed, for `upsert(order=...)`."""
+    rows = _json(spark, path, "code STRING, nom STRING", multi_line, position)
+    return rows.select("code", F.col("nom").alias("name"), *([position] if position else []))
 
 
 def scan_departments_json(

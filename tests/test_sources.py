@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from terrascope import sources
+from terrascope import sinks, sources
 from terrascope.operators import sales as S
 
 
@@ -167,3 +167,69 @@ def test_geocodes(spark, tmp_path):
     path = tmp_path / "g.csv"
     path.write_text("id;street;latitude;longitude;result_score\n1;x;45.1;2.1;0.9\nbad;x;45;2;1\n2;x;n/a;2.2;\n;x;1;1;1\n")
     assert {tuple(r) for r in sources.scan_geocodes(spark, str(path)).collect()} == {(1, 45.1, 2.1, 0.9), (2, None, 2.2, None)}
+
+
+def communes(n, indent=None):
+    return json.dumps([{
+        "code": f"{i:05d}", "nom": f'Ville "{i}" {{"code": [}},', "codesPostaux": [f"{i:05d}"], "codeDepartement": "01",
+        "population": i, "surface": 1.5, "centre": {"type": "Point", "coordinates": [i / 10, 45.0]}} for i in range(n)], indent=indent)
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, "16384")
+    yield
+    for n, v in zip(names, old, strict=True):
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_one_array_file_is_read_by_many_tasks(spark, tmp_path, small_splits, indent):
+    (tmp_path / "a.json").write_text(communes(3000, indent))
+    departments = spark.createDataFrame([("01",)], "code STRING")
+    rows = sources.scan_communes_json(spark, str(tmp_path), departments)
+    raw = sources.read_json_records(spark, str(tmp_path), "code STRING, population BIGINT")
+    assert raw.rdd.getNumPartitions() > 10
+    assert [(r.code, r.population) for r in raw.orderBy("code").collect()] == [(f"{i:05d}", i) for i in range(3000)]
+    got = {r["insee_code"]: r for r in rows.collect()}
+    assert len(got) == 3000 and got["00017"]["longitude"] == 1.7 and got["00017"]["name"] == 'Ville "17" {"code": [},'
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_one_feature_collection_is_read_by_many_tasks(spark, tmp_path, small_splits, indent):
+    features = [{"type": "Feature", "properties": {"code": str(i), "nom": f"n{i}"},
+                 "geometry": {"type": "Polygon", "coordinates": [[[i, 0], [i, 1], [i + 1, 1], [i, 0]]]}} for i in range(900)]
+    whole = {"type": "FeatureCollection", "name": "x", "features": features, "crs": {"features": "none"}}
+    (tmp_path / "a.geojson").write_text(json.dumps(whole, indent=indent))
+    (tmp_path / "b.geojson").write_text(json.dumps({**whole, "features": []}))
+    (tmp_path / "c.geojson.gz").write_bytes(gzip.compress(json.dumps({**whole, "features": [
+        {"properties": {"nom": "other", "code": "x"}, "geometry": None, "type": "Feature"}]}).encode()))
+    rows = sources.scan_boundaries(spark, str(tmp_path), "CITY")
+    got = {r["geographic_code"]: r for r in rows.collect()}
+    assert set(got) == {str(i) for i in range(900)} | {"x"} and rows.rdd.getNumPartitions() > 5
+    assert json.loads(got["7"]["geometry"])["coordinates"][0][1] == [7, 1] and got["x"]["geometry"] is None
+
+
+def test_records_that_start_otherwise_are_kept(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"code":"1","nom":"a"},\n{"nom":"b","code":"2"}, {"nom":"c","code":"3"},{"code":"4","nom":"d"}]\n')
+    assert sorted(r["code"] for r in sources.scan_regions_json(spark, str(tmp_path)).collect()) == ["1", "2", "3", "4"]
+    (tmp_path / "a.json").write_text('[{"code":"1","nom":{"code":"inner"}},{"code":"2","nom":"b"}]')
+    with pytest.raises(Exception, match="not a whole record"):
+        sources.scan_regions_json(spark, str(tmp_path)).collect()
+    (tmp_path / "a.json").write_text('{"code":"1"}\n{"code":"2"}')
+    with pytest.raises(ValueError, match="no array"):
+        sources.scan_regions_json(spark, str(tmp_path))
+    (tmp_path / "a.json").write_text(" [ ]")
+    assert sources.scan_regions_json(spark, str(tmp_path)).count() == 0
+
+
+def test_the_last_record_of_a_feed_wins(spark, tmp_path, small_splits):
+    feed = [{"code": str(i % 50), "nom": f"{(i * 7919) % 10007} {i}"} for i in range(2000)]
+    (tmp_path / "a.json").write_text(json.dumps(feed))
+    known = spark.createDataFrame([("1", "old", "r")], "code STRING, name STRING, region_code STRING")
+    rows = sources.scan_regions_json(spark, str(tmp_path), position="at")
+    merged = sinks.upsert(known, rows, ["code"], ["name"], order="at").collect()
+    assert {r["code"]: r["name"] for r in merged} == {f["code"]: f["nom"] for f in feed}
