@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.metrics import java_round
 from .paging import PAGE_SIZE, page
-from .ranking import rank_in_groups, top_in_groups
+from .ranking import top_in_groups
 from .sales import given
 
 TOP_WORDS = 12
@@ -82,14 +83,23 @@ def top_words(freq: DataFrame, n: int = TOP_WORDS) -> DataFrame:
 
 
 def word_weights(freq: DataFrame) -> DataFrame:
-    """Rank and min-max weight of every word in its city, for vocabularies of any size."""
-    ranked = rank_in_groups(freq, "city_insee_code", [F.desc("n"), F.asc("word")])
-    bounds = ranked.groupBy(F.col("city_insee_code").alias("_city")).agg(
-        F.min("n").alias("_lo"), F.max("n").alias("_hi")
-    )
+    """Rank and min-max weight of every word in its city, for vocabularies of any size.
+
+    A word's rank is the number of words of its city with a greater count, or the same count and a smaller start, plus
+    its place among those of the same count and start. The first comes from a histogram of (count, first letters), so
+    that only words of one histogram bar are ordered against one another, and words are dealt by bar, not by city.
+    """
+    barred = freq.withColumn("_start", F.substring("word", 1, 3))
+    bars = barred.groupBy("city_insee_code", "n", "_start").agg(F.count(F.lit(1)).alias("_words"))
+    city = W.partitionBy("city_insee_code")
+    ahead = F.sum("_words").over(city.orderBy(F.desc("n"), "_start").rowsBetween(W.unboundedPreceding, -1))
+    placed = bars.select(
+        F.col("city_insee_code").alias("_city"), F.col("n").alias("_n"), F.col("_start").alias("_s"),
+        F.coalesce(ahead, F.lit(0)).alias("_ahead"), F.min("n").over(city).alias("_lo"), F.max("n").over(city).alias("_hi"))
+    within = F.row_number().over(W.partitionBy("city_insee_code", "n", "_start").orderBy("word"))
     spread = F.when(F.col("_hi") == F.col("_lo"), 1).otherwise(F.col("_hi") - F.col("_lo"))
-    return (
-        ranked.join(bounds, F.col("city_insee_code").eqNullSafe(F.col("_city")))
-        .withColumn("weight", (F.col("n") - F.col("_lo")).cast("double") / spread.cast("double"))
-        .select("city_insee_code", "word", "n", "rank", "weight")
-    )
+    same = (F.col("city_insee_code").eqNullSafe(F.col("_city")) & F.col("n").eqNullSafe(F.col("_n"))
+            & F.col("_start").eqNullSafe(F.col("_s")))
+    return barred.withColumn("_within", within).join(placed, same).select(
+        "city_insee_code", "word", "n", (F.col("_ahead") + F.col("_within")).cast("bigint").alias("rank"),
+        ((F.col("n") - F.col("_lo")).cast("double") / spread.cast("double")).alias("weight"))

@@ -9,7 +9,7 @@ from ..session import fresh_path
 from ..sinks import overwrite_years, read_geocodes, with_geocodes
 from .catalog_tables import GEOCODED_SQL, NOW
 from .fixtures import over, view
-from .registry import micros, plain, query
+from .registry import CHECKS, QUERIES, micros, plain, query
 
 
 def _events(spark, sf):
@@ -62,6 +62,23 @@ def _(spark, sf):
     return plain(spark.read.parquet(out))
 
 
+def _job_state_changes(spark, sf):
+    """The same events in three deliveries, of which each writes only the jobs that it changes."""
+    landing, out = fresh_path(spark, "job-landing"), fresh_path(spark, "job-states")
+    events = view(spark, sf, "job_events")
+    text = F.to_json(
+        F.struct("type", "job", "message", F.col("at").cast("timestamp").alias("at")),
+        {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    lines = F.when(F.col("event_id") % 13 == 0, F.lit("{broken")).otherwise(text).alias("value")
+    for part in range(3):
+        events.filter(F.pmod(F.col("event_id"), F.lit(3)) == part).select(lines).write.mode("append").text(landing)
+        streaming.keep_job_states(streaming.job_events_stream(spark, landing), out, out + "-checkpoint")
+    return plain(streaming.read_job_states(spark, out))
+
+
+QUERIES["job_state_changes"], CHECKS["job_state_changes"] = _job_state_changes, CHECKS["job_state_stream"]
+
+
 @query("web_vitals_stream", ["web_vitals"], """
     SELECT name, value, id, epoch_us(ts) // 1000 AS ts FROM web_vitals
     WHERE trim(name) <> '' AND value IS NOT NULL AND id <> '' AND event_id % 47 <> 0""")

@@ -14,6 +14,7 @@ from .. import sinks, sources
 from ..operators import geo as G
 from ..operators import hierarchy as H
 from ..operators import indicators as I
+from ..operators import paging as P
 from ..operators import sales as S
 from ..operators import summaries as U
 from ..session import fresh_path, qualified
@@ -728,3 +729,13 @@ for _metric in S.HEAT_METRICS:
 
 _rollup("in_viewport_stored", "in_viewport", lambda spark, sf: S.in_viewport(
     sinks.read_sales(spark, sales_store(spark, sf)).select("id", "latitude", "longitude"), *BOX))
+
+
+@query("page_after", ["tx"], """
+    SELECT id, CAST(mutation_date AS STRING) AS mutation_date, city_insee_code FROM tx
+    ORDER BY tx.mutation_date, tx.id LIMIT 20 OFFSET 2000""")
+def _(spark, sf):
+    """Page 100 of all sales by key: what is needed of the page before is its last row."""
+    rows = sinks.read_sales(spark, sales_store(spark, sf)).select("id", "mutation_date", "city_insee_code")
+    last = rows.orderBy("mutation_date", "id").offset(1999).limit(1).first()
+    return plain(P.page_after(rows, ["mutation_date", "id"], [last["mutation_date"], last["id"]]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,76 @@ def keep_latest(stream: DataFrame, path: str, checkpoint: str) -> None:
     )
 
 
+STATE_SCHEMA = "job string, type string, message string, at timestamp"
+FULL_EVERY = 20
+
+
+def _state_batches(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """(batch, whether it holds all states) of what is stored, in order."""
+    names = [n.partition("=") for n in folder_names(spark, path)]
+    return sorted((int(v), k == "full") for k, _, v in names if k in ("changed", "full") and v.isdigit())
+
+
+def _states_before(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    """Newest state of every job, from the last full batch and the changes after it."""
+    stored = [b for b in _state_batches(spark, path) if batch_id is None or b[0] < batch_id]
+    start = max((b for b, full in stored if full), default=-1)
+    used = [f"{path}/{'full' if full else 'changed'}={b}" for b, full in stored if b > start or (b == start and full)]
+    if not used:
+        return spark.createDataFrame([], STATE_SCHEMA)
+    return _newest_states(spark.read.schema(STATE_SCHEMA).parquet(*used))
+
+
+def _newest_states(events: DataFrame) -> DataFrame:
+    last = F.max(F.struct("at", "type", "message")).alias("_last")
+    return events.groupBy("job").agg(last).select("job", "_last.type", "_last.message", "_last.at")
+
+
+def keep_job_states(
+    events: DataFrame, path: str, checkpoint: str, delay: dt.timedelta | None = None, late: str | None = None,
+) -> None:
+    """Keep the newest event of every job: each batch writes only the jobs that it changes.
+
+    With `delay`, events more than that behind the newest event of the batches before are late: they change nothing and
+    are put aside under `late`. Every `FULL_EVERY`th batch writes all states, and the batches before it are removed when
+    the next one starts. A repeated batch reads what stood before it and writes the same again.
+    """
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stored = _state_batches(spark, path)
+        start = max((b for b, full in stored if full and b < batch_id), default=-1)
+        for b, full in stored:
+            if b < start:
+                remove_folder(spark, f"{path}/{'full' if full else 'changed'}={b}")
+        known = _states_before(spark, path, batch_id)
+        rows = batch.select("job", "type", "message", "at")
+        if delay is not None:
+            newest = known.agg(F.max("at")).first()[0]  # one value
+            if newest is not None:
+                behind = F.col("at") < F.lit(newest - delay)
+                if late is not None:
+                    rows.filter(behind).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+                rows = rows.filter(~F.coalesce(behind, F.lit(False)))
+        fresh = _newest_states(rows)
+        before = known.select(F.col("job").alias("_job"), F.struct("at", "type", "message").alias("_before"))
+        newer = F.col("_before").isNull() | (F.struct("at", "type", "message") > F.col("_before"))
+        changed = fresh.join(before, F.col("job").eqNullSafe(F.col("_job")), "left").filter(newer).select(*fresh.columns)
+        if batch_id and batch_id % FULL_EVERY == 0:
+            _newest_states(known.unionByName(changed)).write.mode("overwrite").parquet(f"{path}/full={batch_id}")
+        else:
+            changed.write.mode("overwrite").parquet(f"{path}/changed={batch_id}")
+
+    (
+        events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+
+
+def read_job_states(spark: SparkSession, path: str) -> DataFrame:
+    """The newest event of every job."""
+    return _states_before(spark, path)
+
+
 def _newest(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(F.desc("at"), "job", "type", "message").limit(n)
 

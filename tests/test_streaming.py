@@ -127,3 +127,27 @@ def test_equal_events_are_kept_and_old_versions_removed(spark, tmp_path):
         streaming.recent_events(streaming.job_events_stream(spark, str(tmp_path / "in")), state, checkpoint, n=5)
     assert streaming.read_recent(spark, state, 5).count() == 5
     assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v2", "v3"]
+
+
+def test_each_batch_writes_only_the_jobs_it_changes(spark, tmp_path, monkeypatch):
+    from terrascope.streaming import feeds
+
+    monkeypatch.setattr(feeds, "FULL_EVERY", 3)
+    out, checkpoint, late = str(tmp_path / "out"), str(tmp_path / "c"), str(tmp_path / "late")
+    deliveries = [
+        [event(i, f"j{i}") for i in range(50)], [event(100, "j1", "FAILED"), event(2, "j5")], [event(101, "new")],
+        [event(102, "j2"), event(3, "j7"), event(95, "j8")], [event(103, "j3")]]
+    sizes = []
+    for run, lines in enumerate(deliveries):
+        drop(tmp_path / "in", f"{run}.json", *lines)
+        stream = streaming.job_events_stream(spark, str(tmp_path / "in"))
+        streaming.keep_job_states(stream, out, checkpoint, dt.timedelta(seconds=60), late)
+        kind = "full" if run == 3 else "changed"
+        sizes.append(spark.read.parquet(f"{out}/{kind}={run}").count())
+    assert sizes == [50, 1, 1, 51, 1]
+    states = {r["job"]: (r["type"], r["message"]) for r in streaming.read_job_states(spark, out).collect()}
+    assert len(states) == 51 and states["j1"] == ("FAILED", "m100") and states["j8"] == ("RUNNING", "m95")
+    assert states["j7"] == ("RUNNING", "m7") and states["j3"] == ("RUNNING", "m103")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["changed=4", "full=3"]
+    aside = spark.read.parquet(late)
+    assert [r["job"] for r in aside.collect()] == ["j7"]  # three seconds, with the newest at 101
