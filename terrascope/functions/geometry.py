@@ -102,11 +102,23 @@ def ring_edges(ring: Column) -> Column:
     return F.filter(F.transform(ring, edge), lambda e: e["yi"] != e["yj"])
 
 
-def edges_of_tile(edges: Column, west: Column, south: Column, size: float) -> Column:
+def ring_touches(ring: Column, west: Column, south: Column, size: Column) -> Column:
+    """Whether the box of any edge, level ones too, meets the tile. If none does, the tile is all inside or all outside."""
+    n = F.size(ring)
+
+    def touches(point: Column, i: Column) -> Column:
+        other = F.get(ring, (i + n - 1) % n)
+        return ((F.greatest(_x(point), _x(other)) >= west) & (F.least(_x(point), _x(other)) <= west + size)
+                & (F.greatest(_y(point), _y(other)) >= south) & (F.least(_y(point), _y(other)) <= south + size))
+
+    return F.exists(F.transform(ring, touches), lambda t: t)
+
+
+def edges_of_tile(edges: Column, west: Column, south: Column, size: Column | float) -> Column:
     """The edges that can count for a point of a tile: those over its latitudes, unless they end west of it."""
     return F.filter(
         edges,
-        lambda e: (F.greatest(e["yi"], e["yj"]) >= south) & (F.least(e["yi"], e["yj"]) <= south + F.lit(size))
+        lambda e: (F.greatest(e["yi"], e["yj"]) >= south) & (F.least(e["yi"], e["yj"]) <= south + size)
         & (F.greatest(e["xi"], e["xj"]) >= west),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -90,41 +91,102 @@ def _tiles(low: str, high: str, size: float) -> Column:
     return F.explode(F.sequence(first, F.greatest(first, last)))
 
 
+#: how often a tile may be quartered, the points that a tile may have, and its box tests (points x rings)
+DEPTH, CROWD, TESTS = 6, 50_000, 1 << 19
+
+
+def leaf_tiles(located: DataFrame, ring_tiles: DataFrame, crowd: int = CROWD, tests: int = TESTS) -> DataFrame:
+    """The quadtree of map tiles that hold points and rings: one row per occupied finest tile (`_fx`, `_fy`) with its
+    leaf (`_level`, `_lx`, `_ly`), its base tile (`_tx`, `_ty`), and `_shares`, how many ways the leaf's points are dealt.
+
+    A tile is quartered while it has too many points, or too many points for its rings; a leaf that is too full at the
+    finest level, as when all points stand in one place, is dealt in shares. The tree is made from counts alone: points
+    by finest tile, at most 4^DEPTH a base tile, and rings by base tile.
+    """
+    half = [F.shiftright(c, DEPTH).alias(n) for c, n in (("_fx", "_tx"), ("_fy", "_ty"))]
+    counts = located.groupBy("_fx", "_fy").agg(F.count(F.lit(1)).alias("_n")).select("_fx", "_fy", "_n", *half)
+    rings = ring_tiles.groupBy("_tx", "_ty").agg(F.count(F.lit(1)).alias("_rings"))
+    counts = counts.join(rings, ["_tx", "_ty"])
+
+    def inside(level: int) -> Column:
+        up = DEPTH - level
+        tile = W.partitionBy("_tx", "_ty", F.shiftright("_fx", up), F.shiftright("_fy", up))
+        return F.sum("_n").over(tile)
+
+    level = F.lit(DEPTH)
+    for k in range(DEPTH - 1, -1, -1):
+        n = inside(k)
+        fits = (n <= crowd) & (n * F.greatest(F.shiftright("_rings", 2 * k), F.lit(1)) <= tests)
+        level = F.when(fits, k).otherwise(level)
+    leaves = counts.withColumn("_level", level).withColumns({
+        "_lx": F.expr(f"shiftright(_fx, {DEPTH} - _level)"), "_ly": F.expr(f"shiftright(_fy, {DEPTH} - _level)")})
+    full = F.sum("_n").over(W.partitionBy("_tx", "_ty", "_level", "_lx", "_ly"))
+    return leaves.withColumn("_shares", F.ceil(full / F.lit(crowd)).cast("int")).drop("_n", "_rings")
+
+
+def place_points(located: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The points with their leaf and their share of it. Tiles that were not quartered are not looked up."""
+    split = leaves.filter("_level > 0 OR _shares > 1").select("_fx", "_fy", "_level", "_shares")
+    return located.join(split, ["_fx", "_fy"], "left").withColumn("_level", F.coalesce("_level", F.lit(0))).select(
+        "id", "latitude", "longitude", "_level", F.expr(f"shiftright(_fx, {DEPTH} - _level)").alias("_lx"),
+        F.expr(f"shiftright(_fy, {DEPTH} - _level)").alias("_ly"),
+        F.pmod(F.xxhash64("id"), F.coalesce("_shares", F.lit(1))).cast("int").alias("_share"))
+
+
+def locate_points(points: DataFrame, tile: float) -> DataFrame:
+    fine = F.lit(tile / (1 << DEPTH))
+    return points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
+        "id", "latitude", "longitude", F.floor(F.col("longitude") / fine).cast("int").alias("_fx"),
+        F.floor(F.col("latitude") / fine).cast("int").alias("_fy"))
+
+
 def tag_points(
-    points: DataFrame, b: DataFrame, position: str | None = None, tile: float = TILE_DEGREES
+    points: DataFrame, b: DataFrame, position: str | None = None, tile: float = TILE_DEGREES, crowd: int = CROWD,
+    tests: int = TESTS,
 ) -> DataFrame:
     """(id, code): the first feature whose outer ring holds the point; points outside are left out.
 
     First means the lowest number in the column `position`, unique per feature, or else the lowest code, of any length.
 
-    Every ring is listed in the map tiles its box touches, with only the edges that a point of that tile can cross: those
-    that meet its band of latitudes and do not end west of it. A point lies in one tile, so candidates meet in an
-    equi-join that Spark may broadcast when small or split when a tile is crowded. The box test comes before the
-    even-odd test; holes are ignored. Point ids must be unique.
+    Every ring is listed in the leaves of a quadtree of map tiles (`leaf_tiles`) that its box touches and that hold
+    points, with only the edges that a point of that leaf can cross: those that meet its band of latitudes and do not end
+    west of it. A leaf that no edge touches is inside the ring as a whole, and its points need no test, or outside, and
+    the pair is dropped. A point lies in one leaf, so candidates meet in an equi-join, and no leaf's share has more
+    points than the tree allows. The box test comes before the even-odd test; holes are ignored. Point ids must be unique.
     """
     rank = F.col(position).cast("bigint") if position else F.col("geographic_code")
-    rings = (
+    ring_tiles = (
         parse_geometry(b)
         .filter(F.col("geographic_code") != "")
         .select(rank.alias("_rank"), F.explode("parts").alias("_part"))
-        .select("_rank", G.ring_edges(G.outer_ring(F.col("_part"))).alias("_edges"),
-                G.bbox(F.array(F.array(G.outer_ring(F.col("_part"))))).alias("_box"))
-        .select("_rank", "_edges", "_box.*")
+        .select("_rank", G.outer_ring(F.col("_part")).alias("_ring"))
+        .select("_rank", "_ring", G.bbox(F.array(F.array("_ring"))).alias("_box"))
+        .select("_rank", "_ring", "_box.*")
         .filter(F.col("min_x").isNotNull())
         .withColumn("_tx", _tiles("min_x", "max_x", tile))
         .withColumn("_ty", _tiles("min_y", "max_y", tile))
-        .withColumn("_edges", G.edges_of_tile(F.col("_edges"), F.col("_tx") * tile, F.col("_ty") * tile, tile))
     )
-    located = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
-        "id", "latitude", "longitude",
-        F.floor(F.col("longitude") / F.lit(tile)).cast("int").alias("_tx"),
-        F.floor(F.col("latitude") / F.lit(tile)).cast("int").alias("_ty"),
+    located = locate_points(points, tile)
+    leaves = leaf_tiles(located, ring_tiles, crowd, tests)
+    size = F.lit(tile) / F.pow(F.lit(2.0), F.col("_level"))
+    west, south = F.col("_lx") * F.col("_size"), F.col("_ly") * F.col("_size")
+    meets = ((F.col("min_x") <= west + F.col("_size")) & (F.col("max_x") >= west)
+             & (F.col("min_y") <= south + F.col("_size")) & (F.col("max_y") >= south))
+    edges = G.edges_of_tile(G.ring_edges(F.col("_ring")), west, south, F.col("_size"))
+    middle = G.inside_edges(west + F.col("_size") / 2, south + F.col("_size") / 2, F.col("_edges"))
+    occupied = leaves.select("_tx", "_ty", "_level", "_lx", "_ly", "_shares").distinct()
+    rings = (
+        ring_tiles.join(occupied, ["_tx", "_ty"]).withColumn("_size", size).filter(meets)
+        .withColumn("_edges", edges).withColumn("_touched", G.ring_touches(F.col("_ring"), west, south, F.col("_size")))
+        .withColumn("_whole", ~F.col("_touched") & middle).filter(F.col("_touched") | F.col("_whole"))
+        .select("_rank", "min_x", "min_y", "max_x", "max_y", "_whole", F.when(F.col("_touched"), F.col("_edges")).alias("_edges"),
+                "_level", "_lx", "_ly", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
     )
     in_box = F.col("longitude").between(F.col("min_x"), F.col("max_x")) & F.col("latitude").between(
         F.col("min_y"), F.col("max_y")
     )
-    hits = located.join(rings, ["_tx", "_ty"]).filter(
-        in_box & G.inside_edges(F.col("longitude"), F.col("latitude"), F.col("_edges"))
+    hits = place_points(located, leaves).join(rings, ["_level", "_lx", "_ly", "_share"]).filter(
+        F.col("_whole") | (in_box & G.inside_edges(F.col("longitude"), F.col("latitude"), F.col("_edges")))
     )
     first = hits.groupBy("id").agg(F.min("_rank").alias("_rank"))
     if not position:

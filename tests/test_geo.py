@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +170,32 @@ def test_features(spark):
     assert rows["blank"]["geometry"] is None and rows["none"]["geometry"] is None
     with pytest.raises(Exception):
         G.to_features(layer(spark, {"bad": "{oops"})).collect()
+
+
+def crowd_of_points(n, seed):
+    rng = random.Random(seed)
+    points = [(2.3 + rng.random() / 50, 48.8 + rng.random() / 50) for _ in range(int(n * 0.6))]
+    points += [(2.35, 48.85)] * int(n * 0.3)
+    return points + [(rng.uniform(-4, 8), rng.uniform(42, 51)) for _ in range(n - len(points))]
+
+
+def test_a_crowded_tile_is_split_and_dealt(spark):
+    rng = random.Random(5)
+    country = [[2 + 5 * math.cos(a) * rng.uniform(0.8, 1), 46.5 + 4 * math.sin(a)] for a in [i * math.pi / 60 for i in range(120)]]
+    shapes = {"z-country": country}
+    for k in range(60):  # small many-sided shapes in and around the crowd
+        cx, cy, r = 2.3 + rng.random() / 50, 48.8 + rng.random() / 50, rng.uniform(0.0005, 0.004)
+        shapes[f"a{k:02d}"] = [[cx + r * math.cos(a), cy + r * math.sin(a)] for a in [i * math.pi / 8 for i in range(16)]]
+    shapes["flat"] = square(2.0, 48.0, 2.6, 48.81)  # a level edge through the crowd
+    b = layer(spark, {k: polygon([*ring, ring[0]]) for k, ring in shapes.items()})
+    points = crowd_of_points(3000, 6)
+    expected = [min((k for k, ring in shapes.items() if in_ring(x, y, ring)), default=None) for x, y in points]
+    for crowd, tests in ((100, 1 << 40), (10 ** 9, 5000), (10 ** 9, 1 << 60), (1, 1)):
+        assert tags(spark, b, points, crowd=crowd, tests=tests) == expected
+    df = spark.createDataFrame([(i, y, x) for i, (x, y) in enumerate(points)], "id BIGINT, latitude DOUBLE, longitude DOUBLE")
+    located = G.locate_points(df, 1.0)
+    tiles = spark.range(-10, 10).select(F.col("id").cast("int").alias("_tx")).join(
+        spark.range(40, 55).select(F.col("id").cast("int").alias("_ty")))
+    placed = G.place_points(located, G.leaf_tiles(located, tiles, crowd=100))
+    sizes = [r["count"] for r in placed.groupBy("_level", "_lx", "_ly", "_share").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 150  # nine tenths of all points stand in one base tile
