@@ -18,7 +18,7 @@ from ..operators import paging as P
 from ..operators import sales as S
 from ..operators import summaries as U
 from ..session import fresh_path, qualified
-from . import jobs
+from . import catalog_geo, jobs  # noqa: F401 (its keys are read here)
 from .catalog_sales import BOX, DEPARTMENT_STATS_SQL, DEPT, DEPT_STATS_SQL, REGION, REGION_STATS_SQL
 from .catalog_text import ENERGY_SQL, HEALTH_SQL, energy_rows, health_rows, scored_reviews
 from .fixtures import view
@@ -739,3 +739,12 @@ def _(spark, sf):
     rows = sinks.read_sales(spark, sales_store(spark, sf)).select("id", "mutation_date", "city_insee_code")
     last = rows.orderBy("mutation_date", "id").offset(1999).limit(1).first()
     return plain(P.page_after(rows, ["mutation_date", "id"], [last["mutation_date"], last["id"]]))
+
+
+def _features_in_view_stored(spark, sf):
+    """The viewport over boundaries that were stored with their boxes."""
+    path = _input(spark, sf, "boxed-boundaries", lambda path: sinks.write_boundaries(view(spark, sf, "all_boundaries"), path))
+    return G.features_in_view(spark.read.parquet(path), *BOX).select("geographic_level", "geographic_code")
+
+
+_rollup("features_in_view_stored", "features_in_view", _features_in_view_stored)

@@ -68,6 +68,16 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
 
 
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files under a path or pattern, in order; hidden ones are left out."""
+    fs, target = _file_system(spark, path)
+    found = []
+    for status in fs.globStatus(target) or []:
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [s.getPath().toString() for s in inner if s.isFile() and s.getPath().getName()[0] not in "._"]
+    return sorted(found)
+
+
 def remove_folder(spark: SparkSession, path: str) -> bool:
     fs, target = _file_system(spark, path)
     return fs.exists(target) and fs.delete(target, True)

@@ -5,5 +5,6 @@ from .sales_store import (
 )
 from .tables import (
     append_indicators, append_reviews, apply_geocodes, check_year, overwrite_years, read_geocodes, record_geocodes,
-    upsert, upsert_boundaries, upsert_cities, upsert_names, with_geocodes, write_dept_stats,
+    upsert, upsert_boundaries, upsert_cities, upsert_names, with_geocodes,
+    write_boundaries, write_dept_stats,
 )

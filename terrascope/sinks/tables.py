@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import z_order
+from ..operators.geo import BOX_COLUMNS, feature_bbox
 from ..session import folder_names, fresh_path
 
 FIRST_YEAR, LAST_YEAR = 2014, 2030
@@ -93,8 +95,28 @@ def upsert_names(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(existing, incoming, ["code"], ["name"])
 
 
-def upsert_boundaries(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    return upsert(existing, incoming, ["geographic_level", "geographic_code"], ["name", "geometry"])
+BOUNDARY_KEY = ("geographic_level", "geographic_code")
+
+
+def upsert_boundaries(existing: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """Known boundaries get the new name and geometry. Of a boundary that comes twice the one with the greatest `order`
+    wins, or without one the greatest digest; only digests are compared and sorted, not geometries."""
+    row = [c for c in incoming.columns if c != order]
+    ranked = incoming.withColumn("_rank", F.col(order) if order else F.sha2(F.to_json(F.struct(*row)), 256))
+    winners = ranked.groupBy(*[F.col(k).alias(f"_{k}") for k in BOUNDARY_KEY]).agg(F.max("_rank").alias("_most"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in BOUNDARY_KEY]
+    # rows that are alike throughout share their rank; they are counted once
+    chosen = ranked.join(winners, [*same, F.col("_rank") == F.col("_most")]).select(*row).dropDuplicates(list(BOUNDARY_KEY))
+    return upsert(existing, chosen, BOUNDARY_KEY, [c for c in ("name", "geometry", *BOX_COLUMNS) if c in existing.columns])
+
+
+def write_boundaries(boundaries: DataFrame, path: str) -> None:
+    """Store boundaries with the boxes of their geometries, in the order of the boxes' middles along the space-filling
+    curve, so that a viewport skips row groups and parses no geometry."""
+    boxed = feature_bbox(boundaries)
+    place = z_order((F.col("min_y") + F.col("max_y")) / 2, (F.col("min_x") + F.col("max_x")) / 2)
+    spread = boxed.repartitionByRange("geographic_level", place).sortWithinPartitions("geographic_level", place)
+    spread.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 FACT_KEY = ("geographic_level", "geographic_code", "category", "label", "year")

@@ -7,6 +7,6 @@ from .reference import (
     scan_city_mapping, scan_communes_json, scan_departments_json, scan_geocodes, scan_regions_json,
 )
 from .sales import (
-    clean_sales, import_sales, import_sales_zip, lines_from_archives, parse_sales, resolve_city, scan_sales_csv,
-    scan_sales_positions,
+    clean_sales, import_sales, import_sales_zip, lines_from_archives, lines_of_entries, parse_sales, resolve_city,
+    scan_sales_csv, scan_sales_positions, zip_entries,
 )

@@ -15,7 +15,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import _file_system
+from ..session import _file_system, data_files
 
 HEAD_BYTES = 1 << 16
 _KEY = r'\{\s*"(?:[^"\\]|\\.)*"\s*:'
@@ -25,15 +25,6 @@ _COLLECTION = re.compile(rf'"features"\s*:\s*\[\s*({_FEATURE}|{_KEY})')
 _EMPTY = re.compile(r'^﻿?\s*(\[\s*\]|\{.*"features"\s*:\s*\[\s*\])', re.DOTALL)
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
-    fs, target = _file_system(spark, path)
-    found = []
-    for status in fs.globStatus(target) or []:
-        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-        found += [s.getPath().toString() for s in inner if s.isFile() and s.getPath().getName()[0] not in "._"]
-    return sorted(found)
-
-
 def _head(spark: SparkSession, file: str) -> str:
     """The first bytes of a file, unpacked where its name says so."""
     jvm = spark.sparkContext._jvm
@@ -68,7 +59,7 @@ def read_json_records(
     have greater places.
     """
     by_start = defaultdict(list)
-    for file in _files(spark, path):
+    for file in data_files(spark, path):
         start = record_start(_head(spark, file), features)
         if start is not None:
             by_start[start].append(file)

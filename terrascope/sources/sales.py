@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 
 import pandas as pd
@@ -11,9 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from ..session import data_files, fresh_path, qualified
 from .delimited import parse_positional, read_positional
 from .layout import spread_if_narrow
 
+RANGED = ("file", "hdfs", "s3", "gs")
 # Width of the sales file and the positions that are read.
 SALES_WIDTH = 40
 SALES_MIN_FIELDS = 38
@@ -115,12 +118,28 @@ def _finish(raw: DataFrame, year: int, cities: DataFrame) -> DataFrame:
 def _identified(sales: DataFrame) -> DataFrame:
     """Rows with an `id`: the SHA-256 of all fields, NULLs included, and which of several equal rows it is.
 
-    Equal rows are interchangeable, so their numbers are stable over retries as a set.
+    The cleaned rows are written to the shared folder once, with their place, so that the file is parsed once and ids do
+    not change if a task runs again. Only digests are shuffled to find those that are there twice; equal rows are
+    numbered inside their slice of the file and the slices before are added, so a row that is there very often is spread
+    over many tasks; all other rows stay where they are.
     """
+    spark, path = sales.sparkSession, fresh_path(sales.sparkSession, "cleaned-sales")
     fields = F.to_json(F.struct(*sales.columns), {"ignoreNullFields": "false"})
-    digest = sales.withColumn("_digest", F.sha2(fields, 256))
-    copy = F.row_number().over(W.partitionBy("_digest").orderBy(F.lit(0)))
-    return digest.withColumn("id", F.concat_ws("-", "_digest", copy)).drop("_digest")
+    sales.withColumns({"_digest": F.sha2(fields, 256), "_at": F.monotonically_increasing_id()}).write.parquet(path)
+    rows = spark.read.parquet(path)
+    digests = rows.select("_digest", "_at", F.shiftright("_at", 33).alias("_slice"))
+    twice = digests.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_digest")
+    equal = digests.join(twice, "_digest", "left_semi")
+    sizes = equal.groupBy("_digest", "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(W.partitionBy("_digest").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("_digest").alias("_d"), F.col("_slice").alias("_s"), F.coalesce(before, F.lit(0)).alias("_before"))
+    local = F.row_number().over(W.partitionBy("_digest", "_slice").orderBy("_at"))
+    numbers = equal.withColumn("_local", local).join(
+        offsets, (F.col("_digest") == F.col("_d")) & (F.col("_slice") == F.col("_s"))).select(
+            F.col("_at").alias("_row"), (F.col("_before") + F.col("_local")).alias("_copy"))
+    copy = F.coalesce(F.col("_copy"), F.lit(1)).cast("string")
+    return rows.join(numbers, F.col("_at") == F.col("_row"), "left").withColumn(
+        "id", F.concat_ws("-", "_digest", copy)).drop("_digest", "_at", "_row", "_copy")
 
 
 def import_sales(spark: SparkSession, path: str | list[str], year: int, cities: DataFrame) -> DataFrame:
@@ -156,8 +175,57 @@ def lines_from_archives(archives: DataFrame, suffix: str = ".csv", block: int =
     return archives.select("content").mapInPandas(unpack, "line STRING")
 
 
-def import_sales_zip(spark: SparkSession, path: str, year: int, cities: DataFrame) -> DataFrame:
-    """Sales of one year from zip archives; each archive must stay under 2 GB, the limit of a binary value."""
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    lines = spread_if_narrow(lines_from_archives(archives))
+def zip_entries(spark: SparkSession, files: list[str], suffix: str = ".csv") -> DataFrame:
+    """(path, entry, size) of the matching entries, from the archives' directories alone: their ends are read, not them."""
+    def directory(frames):
+        for frame in frames:
+            for path in frame["path"]:
+                store, name = _open_store(path)
+                with store.open_input_file(name) as file, zipfile.ZipFile(file) as archive:
+                    found = [(path, e.filename, e.file_size) for e in archive.infolist() if e.filename.endswith(suffix)]
+                yield pd.DataFrame(found, columns=["path", "entry", "size"])
+
+    named = spark.createDataFrame([(qualified(spark, f),) for f in files], "path string").repartition("path")
+    return named.mapInPandas(directory, "path string, entry string, size bigint")
+
+
+def _open_store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def lines_of_entries(entries: DataFrame, block: int = 20_000) -> DataFrame:
+    """Data lines of zip entries given as (path, entry), each read from its place in the archive as a stream.
+
+    An entry is the unit of work: it is compressed as one, and no part of it can be read without what is before.
+    """
+    def unpack(frames):
+        for frame in frames:
+            for path, entry in zip(frame["path"], frame["entry"], strict=True):
+                store, name = _open_store(path)
+                with store.open_input_file(name) as file, zipfile.ZipFile(file) as archive, archive.open(entry) as stream:
+                    lines = io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline=None)
+                    next(lines, None)
+                    while pending := [line.rstrip("\n") for line in itertools.islice(lines, block)]:
+                        yield pd.DataFrame({"line": pending})
+
+    return entries.select("path", "entry").mapInPandas(unpack, "line STRING")
+
+
+def import_sales_zip(spark: SparkSession, path: str, year: int, cities: DataFrame, ranged: bool | None = None) -> DataFrame:
+    """Sales of one year from zip archives.
+
+    Archives of any size are read entry by entry, one task each, where their file system can be read at any place
+    (`ranged`, by default for local files, HDFS and object stores). In others an archive is one binary value of Spark's
+    own reader, at most 2 GB, one archive per task.
+    """
+    files = [f for f in data_files(spark, path) if f.endswith(".zip")]
+    if ranged is None:
+        ranged = all(qualified(spark, f).split(":", 1)[0] in RANGED for f in files)
+    if ranged and files:
+        lines = lines_of_entries(zip_entries(spark, files).repartition("path", "entry"))
+    else:
+        archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+        lines = spread_if_narrow(lines_from_archives(archives))
     return _finish(_named(parse_positional(lines, SALES_WIDTH, SALES_MIN_FIELDS)), year, cities)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrascope import sinks
+from terrascope.operators import geo as G
 from terrascope.operators import sales as S
 
 NOW = dt.datetime(2024, 1, 1)
@@ -130,3 +131,25 @@ def test_department_statistics_are_replaced(spark, tmp_path):
     for _ in range(2):
         sinks.write_dept_stats(df, str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "d")).count() == 1
+
+
+def test_boundaries_keep_their_boxes(spark, tmp_path):
+    def shape(x):
+        return '{"type":"Polygon","coordinates":[[[%d,0],[%d,0],[%d,1],[%d,0]]]}' % (x, x + 1, x + 1, x)
+
+    columns = "geographic_level STRING, geographic_code STRING, name STRING, geometry STRING"
+    known = spark.createDataFrame([("CITY", "1", "a", shape(0))], columns)
+    feed = spark.createDataFrame(
+        [("CITY", "1", "new", shape(3), 2), ("CITY", "1", "older", shape(9), 1), ("CITY", "2", "b", shape(5), 3)], columns + ", at INT")
+    merged = sinks.upsert_boundaries(known, feed, order="at")
+    assert {(r["geographic_code"], r["name"]) for r in merged.collect()} == {("1", "new"), ("2", "b")}
+    twice = feed.drop("at").unionByName(feed.drop("at"))
+    assert sinks.upsert_boundaries(known, twice).count() == 2
+    path = str(tmp_path / "b")
+    sinks.write_boundaries(merged, path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    seen = G.features_in_view(spark.read.parquet(path), 0.0, 3.5, 1.0, 4.5)
+    assert [r["geographic_code"] for r in seen.collect()] == ["1"]
+    text = seen._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(max_x,3.5)" in text and "from_json" not in text

@@ -233,3 +233,25 @@ def test_the_last_record_of_a_feed_wins(spark, tmp_path, small_splits):
     rows = sources.scan_regions_json(spark, str(tmp_path), position="at")
     merged = sinks.upsert(known, rows, ["code"], ["name"], order="at").collect()
     assert {r["code"]: r["name"] for r in merged} == {f["code"]: f["nom"] for f in feed}
+
+
+def test_zip_entries_are_read_from_their_place(spark, tmp_path, cities):
+    for k in range(2):
+        with zipfile.ZipFile(tmp_path / f"a{k}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for e in range(3):
+                z.writestr(f"{e}.csv", "h\n" + "\n".join(sale(id_mutation=f"m{k}-{e}-{i}") for i in range(50)))
+            z.writestr("notes.txt", "x")
+    entries = sources.zip_entries(spark, [str(tmp_path / f"a{k}.zip") for k in range(2)])
+    assert sorted(r["entry"] for r in entries.collect()) == sorted(["0.csv", "1.csv", "2.csv"] * 2)
+    by_entry, by_archive = (
+        sorted(r["mutation_id"] for r in sources.import_sales_zip(spark, str(tmp_path), 2020, cities, ranged=ranged).collect())
+        for ranged in (True, False))
+    assert by_entry == by_archive and len(by_entry) == 300
+
+
+def test_equal_rows_get_different_ids_however_many(spark, cities):
+    from terrascope.sources.sales import _identified
+
+    rows = spark.range(0, 3000, 1, 7).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("x"))
+    got = [r["id"] for r in _identified(rows).collect()]
+    assert len(set(got)) == 3000 and {i.split("-")[1] for i in got} == {str(k) for k in range(1, 1001)}
