@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import zipfile
@@ -53,6 +54,13 @@ def shipped(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(f"{folder}/terrascope-code.zip")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -89,7 +97,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class RangeHash:
-    """Polynomial hashes of any range of a sequence of numbers, from one pass over it."""
+    """Polynomial hashes of any range of a sequence of numbers, from one pass over it. For ranges of a few hundred numbers,
+    or of distinct sorted ones: in longer ones two numbers can be arranged so that hashes agree (see `word_hashes`)."""
 
     def __init__(self, values: np.ndarray):
         n = len(values)
@@ -111,6 +120,28 @@ class RangeHash:
         return mix((self.sums[size:] - self.sums[:n]) * self.back[:n])
 
 
+LONG_WORD = 128
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word, from slices of about a megabyte, so that memory does not grow with the text.
+
+    Polynomials modulo 2^64 have known collisions from about a thousand letters on; words over `LONG_WORD` bytes are
+    hashed by BLAKE2 instead.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        end = max(at + 1, int(np.searchsorted(ends, low + CHUNK_BYTES, "right")))
+        if ends[end - 1] - low <= CHUNK_BYTES:
+            out[at:end] = RangeHash(data[low:ends[end - 1]]).of(starts[at:end] - low, ends[at:end] - low)
+        at = end
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k]:ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of rows that hold about `limit` bytes; a null is empty. A longer text comes alone."""
     if isinstance(column, pa.ChunkedArray):

@@ -13,7 +13,7 @@ Classes, not pairs, are passed on: every tree hands out at most one link per set
 Defined results: a null or blank text has an empty set and is linked with nothing; fewer words than a shingle are one
 shingle, the whole sequence; equal sets link, whatever their texts; rows of one id are rows of their own and get the
 least id of their class; a null id is less than none: it is ignored as the least id unless all ids of the class are
-null; an empty table gives no rows; columns other than id and text are ignored.
+null; an empty table gives no rows; columns other than id and text are ignored; a long text is one set, cut in one task.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import regions as R
 from .common import (
-    RangeHash, lowered, partitions, signed, space_separated, staged, text_chunks, words,
+    RangeHash, lowered, partitions, signed, space_separated, staged, text_chunks, word_hashes, words,
 )
 from .components import connected
 from .signature_tree import Classes, bitmap, link
@@ -43,7 +43,7 @@ BITMAP_WORDS = 128  # 64-bit words of the largest bitmap that travels
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, sorted and distinct within each text; limits of the texts)."""
     starts, ends, limits = words(space_separated(data), offsets)
-    hashed = RangeHash(RangeHash(lowered(data)).of(starts, ends))
+    hashed = RangeHash(word_hashes(lowered(data), starts, ends))
     count = np.diff(limits)
     n = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
     text = np.repeat(np.arange(len(n)), n)

@@ -7,7 +7,8 @@ choice of agreeing blocks find all of them. Equal fingerprints are searched once
 
 Defined results: a null text is empty; a text without words has the fingerprint 0; a vote that ends even leaves the bit
 0; documents follow one another by id, nulls first, those of one id by the hash of their text; after the last comes the
-first, and a single document comes after itself; an empty table gives no rows; other columns are ignored.
+first, and a single document comes after itself; an empty table gives no rows; other columns are ignored; the votes of a
+long text are added up in slices, so that it needs about 40 bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import regions as R
-from .common import RangeHash, lowered, partitions, space_separated, staged, text_chunks, words
+from .common import RangeHash, lowered, partitions, space_separated, staged, text_chunks, word_hashes, words
 
 BITS = 64
 RADIUS, BLOCKS = 3, 6
-VOTE_BYTES = 1 << 17  # text whose votes are counted at once
+VOTE_BYTES = 1 << 17  # text whose terms are sorted at once; a longer text comes alone
+VOTE_TERMS = 1 << 14  # terms whose votes are in memory at once
 _WEIGHT = 16.0  # votes are whole numbers, so that no rounding depends on the order of terms
 
 
@@ -37,7 +39,7 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
     for row, data, offsets in text_chunks(texts, VOTE_BYTES):
         starts, ends, limits = words(space_separated(data), offsets)
-        single = RangeHash(lowered(data)).of(starts, ends)
+        single = word_hashes(lowered(data), starts, ends)
         if not len(single):
             continue
         text = np.searchsorted(limits, np.arange(len(single)), "right") - 1
@@ -53,10 +55,15 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
         first = np.flatnonzero(new)
         times = np.diff(np.append(first, len(term)))
         weight = np.rint(_WEIGHT * (1 + np.log(times))).astype(np.int32)
-        bits = np.unpackbits(term[first].astype(">u8").view(np.uint8)).reshape(-1, BITS)
-        votes = (bits.astype(np.int32) * 2 - 1) * weight[:, None]
-        owners, begin = np.unique(of[first], return_index=True)
-        won = np.add.reduceat(votes, begin, axis=0) > 0
+        owners, owner = np.unique(of[first], return_inverse=True)
+        sums = np.zeros((len(owners), BITS), np.int64)
+        for at in range(0, len(first), VOTE_TERMS):  # a long text's votes are added up in slices
+            part = slice(at, at + VOTE_TERMS)
+            bits = np.unpackbits(term[first[part]].astype(">u8").view(np.uint8)).reshape(-1, BITS)
+            votes = (bits.astype(np.int32) * 2 - 1) * weight[part, None]
+            here, begin = np.unique(owner[part], return_index=True)
+            sums[here] += np.add.reduceat(votes, begin, axis=0)
+        won = sums > 0
         out[row + owners] = np.packbits(won, axis=1).view(">u8").ravel().astype(np.uint64)
     return out
 

@@ -7,7 +7,8 @@ window is kept; the words of all later ones go.
 
 Defined results: a null text has no words; a text shorter than the window loses nothing; rows with equal id and text are
 one document and get one result each; a null id stands before all others; documents of one id and different texts are
-ordered by the hash of their row; an empty table gives no rows; columns other than id and text are ignored.
+ordered by the hash of their row; an empty table gives no rows; columns other than id and text are ignored; a long text
+is read whole in one task, its words hashed in slices.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import regions as R
-from .common import RangeHash, signed, space_separated, staged, words
+from .common import RangeHash, signed, space_separated, staged, word_hashes, words
 
 WINDOW, BASE = 20, 5
 
@@ -29,7 +30,7 @@ WINDOW, BASE = 20, 5
 def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every word, and how many words stand before each text."""
     starts, ends, limits = words(space_separated(data), offsets)
-    return RangeHash(data).of(starts, ends), limits
+    return word_hashes(data, starts, ends), limits
 
 
 def lengths(window: int, base: int) -> list[int]:
