@@ -7,7 +7,8 @@ budget runs out is cut into finer buckets, and only that one, until it holds one
 
 Defined results: a null or blank text has size 0; documents of one id share a point and are taken together; a source
 without words has target 0; the document on which the budget runs out is taken when that brings the sum nearer to it
-(a tie takes it); an empty table gives an empty result; columns named like the results are replaced.
+(a tie takes it); a document without words is taken as the others of its source are, `most` times at most; an empty
+table gives an empty result; columns named like the results are replaced; a long text counts as one document.
 """
 
 from __future__ import annotations
@@ -82,7 +83,8 @@ def thresholds(points: DataFrame, budgets: DataFrame, group: str = "source") ->
     `points`: group, point, size. `budgets`: group, budget, at most the size of the group. Each level sums sizes by
     bucket and keeps the one bucket in which the budget runs out; its points alone are summed at the next level.
     """
-    marks = budgets.select(group, F.lit(0).cast("bigint").alias("_low"), F.col("budget").cast("double").alias("_left"))
+    # without a budget nothing is below: not even a blank document, which would cost no words
+    marks = budgets.filter("budget > 0").select(group, F.lit(0).cast("bigint").alias("_low"), F.col("budget").cast("double").alias("_left"))
     width = POINT_BITS
     same = F.col(f"p.{group}").eqNullSafe(F.col(f"m.{group}"))
     by_bucket = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
@@ -138,8 +140,10 @@ def mix(
     doc_id: str = "doc_id", source: str = "source", text: str = "text",
 ) -> DataFrame:
     """The documents the mix takes, with their own columns; a document taken twice is there twice."""
-    plan = mixed(docs, weights, share, most, doc_id, source, text).groupBy(
-        F.col("source").alias("_mix_source")).agg(F.max("_whole").alias("_mix_whole"), F.max("_below").alias("_mix_below"))
+    # staged, so that Spark knows that it is one row per source and sends it to the texts, not the texts to it
+    plan = staged(mixed(docs, weights, share, most, doc_id, source, text).groupBy(
+        F.col("source").alias("_mix_source")).agg(
+            F.max("_whole").alias("_mix_whole"), F.max("_below").alias("_mix_below")), "mix-plan")
     copies = F.col("_mix_whole") + F.when(point(F.col(doc_id)) < F.col("_mix_below"), 1).otherwise(0)
     return (
         docs.join(plan, F.col(source).eqNullSafe(F.col("_mix_source")))
