@@ -9,8 +9,9 @@ Template: `### role: text</turn>` and a line feed per turn. In texts a backslash
 `\\1\\1\\1` and `</turn>` becomes `\\2/turn>`; in roles a colon also becomes `\\3`. No text can hold a mark.
 
 Defined results: a null role or text is empty; a message whose parent is missing starts a tree; a message id that is
-there twice in a conversation is an error, and so is a circle of replies; a null conversation id is a conversation of
-its own; ties of score go to the smaller leaf; other columns are ignored; an empty table gives no rows.
+there twice in a conversation is an error, and so are a message without an id and a circle of replies; a null
+conversation id is a conversation of its own; ties of score go to the smaller leaf; other columns are ignored; an empty
+table gives no rows; a path, however long its texts, is one row and is put together in one task.
 """
 
 from __future__ import annotations
@@ -55,7 +56,10 @@ def reply_paths(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         links.alias("a").join(known.alias("b"), _same("a", "parent", "b", "msg"), "left").select(
             "a.conv", "a.msg", F.when(F.col("b.known"), F.col("a.parent")).alias("up"), F.lit(1).alias("depth"),
             "a.score", "a.chars"), "chat-paths")
-    total, ids = level.agg(F.count(F.lit(1)), F.count_distinct(F.struct("conv", "msg"))).first()
+    total, ids, nameless = level.agg(
+        F.count(F.lit(1)), F.count_distinct(F.struct("conv", "msg")), F.count_if(F.col("msg").isNull())).first()
+    if nameless:
+        raise ValueError(f"{nameless} messages have no id")
     if total != ids:
         raise ValueError("a message id is there twice in one conversation")
     jumps, reach, done = [], 1, level.filter(F.col("up").isNull())
