@@ -1,14 +1,15 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded: case and width, letters of other scripts that look Latin, and digits or signs that stand for letters
-inside words. The lexicon holds stems, each with the log odds of its texts being toxic, learned from labelled
-rows; the best stem of a word enters (of equal ones the longest), and no other stem of the same word. An Aho-Corasick automaton finds stems at word starts and exception
-phrases anywhere; a stem inside an exception phrase does not count. The weights found, as a sum and per word, give the
-score by a logistic curve fitted to the same rows.
+inside words. The lexicon holds stems, each with the log odds of its texts being toxic, learned from labelled rows, in
+which a group of copies or near copies counts as one text; the best stem of a word enters (of equal ones the longest),
+and no other stem of the same word. Nothing but the documented sample bounds the lexicon. An Aho-Corasick automaton finds
+stems at word starts and exception phrases anywhere; a stem inside an exception phrase does not count. The weights found,
+as a sum and per word, give the score by a logistic curve fitted to the same rows.
 
 Defined results: a null or empty text has no words and gets the score of a text without finds; labels that are null are
 left out; without toxic and clean labels the lexicon is empty and all scores are 0; equal texts get equal scores; a
-column named like the result is replaced.
+column named like the result is replaced; a long text is folded and scanned whole in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import free_name, signed, staged, text_chunks
+from .jaccard import SHINGLE, shingle_sets
 
 # Letters that look like Latin ones, and what digits and signs stand for inside words.
 HOMOGLYPHS = str.maketrans(
@@ -37,8 +39,8 @@ SIGNS = str.maketrans("@$!|", "asil")  # only before a letter or digit: elsewher
 
 FIT_ROWS = 20_000  # labelled rows the model is fitted on, in the mean; the rows are chosen by a hash of their id
 STEM = (3, 12)  # letters in a stem
-LEAST_TEXTS, LEAST_ODDS = 5, 3.0  # toxic texts with a stem, and its log odds
-LEXICON = 5_000  # stems kept, by weight
+LEAST_TEXTS, LEAST_ODDS = 4, 3.0  # different toxic texts with a stem, and its log odds
+WHOLE = 1 << 20  # the weight of a text without copies: weights are whole, so that their sums have no order
 EXCEPTIONS: tuple[str, ...] = ()  # phrases in which a stem is harmless, beside the learned ones
 RESULT = T.StructType([
     T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
@@ -125,8 +127,8 @@ def fit(
     part = min(1.0, fit_rows / max(total, 1))
     picked = F.pmod(F.xxhash64(F.lit("fit"), F.col("id")), F.lit(1 << 20)) < int(part * (1 << 20))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(picked)
-    rows = staged(texts.join(known.filter(picked), "id").select("toxic", "text"), "toxicity-rows")
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    rows = _weighed(staged(texts.join(known.filter(picked), "id").select("toxic", "text"), "toxicity-rows"))
+    counts = {r["toxic"]: r["texts"] / WHOLE for r in rows.groupBy("toxic").agg(F.sum("weight").alias("texts")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
         return Model({}, exceptions, (0.0, 0.0, 0.0))
@@ -134,9 +136,10 @@ def fit(
     def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for mark, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(folded(doc).split())
-                seen[mark == 1].update({w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)})
+            for mark, doc, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, counted = set(folded(doc).split()), seen[mark == 1]
+                for stem in {w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)}:
+                    counted[stem] += weight
         names = [s for s in seen[1]]
         yield pa.RecordBatch.from_arrays([
             pa.array(names, pa.string()), pa.array([seen[1][s] for s in names], pa.int64()),
@@ -149,15 +152,15 @@ def fit(
 
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1.0)) - F.log((F.col("good") + 0.5) / (clean + 1.0))
     counted = rows.mapInArrow(stems, "stem string, bad long, good long").groupBy("stem").agg(
-        F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        (F.sum("bad") / WHOLE).alias("bad"), (F.sum("good") / WHOLE).alias("good"))
     chosen = counted.filter(F.col("bad") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
     lexicon: dict[str, float] = {}
     starts: set[str] = set()
-    best = chosen.orderBy(F.desc("odds"), F.desc(F.length("stem")), "stem").limit(LEXICON * 10)
-    for row in best.collect():
+    # what the bounded sample has: no table of the corpus grows into this
+    for row in sorted(chosen.collect(), key=lambda r: (-r["odds"], -len(r["stem"]), r["stem"])):
         stem = row["stem"]
         parts = [stem[:n] for n in range(STEM[0], len(stem) + 1)]
-        if len(lexicon) < LEXICON and stem not in starts and not any(p in lexicon for p in parts):
+        if stem not in starts and not any(p in lexicon for p in parts):
             lexicon[stem] = float(row["odds"])
             starts.update(parts)
 
@@ -167,6 +170,25 @@ def fit(
     return dataclasses.replace(model, curve=_curve(rows, model))
 
 
+def _weighed(rows: DataFrame) -> DataFrame:
+    """toxic, text and `weight`: `WHOLE` shared by the rows of one label whose texts are copies or near copies, known by
+    the least hash of their five-word shingles, so that a group of copies counts as one text."""
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = np.zeros(batch.num_rows, np.uint64)
+            for row, data, offsets in text_chunks(batch.column(1)):
+                tokens, limits = shingle_sets(data, offsets, SHINGLE)
+                some = np.flatnonzero(np.diff(limits))
+                signs[row + some] = tokens[limits[:-1][some]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(signs))], ["toxic", "text", "sign"])
+
+    told = rows.mapInArrow(sign, "toxic int, text string, sign long")
+    shares = staged(told.groupBy("toxic", "sign").agg(F.count(F.lit(1)).alias("n")), "toxicity-copies")
+    return staged(told.join(shares, ["toxic", "sign"]).select(
+        "toxic", "text", F.ceil(F.lit(float(WHOLE)) / F.col("n")).cast("bigint").alias("weight")),
+        "toxicity-weighed")
+
+
 def _learned_exceptions(rows: DataFrame, model: Model) -> list[str]:
     """Pairs of neighbouring words around a stem that are in clean texts three times or more, and there more often."""
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +211,7 @@ def _learned_exceptions(rows: DataFrame, model: Model) -> list[str]:
 
     counted = rows.mapInArrow(pairs, "pair string, bad long, good long").groupBy("pair").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    kept = counted.filter("good >= 3 AND good > bad").orderBy(F.desc("good"), "pair").limit(LEXICON)
-    return [r["pair"] for r in kept.collect()]
+    return sorted(r["pair"] for r in counted.filter("good >= 3 AND good > bad").collect())
 
 
 def _curve(rows: DataFrame, model: Model, ridge: float = 1.0) -> tuple[float, float, float]:
@@ -203,7 +224,7 @@ def _curve(rows: DataFrame, model: Model, ridge: float = 1.0) -> tuple[float, fl
                 batch.column(0), pa.array([sum(f[2] for f in finds(automaton, t)) for t in texts], pa.float64()),
                 pa.array([_words(t) for t in texts], pa.int64())], ["toxic", "total", "words"])
 
-    got = rows.mapInArrow(sums, "toxic int, total double, words long").orderBy("total", "words", "toxic").collect()
+    got = sorted(rows.mapInArrow(sums, "toxic int, total double, words long").collect())  # one row each of the sample
     total = np.array([r["total"] for r in got])
     words = np.maximum(np.array([r["words"] for r in got], float), 1)
     y = np.array([r["toxic"] for r in got], float)
@@ -239,8 +260,9 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", result: st
 
 def remove_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that the model does not call toxic, with their own columns."""
-    scored = score_toxicity(docs, model, text, "_toxicity")
-    return scored.filter("_toxicity.predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    result = free_name(docs, "_toxicity")
+    scored = score_toxicity(docs, model, text, result)
+    return scored.filter(F.col(f"`{result}`.predicted") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def held_out(doc_id: Column) -> Column:
