@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import free_name, staged
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
@@ -176,5 +176,6 @@ def _scan(docs: DataFrame, block: list[tuple], window: int, text: str, result: s
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, **names) -> DataFrame:
     """The documents in which no window of an item occurs, with their own columns."""
-    found = find_contamination(docs, items, window, result="_contamination", **names)
-    return found.filter("_contamination.n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    result = free_name(docs, "_contamination")
+    found = find_contamination(docs, items, window, result=result, **names)
+    return found.filter(F.col(f"`{result}`.n_hit") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,8 @@ hash. Shards come out near equal in bytes.
 
 Defined results: a null text has no bytes (size 1), and its CRC is that of no bytes; equal records share a slot; ties
 between slots go by slot number, ties between shards by shard number; an empty table gives no rows; columns named like
-the results are replaced.
+the results are replaced; a long text is one record. Records with equal texts and different ids are records of their
+own: what is held together is a record's slot, not a group of copies.
 """
 
 from __future__ import annotations
