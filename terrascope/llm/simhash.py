@@ -55,14 +55,17 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
         first = np.flatnonzero(new)
         times = np.diff(np.append(first, len(term)))
         weight = np.rint(_WEIGHT * (1 + np.log(times))).astype(np.int32)
-        owners, owner = np.unique(of[first], return_inverse=True)
+        other = np.ones(len(first), bool)  # where the terms of another text begin
+        other[1:] = of[first[1:]] != of[first[:-1]]
+        owners, owner = of[first[other]], np.cumsum(other) - 1
         sums = np.zeros((len(owners), BITS), np.int64)
         for at in range(0, len(first), VOTE_TERMS):  # a long text's votes are added up in slices
             part = slice(at, at + VOTE_TERMS)
             bits = np.unpackbits(term[first[part]].astype(">u8").view(np.uint8)).reshape(-1, BITS)
             votes = (bits.astype(np.int32) * 2 - 1) * weight[part, None]
-            here, begin = np.unique(owner[part], return_index=True)
-            sums[here] += np.add.reduceat(votes, begin, axis=0)
+            begin = np.flatnonzero(other[part])
+            begin = begin if other[at] else np.append(0, begin)
+            sums[owner[part][begin]] += np.add.reduceat(votes, begin, axis=0)
         won = sums > 0
         out[row + owners] = np.packbits(won, axis=1).view(">u8").ravel().astype(np.uint64)
     return out
