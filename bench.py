@@ -89,7 +89,8 @@ def main() -> None:
     # keys that write their own inputs and tables, as registered: one run to warm up, one measured
     whole = {name: (lots, lambda q=QUERIES[name]: q(spark, sf_dir)) for name in (
         "word_weights", "drain_geocoding", "apply_geocodes", "sales_refresh_stream", "import_sales_zip",
-        "job_import_year", "outline_points")}
+        "job_import_year", "outline_points", "dept_sales_stats_rollup", "transaction_stats_by_department_rollup",
+        "heat_points_average_price_stored", "in_viewport_stored", "page_after", "job_state_changes")}
 
     seconds, rate = {}, {}
     for name, (rows, run) in {**runs, **whole}.items():
