@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import hashlib
 import io
 import zipfile
@@ -494,6 +495,31 @@ def _(spark, sf):
     return sinks.upsert_cities(known, incoming)
 
 
+_NEW_NAME = "CASE WHEN department_code = '07' THEN lower(name) WHEN population % 3 <> 0 THEN upper(name) ELSE name END"
+
+
+@query("merge_cities", ["cities"], f"""
+    SELECT insee_code, {_NEW_NAME} AS name,
+      CASE WHEN population % 3 = 0 AND population % 2 = 0 THEN postal_code END AS postal_code,
+      CASE WHEN population % 2 = 0 THEN department_code WHEN population % 3 <> 0 THEN 'XX' END AS department_code,
+      CASE WHEN population % 2 = 0 OR population % 3 <> 0 THEN population END AS population,
+      CASE WHEN population % 3 <> 0 THEN area + 1 WHEN population % 2 = 0 THEN area END AS area
+    FROM cities WHERE population % 2 = 0 OR population % 3 <> 0 OR department_code = '07'""")
+def _(spark, sf):
+    """A bucketed table, a feed in which every commune comes twice (the later place counts), and a small one of names."""
+    cities = view(spark, sf, "cities")
+    table = sinks.BucketTable(spark, fresh_path(spark, "cities-by-bucket"))
+    table.create(cities.filter("population % 2 = 0"), ["insee_code"], buckets=16)
+    feed = cities.filter("population % 3 <> 0").select(
+        "insee_code", "name", F.lit(None).cast("string").alias("postal_code"), F.lit("XX").alias("department_code"),
+        "population", (F.col("area") + 1).alias("area"), F.lit(1).alias("place"))
+    later = feed.withColumns({"name": F.upper("name"), "place": F.lit(2)})
+    by_place = functools.partial(sinks.upsert_cities, order="place")
+    table.merge(feed.withColumn("name", F.concat(F.lit("zz"), "name")).unionByName(later), by_place)
+    table.merge(cities.filter("department_code = '07'").select("insee_code", F.lower("name").alias("name")), sinks.upsert_cities)
+    return table.read()
+
+
 @query("upsert_names", ["cities"], """
     SELECT insee_code AS code, CASE WHEN population % 3 <> 0 THEN upper(name) ELSE name END AS name,
       CASE WHEN population % 2 = 0 THEN 'R1' ELSE 'R2' END AS region_code,
@@ -507,15 +533,31 @@ def _(spark, sf):
     return sinks.upsert_names(known, incoming)
 
 
-@query("upsert_boundaries", ["all_boundaries"], """
+_BOUNDARIES_SQL = """
     SELECT geographic_level, geographic_code, CASE WHEN geographic_level = 'CITY' THEN upper(name) ELSE name END AS name,
-      CASE WHEN geographic_level = 'CITY' THEN 'null' ELSE geometry END AS geometry FROM all_boundaries""")
-def _(spark, sf):
-    known = view(spark, sf, "all_boundaries").filter(
+      CASE WHEN geographic_level = 'CITY' THEN 'null' ELSE geometry END AS geometry FROM all_boundaries"""
+
+
+def _known_boundaries(spark, sf):
+    return view(spark, sf, "all_boundaries").filter(
         "geographic_level <> 'CITY' OR CAST(geographic_code AS INT) % 2 = 0")
-    incoming = view(spark, sf, "city_boundaries").withColumns(
-        {"name": F.upper("name"), "geometry": F.lit("null")})
-    return sinks.upsert_boundaries(known, incoming)
+
+
+def _new_boundaries(spark, sf):
+    return view(spark, sf, "city_boundaries").withColumns({"name": F.upper("name"), "geometry": F.lit("null")})
+
+
+@query("upsert_boundaries", ["all_boundaries"], _BOUNDARIES_SQL)
+def _(spark, sf):
+    return sinks.upsert_boundaries(_known_boundaries(spark, sf), _new_boundaries(spark, sf))
+
+
+@query("merge_boundaries", ["all_boundaries"], _BOUNDARIES_SQL)
+def _(spark, sf):
+    table = sinks.BucketTable(spark, fresh_path(spark, "boundaries-by-bucket"))
+    table.create(_known_boundaries(spark, sf), ["geographic_level", "geographic_code"], buckets=16)
+    table.merge(_new_boundaries(spark, sf), sinks.upsert_boundaries)
+    return table.read()
 
 
 @query("append_indicators", ["energy", "health"], f"{ENERGY_SQL} UNION ALL {HEALTH_SQL}")

@@ -1,3 +1,4 @@
+from .buckets import BucketTable
 from .releases import YearStore
 from .sales_store import (
     add_delivery, compact_year, publish_years, read_cells, read_city_stats, read_prices, read_sales,

@@ -27,6 +27,34 @@ HEADS = "_heads"
 ROW_GROUP = 16 << 20
 
 
+def head_numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the head files in a folder, in order."""
+    names = folder_names(spark, folder)
+    return sorted(int(n[:-len(".json")]) for n in names if n[:1] != "." and n.endswith(".json"))
+
+
+def read_head(spark: SparkSession, folder: str, number: int) -> dict:
+    fs, path = _file_system(spark, f"{folder}/{number:08d}.json")
+    stream = fs.open(path)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def add_head(spark: SparkSession, folder: str, number: int, value: dict) -> bool:
+    """Write a head under another name and rename it; False, and nothing is changed, when its number is taken."""
+    fs, aside = _file_system(spark, f"{folder}/.{uuid.uuid4().hex}")
+    out = fs.create(aside)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    _, final = _file_system(spark, f"{folder}/{number:08d}.json")
+    if fs.exists(final) or not fs.rename(aside, final):
+        fs.delete(aside, False)
+        return False
+    return True
+
+
 class YearStore:
     """The parts of all years under one folder."""
 
@@ -36,20 +64,14 @@ class YearStore:
     # --- heads ------------------------------------------------------------------------------------------------
 
     def _numbers(self, year: int) -> list[int]:
-        names = folder_names(self.spark, f"{self.root}/{HEADS}/year={year}")
-        return sorted(int(n[:-len(".json")]) for n in names if n[:1] != "." and n.endswith(".json"))
+        return head_numbers(self.spark, f"{self.root}/{HEADS}/year={year}")
 
     def head(self, year: int) -> dict:
         """{"parts": {part: [folder, ...]}, "notes": {...}} of a year; empty before its first switch."""
         numbers = self._numbers(year)
         if not numbers:
             return {"parts": {}, "notes": {}}
-        fs, path = _file_system(self.spark, f"{self.root}/{HEADS}/year={year}/{numbers[-1]:08d}.json")
-        stream = fs.open(path)
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return read_head(self.spark, f"{self.root}/{HEADS}/year={year}", numbers[-1])
 
     def years(self) -> list[int]:
         """Years that have had a switch, also those that are empty now."""
@@ -64,14 +86,7 @@ class YearStore:
         after = {"parts": {**before["parts"], **{p: list(f) for p, f in parts.items()}},
                  "notes": {**before["notes"], **(notes or {})}}
         number = max(self._numbers(year), default=0) + 1
-        folder = f"{self.root}/{HEADS}/year={year}"
-        fs, aside = _file_system(self.spark, f"{folder}/.{uuid.uuid4().hex}")
-        out = fs.create(aside)
-        out.write(bytearray(json.dumps(after).encode()))
-        out.close()
-        _, final = _file_system(self.spark, f"{folder}/{number:08d}.json")
-        if fs.exists(final) or not fs.rename(aside, final):
-            fs.delete(aside, False)
+        if not add_head(self.spark, f"{self.root}/{HEADS}/year={year}", number, after):
             raise RuntimeError(f"year {year} was switched by another writer")
 
     # --- rows -------------------------------------------------------------------------------------------------

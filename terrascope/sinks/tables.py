@@ -84,15 +84,15 @@ def upsert(
     return joined.select(*keys, *[pick(c).alias(c) for c in rest]).select(existing.columns)
 
 
-def upsert_cities(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_cities(existing: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
     """Communes: everything is renewed except the department of a known commune."""
     columns = ["name", "postal_code", "population", "area", "latitude", "longitude"]
-    return upsert(existing, incoming, ["insee_code"], columns)
+    return upsert(existing, incoming, ["insee_code"], columns, order)
 
 
-def upsert_names(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_names(existing: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
     """Regions and departments: known rows get the new name only."""
-    return upsert(existing, incoming, ["code"], ["name"])
+    return upsert(existing, incoming, ["code"], ["name"], order)
 
 
 BOUNDARY_KEY = ("geographic_level", "geographic_code")
@@ -187,13 +187,18 @@ def read_geocodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_geocodes(tx: DataFrame, answers: DataFrame) -> DataFrame:
-    """Sales with the answers merged in: attempted rows have the time, those with a kept match also coordinates."""
+    """Sales with the answers merged in: attempted rows have the time, those with a kept match also coordinates.
+
+    Where sales have a year they meet the answers by id and year, so that a filter on the year of the sales also picks
+    the folders of answers that are read; a sale without its year has no answer then.
+    """
+    keys = ["id", *(["year"] if "year" in tx.columns else [])]
     best = F.max(F.struct("resolved", "latitude", "longitude", "geocoded_at")).alias("_a")
-    found = answers.groupBy("id").agg(best).select(
-        F.col("id").alias("_id"), F.col("_a.latitude").alias("_lat"), F.col("_a.longitude").alias("_lon"),
+    found = answers.groupBy(*keys).agg(best).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("_a.latitude").alias("_lat"), F.col("_a.longitude").alias("_lon"),
         F.col("_a.resolved").alias("_resolved"), F.col("_a.geocoded_at").alias("_at"))
     stamp = F.col("geocoded_at") if "geocoded_at" in tx.columns else F.lit(None).cast("timestamp")
-    return tx.join(found, F.col("id") == F.col("_id"), "left").withColumns({
+    return tx.join(found, [F.col(k) == F.col(f"_{k}") for k in keys], "left").withColumns({
         "latitude": F.when(F.col("_resolved"), F.col("_lat")).otherwise(F.col("latitude")),
         "longitude": F.when(F.col("_resolved"), F.col("_lon")).otherwise(F.col("longitude")),
         "geocoded_at": F.coalesce("_at", stamp),
