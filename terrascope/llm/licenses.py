@@ -10,6 +10,9 @@ notice may be laid out in paragraphs: what stays unexplained of neighbouring blo
 short gaps between them included, with the templates of several sentences. Texts are read in windows of WINDOW words, of
 which neighbours share half, so that a notice of up to half a window is seen whole.
 
+Short sentences, SPDX lines and headings are made by rule from what licenses are called (`TITLES`, `GNU`,
+`CREATIVE_COMMONS`, `HEADINGS`). A heading counts only when its block says nothing else, but for a copyright line.
+
 Defined results: a null or empty text has no blocks; ties of rank go to the earlier template; equal texts get equal
 results; a block that no template explains is reported without a license; a column named like the result is replaced.
 """
@@ -61,9 +64,26 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
         "option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License version 2 as published by the Free Software Foundation.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
     ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
         "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -78,11 +98,30 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "contributors may be used to endorse or promote products derived from this software without specific prior "
         "written permission.",
     ),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. This software is provided by the copyright holders and contributors "
+        '"as is" and any express or implied warranties, including, but not limited to, the implied warranties of '
+        "merchantability and fitness for a particular purpose are disclaimed.",
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+        "software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+        "subject to the following restrictions",
+    ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "CC0-1.0": ("Licensed under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     "CC-BY-4.0": (
@@ -101,14 +140,91 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.",),
     "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.",),
 }
+# What licenses are called, by SPDX identifier; numbers as far as they tell licenses apart.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "Expat License"),
+    "Apache-2.0": ("Apache 2.0", "Apache 2 License"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "MPL 2.0"),
+    "BSD-3-Clause": ("BSD 3-Clause", "3-Clause BSD", "Three-Clause BSD", "Revised BSD License", "Modified BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause", "2-Clause BSD", "Two-Clause BSD", "Simplified BSD License"),
+    "ISC": ("ISC License",),
+    "BSL-1.0": ("Boost Software License 1.0",),
+    "EPL-2.0": ("Eclipse Public License 2.0", "EPL 2.0"),
+    "Zlib": ("zlib License",),
+    "Unlicense": ("The Unlicense",),
+    "CC0-1.0": ("CC0 1.0", "CC0 License", "Creative Commons Zero"),
+}
+GNU = {
+    "GPL-2.0": ("General Public License", "GPL", "2"), "GPL-3.0": ("General Public License", "GPL", "3"),
+    "LGPL-2.1": ("Lesser General Public License", "LGPL", "2.1"), "LGPL-3.0": ("Lesser General Public License", "LGPL", "3"),
+    "AGPL-3.0": ("Affero General Public License", "AGPL", "3"),
+}
+CREATIVE_COMMONS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+VERBS = ("Licensed", "Released", "Distributed", "Available")
+# Headings of license files, which count when a block says nothing else.
+HEADINGS: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT", "The MIT License (MIT)"),
+    "Apache-2.0": ("Apache License Version 2.0, January 2004", "Apache License, Version 2.0"),
+    "GPL-3.0": ("GNU General Public License Version 3, 29 June 2007",),
+    "GPL-2.0": ("GNU General Public License Version 2, June 1991",),
+    "LGPL-3.0": ("GNU Lesser General Public License Version 3, 29 June 2007",),
+    "LGPL-2.1": ("GNU Lesser General Public License Version 2.1, February 1999",),
+    "AGPL-3.0": ("GNU Affero General Public License Version 3, 19 November 2007",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+    "BSD-3-Clause": ("New BSD License",),
+    "EPL-2.0": ("Eclipse Public License v 2.0",),
+    "BSL-1.0": ("Boost Software License Version 1.0, 17 August 2003",),
+    "ISC": ("ISC",),
+    "Unlicense": ("Unlicense",),
+}
+
+
+def titles() -> dict[str, tuple[str, ...]]:
+    """What the licenses are called, with the short and long names of the families that are named by a rule."""
+    named = dict(TITLES)
+    for name, (long, short, version) in GNU.items():
+        named[name] = tuple(
+            f"{t}{sign}{version}" for t in (long, short) for sign in (" version ", " v", " ")) + (f"{short}v{version}",)
+    for short, long in CREATIVE_COMMONS.items():
+        named[f"CC-{short}-4.0"] = (f"CC {short} 4.0", f"Creative Commons {long} 4.0", f"Creative Commons {short} 4.0")
+    return named
+
+
+def all_templates() -> dict[str, tuple[str, ...]]:
+    """The notices, with an SPDX line and short sentences for every license."""
+    named = titles()
+    return {
+        name: tuple(dict.fromkeys((
+            *TEMPLATES.get(name, ()), f"SPDX-License-Identifier: {name}",
+            *(f"{verb} under {title}" for title in named.get(name, ()) for verb in VERBS))))
+        for name in dict.fromkeys((*TEMPLATES, *named))}
+
+
+def headings() -> dict[tuple[str, ...], tuple[str, str]]:
+    """Words of a heading -> (license, heading)."""
+    found = {}
+    for named in (titles(), HEADINGS):
+        for name, called in named.items():
+            for title in called:
+                for form in ("{}", "The {}", "{} License", "The {} License", "License {}", "GNU {}", "Licensed under {}",
+                             "Licensed under the {}", "{} licensed"):
+                    found.setdefault(tuple(words(form.format(title))), (name, form.format(title)))
+    return found
+
+
 # Words of which a notice has at least one.
 MARKS = re.compile(
     r"licen[sc]|copyright|copyleft|public domain|creative commons|spdx|redistribut|permission (?:is|to)|\bwarrant(?:y|ies)|"
-    r"endorse\s+or\s+promote",
+    r"endorse\s+or\s+promote|\b(?:[al]?gpl(?:v?\d)?|cc0|cc[ -]by|mpl|epl|bsd|apache[ -]\d)\b|'as[ -]is'",
     re.IGNORECASE)
 TELLING = re.compile(
     r"mit|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|bsd|clause|isc|unencumbered|cc0|cc|by|nc|sa|nd|"
-    r"attribution|sharealike|noncommercial|noderivatives|endorse|fee|\d+")
+    r"attribution|sharealike|noncommercial|noderivatives|endorse|fee|[al]?gplv\d+|v\d+|library|zero|expat|boost|eclipse|epl|zlib|"
+    r"unlicense|revised|modified|simplified|two|three|four|\d+")
 REACH = 2000
 GAP_WORDS = 20  # words between blocks of one group
 LONG_WORDS = 20  # templates of more words are looked for over several blocks
@@ -207,32 +323,38 @@ class Notice(NamedTuple):
     added: tuple[str, ...]
     start: int
     end: int
+    heading: bool = False
 
 
 class Scanner:
     """Compressors with the templates as dictionaries."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]]):
+    def __init__(self, templates: dict[str, tuple[str, ...]], titled: dict[tuple[str, ...], tuple[str, str]] | None = None):
         self.alone = zstandard.ZstdCompressor(level=3)
+        self.titled = titled or {}
+        self.longest = max(map(len, self.titled), default=0)
         self.entries = []
         for name, texts in templates.items():
             for text in texts:
                 data = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.entries.append((
-                    name, words(text), Counter(words(text)), zstandard.ZstdCompressor(level=3, dict_data=data)))
+                    name, words(text), Counter(words(text)), Counter(w for w in words(text) if TELLING.fullmatch(w)),
+                    zstandard.ZstdCompressor(level=3, dict_data=data)))
 
     def ranked(self, block: str, said: list[str], several: bool = False) -> list[tuple[float, str, list[str]]]:
         """(share of the compressed size saved, license, words of the template), the best first. Templates of whose words
-        too few are said in any order are left out; `several` takes those that stand in several blocks."""
+        too few are said in any order are left out, also those of which a telling word is not said; `several` takes those
+        that stand in several blocks."""
         counts = Counter(said)
         entries = [
             e for e in self.entries if (len(e[1]) > LONG_WORDS or not several)
+            and all(counts[w] >= n for w, n in e[3].items())
             and sum(min(n, counts[w]) for w, n in e[2].items()) >= LEAST_MATCH * len(e[1])]
         if not entries:
             return []
         raw = block.encode("utf-8", "replace")
         size = len(self.alone.compress(raw))
-        scores = [((size - len(c.compress(raw))) / size, name, template) for name, template, _, c in entries]
+        scores = [((size - len(c.compress(raw))) / size, name, template) for name, template, _, _, c in entries]
         return sorted(scores, key=lambda s: -s[0])
 
     @functools.lru_cache(maxsize=4096)  # noqa: B019
@@ -245,8 +367,22 @@ class Scanner:
             if high == len(text.said):
                 break
             low = max(high - WINDOW // 2, found[-1][1] if found else 0)
+        if not found and not several:
+            return self._heading(text)
         return [notice for _, _, notice in found]
 
+    def _heading(self, text: Words) -> list[Notice]:
+        """The license that a block names and says nothing else, but for the copyright line that may follow."""
+        said = text.said[:self.longest + 1]
+        size = said.index("copyright") if "copyright" in said else len(text.said)
+        name, title = self.titled.get(tuple(text.said[:size]), (None, ""))
+        if name is None:
+            return []
+        part = text.part(0, size).encode("utf-8", "replace")
+        data = zstandard.ZstdCompressionDict(title.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        small, alone = len(zstandard.ZstdCompressor(level=3, dict_data=data).compress(part)), len(self.alone.compress(part))
+        return [Notice(name, (alone - small) / alone, (), (), text.starts[0], text.ends[size - 1], True)]
+
     def _between(self, text: Words, low: int, high: int, several: bool) -> list[tuple[int, int, Notice]]:
         """(first word, word after the last, notice) of the notices in the words from `low` to `high`, in order."""
         found, waiting = [], [(low, high, range(0))]
@@ -337,11 +473,15 @@ def _together(pairs: list[difflib.Match], least: float) -> list[difflib.Match]:
 
 def group_notices(scanner: Scanner, text: str, group: list[tuple[int, str]]) -> list[tuple[int, int, Notice]]:
     """(start, length, notice) of every notice of neighbouring blocks. A block with several notices is divided among
-    them; a notice over several blocks has all that lies from the first of them to the last."""
-    found, left, begin = [], [], group[0][0]
+    them; a notice over several blocks has all that lies from the first of them to the last. A heading counts where no
+    notice of its license is among the others."""
+    found, titles_only, left, begin = [], [], [], group[0][0]
     end = group[-1][0] + len(group[-1][1])
     for start, block in group:
         notices, low = scanner.identify(block), start
+        if notices and notices[0].heading:
+            titles_only.append((start, len(block), notices[0]))
+            continue
         for i, notice in enumerate(notices):
             high = start + (len(block) if i == len(notices) - 1 else notice.end)
             found.append((low, high - low, notice))
@@ -353,7 +493,8 @@ def group_notices(scanner: Scanner, text: str, group: list[tuple[int, str]]) ->
                 first = max([s for s, _ in group if low <= s <= low + notice.start], default=low)
                 last = min([s + len(b) for s, b in group if low + notice.end <= s + len(b) <= high], default=high)
                 found.append((first, last - first, notice))
-    return sorted(found, key=lambda f: f[0])
+    told = {notice.license for _, _, notice in found}
+    return sorted([*found, *(t for t in titles_only if t[2].license not in told)], key=lambda f: f[0])
 
 
 def scan_licenses(
@@ -361,11 +502,11 @@ def scan_licenses(
 ) -> DataFrame:
     """The documents with a struct `result`: the number of candidate blocks, and of every block that a template
     explains the license, its place in the text, the share saved and the words that differ. Nothing is shuffled."""
-    chosen = templates or TEMPLATES
+    chosen, titled = templates or all_templates(), None if templates else headings()
     docs = docs.drop(result)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(chosen)
+        scanner = Scanner(chosen, titled)
         for batch in batches:
             rows = []
             for doc in batch.column(batch.schema.names.index(text)):
