@@ -78,6 +78,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
         "option) any later version.",
     ),
+    "LGPL-2.0": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version.",
+    ),
     "AGPL-3.0": (
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
@@ -157,7 +162,7 @@ TITLES: dict[str, tuple[str, ...]] = {
 GNU = {
     "GPL-2.0": ("General Public License", "GPL", "2"), "GPL-3.0": ("General Public License", "GPL", "3"),
     "LGPL-2.1": ("Lesser General Public License", "LGPL", "2.1"), "LGPL-3.0": ("Lesser General Public License", "LGPL", "3"),
-    "AGPL-3.0": ("Affero General Public License", "AGPL", "3"),
+    "LGPL-2.0": ("Library General Public License", "LGPL", "2"), "AGPL-3.0": ("Affero General Public License", "AGPL", "3"),
 }
 CREATIVE_COMMONS = {
     "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
@@ -188,7 +193,7 @@ def titles() -> dict[str, tuple[str, ...]]:
     named = dict(TITLES)
     for name, (long, short, version) in GNU.items():
         named[name] = tuple(
-            f"{t}{sign}{version}" for t in (long, short) for sign in (" version ", " v", " ")) + (f"{short}v{version}",)
+            f"{t}{sign}{version}" for t in (long, f"GNU {long}", short, f"GNU {short}") for sign in (" version ", " v", " ")) + (f"{short}v{version}",)
     for short, long in CREATIVE_COMMONS.items():
         named[f"CC-{short}-4.0"] = (f"CC {short} 4.0", f"Creative Commons {long} 4.0", f"Creative Commons {short} 4.0")
     return named
@@ -210,7 +215,7 @@ def headings() -> dict[tuple[str, ...], tuple[str, str]]:
     for named in (titles(), HEADINGS):
         for name, called in named.items():
             for title in called:
-                for form in ("{}", "The {}", "{} License", "The {} License", "License {}", "GNU {}", "Licensed under {}",
+                for form in ("{}", "The {}", "{} License", "The {} License", "License {}", "Licensed under {}",
                              "Licensed under the {}", "{} licensed"):
                     found.setdefault(tuple(words(form.format(title))), (name, form.format(title)))
     return found
@@ -223,7 +228,7 @@ MARKS = re.compile(
     re.IGNORECASE)
 TELLING = re.compile(
     r"mit|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|bsd|clause|isc|unencumbered|cc0|cc|by|nc|sa|nd|"
-    r"attribution|sharealike|noncommercial|noderivatives|endorse|fee|[al]?gplv\d+|v\d+|library|zero|expat|boost|eclipse|epl|zlib|"
+    r"attribution|sharealike|noncommercial|noderivatives|endorse|fee|[al]?gplv\d+|v\d+|zero|expat|boost|eclipse|epl|zlib|"
     r"unlicense|revised|modified|simplified|two|three|four|\d+")
 REACH = 2000
 GAP_WORDS = 20  # words between blocks of one group

@@ -28,6 +28,8 @@ SAID = [
     ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"),
     ("GPL-2.0", "Distributed under the GPL, version 2 or later."),
     ("LGPL-2.1", FREE.format("This library", ";", "Lesser General Public\nLicense", ";", "2.1")),
+    ("LGPL-2.0", FREE.format("This collection", ";", "Library General\nPublic License", ";", 2)),
+    ("GPL-3.0", "The whole tool is distributed under the GNU GPL version 3 or any later version."),
     ("LGPL-3.0", FREE.format("The parser", ":", "Lesser General Public License", ",", 3)),
     ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
     ("AGPL-3.0", FREE.format("This server", ":", "Affero General Public License", ",", 3)),
