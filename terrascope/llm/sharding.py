@@ -21,6 +21,7 @@ from .common import staged
 
 SLOTS = 4096
 SHARDS = 8
+RUN = 1 << 14  # equal records that one row of a run gives
 
 
 def virtual_slot(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
@@ -155,14 +156,24 @@ def numbered(sized: DataFrame, slot_map: DataFrame, by_slot: DataFrame) -> DataF
     """Every record with its shard and its place in the shard, gapless from 0.
 
     Slots follow one another inside a shard, so a place is the number of records in the slots before plus the rank
-    inside the slot; no task sees more than one slot's records together.
+    inside the slot. Equal records are counted first, which combines map-side, and ranked as one; then each gives as many
+    rows as it stands for, those of large groups in runs of `RUN` dealt over all tasks.
     """
     before = F.coalesce(F.sum("records").over(
         W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = by_slot.join(slot_map, "virtual_slot").select("virtual_slot", "shard", before.alias("_before"))
-    inside = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    return sized.withColumn("_inside", inside).join(placed, "virtual_slot").withColumn(
-        "place", (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_before", "_inside")
+    inside = F.coalesce(F.sum("_n").over(
+        W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    different = staged(sized.groupBy("doc_id", "size", "text_crc32", "virtual_slot").agg(F.count(F.lit(1)).alias("_n"))
+                       .withColumn("_inside", inside).join(placed, "virtual_slot")
+                       .withColumn("_at", F.col("_before") + F.col("_inside")).drop("_before", "_inside"), "shard-ranks")
+    own = ["doc_id", "size", "text_crc32", "virtual_slot", "shard"]
+    end = F.col("_at") + F.col("_n")
+    few = different.filter(F.col("_n") <= RUN).select(*own, F.explode(F.sequence("_at", end - 1)).alias("place"))
+    runs = different.filter(F.col("_n") > RUN).select(
+        *own, end.alias("_end"), F.explode(F.sequence("_at", end - 1, F.lit(RUN).cast("bigint"))).alias("_at")).repartition("shard", "_at")
+    many = runs.select(*own, F.explode(F.sequence("_at", F.least("_end", F.col("_at") + RUN) - 1)).alias("place"))
+    return few.unionByName(many)
 
 
 def shard_records(
