@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import regions as R
 from .common import (
-    RangeHash, lowered, partitions, signed, space_separated, staged, text_chunks, word_hashes, words,
+    RangeHash, free_name, lowered, partitions, signed, space_separated, staged, text_chunks, word_hashes, words,
 )
 from .components import connected
 from .signature_tree import Classes, bitmap, link
@@ -280,9 +280,9 @@ def similar_classes(
     prefixed = staged(prefixes(keyed, size, percent, last), "jaccard-prefixes")
     candidates = connected(staged(candidate_links(prefixed, percent), "jaccard-candidates"), "a", "b")
 
-    one_each = prefixed.filter("n > 0").groupBy("set").agg(F.min("key").alias("key"))
+    one_each = prefixed.filter("n > 0").groupBy("set").agg(F.min(F.struct("id", "key")).alias("at"))
     chosen = staged(candidates.join(one_each, candidates["node"] == one_each["set"]).select(
-        "set", "key", F.col("root").alias("class")), "jaccard-chosen")
+        "set", "at.*", F.col("root").alias("class")), "jaccard-chosen")
     met = R.with_texts(chosen, keyed, "set", "class").select("key", "packed", F.explode("places").alias("p")).select(
         F.col("p.class").alias("class"), F.col("p.set").alias("set"), "packed").dropDuplicates(["class", "set"])
     roots = connected(exact_links(staged(met, "jaccard-met"), size, percent), "a", "b")
@@ -305,9 +305,10 @@ def distinct_documents(
     """
     found = similar_classes(docs, size, percent, doc_id, text)
     kept = found.filter("class IS NULL OR id <=> component_id").groupBy(
-        "class", F.when(F.col("class").isNull(), F.col("key")).alias("blank")).agg(F.min("key").alias("_jaccard_key"))
-    keep = staged(kept.select("_jaccard_key"), "jaccard-keep")
-    own = R.row_key(F.col(doc_id), F.col(text))
-    return docs.withColumn("_jaccard_own", own).join(
-        keep, F.col("_jaccard_own") == F.col("_jaccard_key")).dropDuplicates(["_jaccard_own"]).select(
-            *[F.col(f"`{c}`") for c in docs.columns])
+        "class", F.when(F.col("class").isNull(), F.struct("key", R.owner())).alias("blank")).agg(
+            F.min(F.struct("key", R.owner().alias("of"))).alias("at"))
+    key, of, kept_key, kept_of = (free_name(docs, f"_jaccard_{c}") for c in ("key", "of", "kept_key", "kept_of"))
+    keep = staged(kept.select(F.col("at.key").alias(kept_key), F.col("at.of").alias(kept_of)), "jaccard-keep")
+    named = docs.withColumns({key: R.row_key(F.col(doc_id), F.col(text)), of: R.owner(F.col(doc_id))})
+    return named.join(keep, (F.col(key) == F.col(kept_key)) & (F.col(of) == F.col(kept_of))).dropDuplicates([key, of]).select(
+        *[F.col(f"`{c}`") for c in docs.columns])

@@ -24,12 +24,20 @@ Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, key and text; the key is a 64-bit hash of id and text, so equal rows are one document."""
+    """id, key and text; the key is a 64-bit hash of id and text, so equal rows are one document.
+
+    Among very many rows a few keys agree by chance: what is found for a document is kept by key and `owner`.
+    """
     return docs.select(
         F.col(doc_id).alias("id"), row_key(F.col(doc_id), F.col(text)).alias("key"),
         F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def owner(doc_id: Column | str = "id") -> Column:
+    """A second hash of a document, of its id alone."""
+    return F.xxhash64(doc_id)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """The texts compressed one by one, so that a shuffle moves and stores less of them."""
     schema = T.StructType([docs.schema["id"], docs.schema["key"], T.StructField("packed", T.BinaryType())])
@@ -91,20 +99,20 @@ def repeated_regions(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 def text_exchange(docs: DataFrame) -> DataFrame:
-    """The packed texts dealt by key."""
-    return packed(docs).repartition(partitions(docs.sparkSession), "key")
+    """The packed texts dealt by key and owner, which is column `of`."""
+    return packed(docs).withColumn("of", owner()).repartition(partitions(docs.sparkSession), "key", "of")
 
 
 def with_texts(rows: DataFrame, docs: DataFrame, *columns: str | Column) -> DataFrame:
-    """One row per document that has rows: id, key, packed and the rows as array `places`."""
-    gathered = rows.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("places"))
-    return text_exchange(docs).join(gathered, "key")
+    """One row per document that has rows (id, key and others): id, key, of, packed and the rows as array `places`."""
+    gathered = rows.withColumn("of", owner()).groupBy("key", "of").agg(F.collect_list(F.struct(*columns)).alias("places"))
+    return text_exchange(docs).join(gathered, ["key", "of"])
 
 
 def marked_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Every document with `spans`, its marked window starts (first, last), or null."""
-    spans = marks.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return text_exchange(docs).join(spans, "key", "left")
+    """Every document with `spans`, its marked window starts (first, last), or null. `marks`: key, of, first, last."""
+    spans = marks.groupBy("key", "of").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return text_exchange(docs).join(spans, ["key", "of"], "left")
 
 
 def covered(n: int, spans: list | None, window: int) -> np.ndarray:

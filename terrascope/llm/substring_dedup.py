@@ -67,11 +67,12 @@ def residual_windows(docs: DataFrame, residue: DataFrame, window: int, base: int
 
 
 def later_windows(docs: DataFrame, window: int, base: int) -> DataFrame:
-    """(key, first, last): the window starts whose words are there earlier too."""
+    """(key, of, first, last): the window starts whose words are there earlier too."""
     shared, classes, residue = R.repeated_regions(R.regions(docs, word_units, window, base))
     copies = classes.filter("n > 1").select("sign", "region", F.col("at").alias("earliest"))
     here = _place("first")
-    whole = shared.join(copies, ["sign", "region"]).filter(here != _earliest("first")).select("key", "first", "last")
+    whole = shared.join(copies, ["sign", "region"]).filter(here != _earliest("first")).select(
+        "key", R.owner().alias("of"), "first", "last")
 
     left = staged(residual_windows(docs, residue, window, base), "windows")
     for n in lengths(window, base)[:-1]:
@@ -82,16 +83,16 @@ def later_windows(docs: DataFrame, window: int, base: int) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "start")).alias("earliest"),
     ).filter("n > 1").drop("n"), "windows-earliest")
     single = left.join(earliest, last).filter(_place("start") != _earliest("start")).select(
-        "key", F.col("start").alias("first"), F.col("start").alias("last"))
+        "key", R.owner().alias("of"), F.col("start").alias("first"), F.col("start").alias("last"))
     return whole.unionByName(single)
 
 
 def _place(start: str) -> Column:
-    return F.struct(F.col("key"), F.col(start).alias("start"))
+    return F.struct(F.col("key"), R.owner().alias("of"), F.col(start).alias("start"))
 
 
 def _earliest(start: str) -> Column:
-    return F.struct(F.col("earliest.key"), F.col(f"earliest.{start}").alias("start"))
+    return F.struct(F.col("earliest.key"), R.owner("earliest.id").alias("of"), F.col(f"earliest.{start}").alias("start"))
 
 
 def remove_repeats(

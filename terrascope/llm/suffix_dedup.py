@@ -110,14 +110,14 @@ def shard_strings(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndar
 
 
 def _cut_pieces(residue: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """sign, salt, parts (over how many salts the sign is spread), key, first and the bytes of every region in the
+    """sign, salt, parts (over how many salts the sign is spread), key, of, first and the bytes of every region in the
     residue."""
     parts = F.ceil(F.col("rivals") / F.lit(RIVALS)).cast("int")
     dealt = residue.select(
-        "key", "sign", F.pmod("region", parts).cast("int").alias("salt"), parts.alias("parts"), "first", "last")
+        "id", "key", "sign", F.pmod("region", parts).cast("int").alias("salt"), parts.alias("parts"), "first", "last")
     schema = T.StructType([
         T.StructField("sign", T.LongType()), T.StructField("salt", T.IntegerType()),
-        T.StructField("parts", T.IntegerType()), T.StructField("key", T.LongType()),
+        T.StructField("parts", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("of", T.LongType()),
         T.StructField("first", T.IntegerType()), T.StructField("piece", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +126,10 @@ def _cut_pieces(residue: DataFrame, docs: DataFrame, window: int) -> DataFrame:
             for row in range(batch.num_rows):
                 raw = R.unpacked(columns["packed"][row].as_py())
                 places = columns["places"][row].as_py()
-                key = columns["key"][row].as_py()
+                key, of = columns["key"][row].as_py(), columns["of"][row].as_py()
                 rows = {(p["sign"], p["first"]): p for p in places}.values()  # equal documents come with equal places
                 yield pa.RecordBatch.from_pylist([{
-                    "sign": p["sign"], "salt": p["salt"], "parts": p["parts"], "key": key, "first": p["first"],
+                    "sign": p["sign"], "salt": p["salt"], "parts": p["parts"], "key": key, "of": of, "first": p["first"],
                     "piece": raw[p["first"]:p["last"] + window],
                 } for p in rows], schema=_arrow(schema))
 
@@ -142,18 +142,19 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def _shards(pieces: DataFrame, window: int) -> DataFrame:
-    """Marks (key, first, last), and for split signs also the shard's sorted strings, one of each class, cut into
-    ranges: sign, range and the arrays strings, keys and places. The more shards a sign has, the finer the ranges."""
+    """Marks (key, of, first, last), and for split signs also the shard's sorted strings, one of each class, cut into
+    ranges: sign, range and the arrays strings, keys, owners and places. The more shards a sign has, the finer the ranges."""
     schema = T.StructType([
-        T.StructField("key", T.LongType()), T.StructField("first", T.IntegerType()),
+        T.StructField("key", T.LongType()), T.StructField("of", T.LongType()), T.StructField("first", T.IntegerType()),
         T.StructField("last", T.IntegerType()), T.StructField("sign", T.LongType()),
         T.StructField("range", T.LongType()), T.StructField("strings", T.ArrayType(T.LongType())),
-        T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))])
+        T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("owners", T.ArrayType(T.LongType())),
+        T.StructField("places", T.ArrayType(T.IntegerType()))])
     names = schema.names
 
     def close(held: list[dict]) -> Iterator[pa.RecordBatch]:
         piece, start, classes, members = shard_strings([h["piece"] for h in held], window)
-        key = np.array([h["key"] for h in held], np.int64)
+        key, of = (np.array([h[c] for h in held], np.int64) for c in ("key", "of"))
         first = np.array([h["first"] for h in held], np.int64)
         twice = members > 1
         by = np.lexsort((start[twice], piece[twice]))
@@ -165,8 +166,8 @@ def _shards(pieces: DataFrame, window: int) -> DataFrame:
         if len(run):
             longs, lists = pa.nulls(len(run), pa.int64()), pa.nulls(len(run), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([
-                pa.array(key[p[run]]), pa.array((first[p[run]] + s[run]).astype(np.int32)),
-                pa.array((first[p[run]] + s[end]).astype(np.int32)), longs, longs, lists, lists,
+                pa.array(key[p[run]]), pa.array(of[p[run]]), pa.array((first[p[run]] + s[run]).astype(np.int32)),
+                pa.array((first[p[run]] + s[end]).astype(np.int32)), longs, longs, lists, lists, lists,
                 pa.nulls(len(run), pa.list_(pa.int32()))], names)
         parts = np.array([h["parts"] for h in held], np.int64)
         lead = np.ones(len(classes), bool)
@@ -186,10 +187,11 @@ def _shards(pieces: DataFrame, window: int) -> DataFrame:
             new[1:] = (sign[1:] != sign[:-1]) | (part[1:] != part[:-1])
             begin = np.flatnonzero(new)
             cuts = pa.array(np.append(begin, len(by)).astype(np.int32))
-            none = pa.nulls(len(begin), pa.int32())
+            none, longs = pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.int64())
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(len(begin), pa.int64()), none, none, pa.array(sign[begin]), pa.array(signed(part[begin])),
+                longs, longs, none, none, pa.array(sign[begin]), pa.array(signed(part[begin])),
                 pa.ListArray.from_arrays(cuts, pa.array(signed(string))), pa.ListArray.from_arrays(cuts, pa.array(key[p])),
+                pa.ListArray.from_arrays(cuts, pa.array(of[p])),
                 pa.ListArray.from_arrays(cuts, pa.array((first[p] + s).astype(np.int32)))], names)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +213,8 @@ def _shards(pieces: DataFrame, window: int) -> DataFrame:
 
 def _merged(ranges: DataFrame) -> DataFrame:
     """The strings of split signs that are in several shards: each is looked up by binary search among the strings that
-    all shards have in its range."""
-    schema = "key long, first int, last int"
+    all shards have of its sign in its range."""
+    schema = "key long, of long, first int, last int"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -222,33 +224,36 @@ def _merged(ranges: DataFrame) -> DataFrame:
         lists = rows.column("strings").chunk(0)
         sign = np.repeat(rows.column("sign").to_numpy(), np.diff(lists.offsets.to_numpy()))
         string = lists.flatten().to_numpy()
-        both = (string.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ sign.view(np.uint64)
-        sorted_all = np.sort(both)
-        there = np.searchsorted(sorted_all, both, "right") - np.searchsorted(sorted_all, both, "left") > 1
-        key, place = (rows.column(c).chunk(0).flatten().to_numpy()[there] for c in ("keys", "places"))
-        by = np.lexsort((place, key))
-        key, place = key[by], place[by]
+        there = np.zeros(len(string), bool)
+        by_sign = np.argsort(sign, kind="stable")
+        for own in np.split(by_sign, np.flatnonzero(np.diff(sign[by_sign])) + 1):
+            ordered = np.sort(string[own])
+            there[own] = np.searchsorted(ordered, string[own], "right") - np.searchsorted(ordered, string[own], "left") > 1
+        key, of, place = (rows.column(c).chunk(0).flatten().to_numpy()[there] for c in ("keys", "owners", "places"))
+        by = np.lexsort((place, of, key))
+        key, of, place = key[by], of[by], place[by]
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1] + 1)
+        new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)
         run = np.flatnonzero(new)
         if len(run):
             end = np.append(run[1:], len(key)) - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[run]), pa.array(place[run]), pa.array(place[end])], ["key", "first", "last"])
+                [pa.array(key[run]), pa.array(of[run]), pa.array(place[run]), pa.array(place[end])],
+                ["key", "of", "first", "last"])
 
-    dealt = ranges.select("sign", "range", "strings", "keys", "places").repartition(
+    dealt = ranges.select("sign", "range", "strings", "keys", "owners", "places").repartition(
         partitions(ranges.sparkSession), "sign", "range")
     return dealt.mapInArrow(merge, schema)
 
 
 def repeated_strings(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(key, first, last): the starts of strings of `window` bytes that start elsewhere too."""
+    """(key, of, first, last): the starts of strings of `window` bytes that start elsewhere too."""
     shared, classes, residue = R.repeated_regions(
         R.regions(docs, lambda data, offsets: (data, offsets), window, gram))
     copies = classes.filter("n > 1").select("sign", "region")
-    whole = shared.join(copies, ["sign", "region"]).select("key", "first", "last")
+    whole = shared.join(copies, ["sign", "region"]).select("key", R.owner().alias("of"), "first", "last")
     sharded = staged(_shards(_cut_pieces(residue, docs, window), window), "suffix-shards")
-    local = sharded.filter("range IS NULL").select("key", "first", "last")
+    local = sharded.filter("range IS NULL").select("key", "of", "first", "last")
     return whole.unionByName(local).unionByName(_merged(sharded.filter("range IS NOT NULL")))
 
 
