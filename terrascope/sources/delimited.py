@@ -44,6 +44,10 @@ def read_positional(
 
 
 def parse_positional(lines: DataFrame, width: int, min_fields: int, sep: str = ",") -> DataFrame:
-    """The same over a frame with one `line` column."""
-    parsed = lines.select(F.from_csv("line", positional_schema(width), csv_options(sep)).alias("r")).select("r.*")
+    """The same over a frame with one `line` column.
+
+    The fields come from a generator: filters on fields of a plain struct would be pushed below it, and the line parsed once
+    for every field they name.
+    """
+    parsed = lines.select(F.inline(F.array(F.from_csv("line", positional_schema(width), csv_options(sep)))))
     return parsed.filter(enough_fields(F.col(_MALFORMED), sep, min_fields)).drop(_MALFORMED)

@@ -17,6 +17,7 @@ from .delimited import parse_positional, read_positional
 from .layout import spread_if_narrow
 
 RANGED = ("file", "hdfs", "s3", "gs")
+TASK_BYTES = 32 << 20  # text of zip entries that one task reads, where entries are smaller
 # Width of the sales file and the positions that are read.
 SALES_WIDTH = 40
 SALES_MIN_FIELDS = 38
@@ -185,7 +186,9 @@ def zip_entries(spark: SparkSession, files: list[str], suffix: str = ".csv") ->
                     found = [(path, e.filename, e.file_size) for e in archive.infolist() if e.filename.endswith(suffix)]
                 yield pd.DataFrame(found, columns=["path", "entry", "size"])
 
-    named = spark.createDataFrame([(qualified(spark, f),) for f in files], "path string").repartition("path")
+    named = spark.createDataFrame([(qualified(spark, f),) for f in files], "path string")
+    # a number is given, or AQE would gather these short rows in one task
+    named = named.repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism)))
     return named.mapInPandas(directory, "path string, entry string, size bigint")
 
 
@@ -213,6 +216,17 @@ def lines_of_entries(entries: DataFrame, block: int = 20_000) -> DataFrame:
     return entries.select("path", "entry").mapInPandas(unpack, "line STRING")
 
 
+def _spread_entries(entries: DataFrame) -> DataFrame:
+    """Lines of the entries, which are dealt over tasks of about `TASK_BYTES` of text. Their names are short rows, which AQE
+    would gather in one task; so the number of tasks is given. Where there are fewer entries than task slots, the lines
+    are dealt again, so that they are not parsed by as few tasks as read them."""
+    slots = entries.sparkSession.sparkContext.defaultParallelism
+    total = entries.agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes")).first()
+    tasks = max(4 * slots, -(-(total["bytes"] or 0) // TASK_BYTES))
+    lines = lines_of_entries(entries.repartition(min(tasks, 4 * max(total["entries"], 1)), "path", "entry"))
+    return lines.repartition(slots) if total["entries"] < slots else lines
+
+
 def import_sales_zip(spark: SparkSession, path: str, year: int, cities: DataFrame, ranged: bool | None = None) -> DataFrame:
     """Sales of one year from zip archives.
 
@@ -224,7 +238,7 @@ def import_sales_zip(spark: SparkSession, path: str, year: int, cities: DataFram
     if ranged is None:
         ranged = all(qualified(spark, f).split(":", 1)[0] in RANGED for f in files)
     if ranged and files:
-        lines = lines_of_entries(zip_entries(spark, files).repartition("path", "entry"))
+        lines = _spread_entries(zip_entries(spark, files))
     else:
         archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
         lines = spread_if_narrow(lines_from_archives(archives))

@@ -255,3 +255,21 @@ def test_equal_rows_get_different_ids_however_many(spark, cities):
     rows = spark.range(0, 3000, 1, 7).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("x"))
     got = [r["id"] for r in _identified(rows).collect()]
     assert len(set(got)) == 3000 and {i.split("-")[1] for i in got} == {str(k) for k in range(1, 1001)}
+
+
+def test_zip_entries_are_dealt_over_tasks_and_lines_parsed_once(spark, tmp_path):
+    for k in range(8):
+        with zipfile.ZipFile(tmp_path / f"a{k}.zip", "w") as z:
+            for name in ("x.csv", "y.csv"):
+                z.writestr(name, "h\n" + "\n".join(f"{k}{name}{i}" for i in range(20)) + "\n")
+    files = [str(tmp_path / f"a{k}.zip") for k in range(8)]
+    entries = sources.zip_entries(spark, files)
+    assert entries.select(F.spark_partition_id()).distinct().count() > 1
+    lines = sources.sales._spread_entries(entries)
+    assert lines.distinct().count() == lines.count() == 8 * 2 * 20
+    assert lines.select(F.spark_partition_id()).distinct().count() > 4
+    one = sources.sales._spread_entries(sources.zip_entries(spark, files[:1]))  # fewer entries than task slots
+    assert one.count() == 40 and one.select(F.spark_partition_id()).distinct().count() > 2
+    parsed = sources.sales._named(sources.delimited.parse_positional(lines, 40, 38))
+    plan = sources.clean_sales(parsed).filter("year = 2019")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") == 1
