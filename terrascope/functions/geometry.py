@@ -133,15 +133,19 @@ def inside_edges(lon: Column, lat: Column, edges: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
-_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+#: the bits of every byte with a zero after each
+_SPREAD = [sum(1 << 2 * k for k in range(8) if byte >> k & 1) for byte in range(256)]
 _Z_BITS = 26
 
 
 def _spread_bits(c: Column) -> Column:
-    """The bits of a number below 2^32 with a zero after each."""
-    for by, mask in _SPREAD:
-        c = c.bitwiseOR(F.shiftleft(c, by)).bitwiseAND(F.lit(mask))
-    return c
+    """The bits of a number below 2^32 with a zero after each, byte by byte from a table: doubling steps would name the
+    number twice each, and so compute it 32 times."""
+    table, whole = F.lit(_SPREAD), F.lit(0).cast("bigint")
+    for k in range(4):
+        byte = F.shiftright(c, 8 * k).bitwiseAND(F.lit(255)).cast("int")
+        whole = whole.bitwiseOR(F.shiftleft(F.get(table, byte).cast("bigint"), 16 * k))
+    return whole
 
 
 def z_order(latitude: Column, longitude: Column) -> Column:

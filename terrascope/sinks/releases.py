@@ -25,6 +25,7 @@ from ..session import _file_system, folder_names, remove_folder
 
 HEADS = "_heads"
 ROW_GROUP = 16 << 20
+PAGE_ROWS = 5000  # readers skip pages too
 
 
 def head_numbers(spark: SparkSession, folder: str) -> list[int]:
@@ -95,20 +96,20 @@ class YearStore:
         return uuid.uuid4().hex
 
     def write(self, part: str, df: DataFrame, folder: str, sort: Sequence = (), by: Sequence = (),
-              inner: Sequence[str] = ()) -> int:
+              inner: Sequence[str] = (), aside: Sequence[str] = ()) -> int:
         """Write rows of any years (column `year`) into the folder of this name in every year; no reader sees them yet.
 
         AQE cuts a large year into files of the advisory size; with `by`, rows are dealt in ranges of these columns
         instead and row groups are small, so that files and row groups hold narrow ranges. `inner` columns become folders
-        below. Returns the rows, counted while they are written.
+        below; `aside` columns only serve to deal and sort. Returns the rows, counted while they are written.
         """
         written = Observation()
         spread = df.repartitionByRange("year", *by) if by else df.hint("rebalance", "year", *inner)
         if sort:
             spread = spread.sortWithinPartitions("year", *inner, *sort)
-        writer = spread.observe(written, F.count(F.lit(1)).alias("rows")).withColumn("folder", F.lit(f"f{folder}")).write
+        writer = spread.drop(*aside).observe(written, F.count(F.lit(1)).alias("rows")).withColumn("folder", F.lit(f"f{folder}")).write
         if by:
-            writer = writer.option("parquet.block.size", ROW_GROUP)
+            writer = writer.option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", PAGE_ROWS)
         writer.mode("append").partitionBy("year", "folder", *inner).parquet(f"{self.root}/{part}")
         return written.get["rows"]
 

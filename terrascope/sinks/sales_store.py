@@ -34,16 +34,26 @@ def _place(lots: DataFrame) -> list[Column]:
 
 
 def write_lots(store: YearStore, lots: DataFrame, folder: str) -> int:
-    """Lots in ranges of the curve, so that files and row groups cover small boxes and others are skipped."""
-    place = _place(lots)
-    return store.write("lots", lots, folder, sort=place, by=place)
-
+    """Lots in ranges of the curve, so that files and row groups cover small boxes and others are skipped.
 
-def write_derived(store: YearStore, lots: DataFrame, folder: str, stamp: Column, states: DataFrame | None = None) -> None:
-    """The derived parts of some lots. `lots` should be read back from the store, not recomputed."""
-    states = U.sale_states(lots) if states is None else states
-    store.write("sales", states, folder, inner=["slot"])
-    store.write("city_stats", U.added(U.contributions(states)).withColumn("updated_at", stamp), folder)
+    The place is a column of its own while lots are sorted, or every comparison would compute it anew. A hash of the lot
+    stands behind it in the ranges, or all lots without a place would be one range, sorted and written by one task.
+    """
+    place = _place(lots)
+    if not place:
+        return store.write("lots", lots, folder)
+    keyed = lots.withColumns({"_place": place[0], "_lot": F.xxhash64(*lots.columns)})
+    return store.write("lots", keyed, folder, sort=["_place"], by=["_place", "_lot"], aside=["_place", "_lot"])
+
+
+def write_derived(store: YearStore, lots: DataFrame, folder: str, stamp: Column, years: Iterable[int]) -> None:
+    """The derived parts of the lots of `years`. `lots` should be read back from the store, not recomputed; so are the states
+    of sales, which commune statistics are made from."""
+    store.write("sales", U.sale_states(lots), folder, inner=["slot"])
+    touched = store.written_years("sales", folder, years)
+    if touched:
+        states = store.read("sales", folders={y: [folder] for y in touched})
+        store.write("city_stats", U.added(U.contributions(states)).withColumn("updated_at", stamp), folder)
     store.write("prices", U.price_summary(lots), folder, sort=["insee_code"])
     if "latitude" in lots.columns:
         store.write("cells", U.heat_cells(lots), folder, sort=["level", "y", "x"], by=["level", "y"])
@@ -65,7 +75,7 @@ def publish_years(store: YearStore, lots: DataFrame, years: Iterable[int], now:
     full = store.written_years("lots", folder, years)
     if full:
         written = store.read("lots", folders={y: [folder] for y in full})
-        write_derived(store, written, folder, _stamp(now))
+        write_derived(store, written, folder, _stamp(now), full)
     for year in years:
         store.switch(year, _named(store, folder, year, ("lots", *DERIVED)), notes)
     return rows
@@ -75,7 +85,7 @@ def rebuild_statistics(store: YearStore, now: dt.datetime | None = None) -> None
     """All derived parts from the lots of every year, which stay as they are."""
     years, folder = store.years(), store.new_folder()
     if not store.is_empty("lots"):
-        write_derived(store, store.read("lots", years), folder, _stamp(now))
+        write_derived(store, store.read("lots", years), folder, _stamp(now), years)
     for year in years:
         store.switch(year, _named(store, folder, year, DERIVED))
 

@@ -190,3 +190,24 @@ def test_a_small_box_skips_most_rows(spark, tmp_path):
     scans = executed.collectLeaves()
     read = sum(scans.apply(i).metrics().apply("numOutputRows").value() for i in range(scans.size()))
     assert len(found) <= read < n / 5
+
+
+def test_lots_without_a_place_are_spread_over_files(spark, tmp_path):
+    rows = spark.range(40_000).select(
+        F.col("id"), F.lit(2019).alias("year"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
+        *[F.sha2(F.concat(F.lit(k), F.col("id").cast("string")), 256).alias(f"text{k}") for k in range(4)])
+    root = str(tmp_path / "store")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sinks.replace_sales_year(rows, root, 2019) == 40_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seen = sinks.read_sales(spark, root)
+    assert set(seen.columns) == set(rows.columns)
+    sizes = [r["count"] for r in seen.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 20_000 and sum(sizes) == 40_000
+
+
+def test_the_place_on_the_curve_is_computed_once(spark):
+    plan = spark.range(1).select(z_order(F.rand(1), F.rand(2)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rand(1)") < 10
