@@ -47,16 +47,47 @@ def median_of_counts(counted: DataFrame, keys: Sequence[str], lower: bool = Fals
     """
     bucketed = counted.withColumn("_hi", value_bucket(F.col("_v")))
     levels = bucketed.groupBy(*keys, "_hi").agg(F.sum("_n").alias("_n"), *sums)
+    found, names = _middle(levels, keys, lower)
+    inside = _inside(_whole(bucketed, keys), found, keys, "_hi", names)
+    return _bucket(inside, keys, "_v", names).select(*keys, F.col("_v").alias("median"), *names)
+
+
+def median_over_places(
+    counted: DataFrame, places: DataFrame, place: str, keys: Sequence[str], lower: bool = False, sums: Sequence[Column] = (),
+) -> DataFrame:
+    """`median_of_counts` of groups that a place belongs to, where one place may belong to several and more than once.
+
+    `counted` has the place, values `_v` and counts `_n`; `places` has the place, the group's keys and how often it
+    belongs to that group, `_times`, which `sums` may use too. Values meet the groups twice: as counts by bucket, and only
+    those of the bucket that holds the middle as they are; so no table of all values of all groups is made.
+    """
+    bucketed = counted.withColumn("_hi", value_bucket(F.col("_v")))
+    n = F.sum(F.col("_n") * F.col("_times")).alias("_n")
+    levels = bucketed.join(places, place).groupBy(*keys, "_hi").agg(n, *sums)
+    found, names = _middle(levels, keys, lower)
+    right = found.select(*[F.col(k).alias(f"_r_{k}") for k in (*keys, "_hi")], *names, "_rank")
+    wanted = places.join(right, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]).withColumnRenamed(place, "_place")
+    whole = _whole(bucketed, [place]).select(place, "_hi", "_v", "_n")
+    same = [F.col(place) == F.col("_place"), F.col("_hi").eqNullSafe(F.col("_r__hi"))]
+    inside = whole.join(wanted, same).groupBy(*keys, "_v").agg(n, *[F.max(c).alias(c) for c in (*names, "_rank")])
+    return _bucket(inside, keys, "_v", names).select(*keys, F.col("_v").alias("median"), *names)
+
+
+def _middle(levels: DataFrame, keys: Sequence[str], lower: bool) -> tuple[DataFrame, list[str]]:
+    """The bucket that holds the middle of each group, with the sums of the group, and their names."""
     names = [c for c in levels.columns if c not in (*keys, "_hi", "_n")]
     group = W.partitionBy(*keys)
     total = F.sum("_n").over(group)
     middle = F.floor((total + 1) / 2).cast("bigint") if lower else F.floor(total / 2).cast("bigint") + 1
     ranked = levels.select(*keys, "_hi", "_n", middle.alias("_rank"), *[F.sum(c).over(group).alias(c) for c in names])
-    held = [c for c in counted.columns if c not in (*keys, "_v", "_n")]
-    # true of every row; without it, Spark would leave these columns out on this side and count all rows a second time
-    same = bucketed.filter(F.hash(*held) >= F.lit(-(1 << 31))) if held else bucketed
-    inside = _inside(same, _bucket(ranked, keys, "_hi", names), keys, "_hi", names)
-    return _bucket(inside, keys, "_v", names).select(*keys, F.col("_v").alias("median"), *names)
+    return _bucket(ranked, keys, "_hi", names), names
+
+
+def _whole(bucketed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows, by a test that is true of each; without it, Spark would leave other columns out where only values and
+    counts are used, and count all rows a second time."""
+    held = [c for c in bucketed.columns if c not in (*keys, "_v", "_n", "_hi")]
+    return bucketed.filter(F.hash(*held) >= F.lit(-(1 << 31))) if held else bucketed
 
 
 def _bucket(levels: DataFrame, keys: Sequence[str], bucket: str, names: Sequence[str] = ()) -> DataFrame:

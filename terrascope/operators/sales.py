@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import code_number, code_text
 from ..functions.metrics import GRID_STEP, grid_cell, price_per_sqm
 from .paging import PAGE_SIZE, page
-from .ranking import is_finite, median_of_counts, upper_median
+from .ranking import is_finite, median_over_places, upper_median
 
 # Which sales count, and the bounds of a plausible sale.
 SALE_NATURES = ["Vente", "Vente en l'état futur d'achèvement"]
@@ -42,8 +42,14 @@ def of_year(tx: DataFrame, year: int | None) -> DataFrame:
 
 
 def attach_department(sales: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Department of every sale; sales of unknown communes are dropped."""
-    return sales.join(mapping.select("insee_code", "department_code"), "insee_code")
+    """Department of every sale; sales of unknown communes are dropped. Of `department_places` it keeps the number too."""
+    return sales.join(mapping.select("insee_code", "department_code", *[c for c in mapping.columns if c == "_times"]), "insee_code")
+
+
+def department_places(mapping: DataFrame) -> DataFrame:
+    """(insee_code, department_code, _times): a code may stand for several communes, also of several departments, and
+    `attach_department` gives a sale once for each. Sums over counted lots need each department once, with their number."""
+    return mapping.groupBy("insee_code", "department_code").agg(F.count(F.lit(1)).alias("_times"))
 
 
 # --- searches -------------------------------------------------------------------------------------------------
@@ -120,15 +126,22 @@ def dept_sales_stats(sales: DataFrame, mapping: DataFrame) -> DataFrame:
     """Per department over priced lots: count, mean price, mean €/m², exact lower median. Prices that are no finite
     positive number do not count; others are taken as they are, whatever their size and their digits.
 
-    Lots are counted once per (department, price); counts, sums and median all come from that.
+    Lots are counted once per (commune, price), before they meet their departments; counts, sums and median all come
+    from that.
     """
-    priced = attach_department(sales.filter((F.col("price") > 0) & is_finite(F.col("price"))), mapping)
+    priced = sales.filter((F.col("price") > 0) & is_finite(F.col("price")) & F.col("insee_code").isNotNull())
     ratio = price_per_sqm(F.col("price"), F.col("surface"))
-    counted = priced.groupBy("department_code", F.col("price").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(ratio).alias("_r"), F.count(ratio).alias("_rn"))
-    found = median_of_counts(counted, ["department_code"], lower=True, sums=[
-        F.sum("_n").alias("transaction_count"), F.sum(F.col("_v") * F.col("_n")).alias("_price"),
-        F.sum("_r").alias("_ratio"), F.sum("_rn").alias("_ratios")])
+    return dept_stats_of_counts(priced.groupBy("insee_code", F.col("price").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(ratio).alias("_r"), F.count(ratio).alias("_rn")), mapping)
+
+
+def dept_stats_of_counts(counted: DataFrame, mapping: DataFrame) -> DataFrame:
+    """`dept_sales_stats` from lots counted by commune and price: (insee_code, _v, _n), sum `_r` and number `_rn` of ratios."""
+    times = F.col("_times")
+    found = median_over_places(counted, department_places(mapping), "insee_code", ["department_code"], lower=True, sums=[
+        F.sum(F.col("_n") * times).alias("transaction_count"),
+        F.sum(F.col("_v").cast("double") * F.col("_n") * times).alias("_price"),
+        F.sum(F.col("_r") * times).alias("_ratio"), F.sum(F.col("_rn") * times).alias("_ratios")])
     return found.select(
         "department_code", "transaction_count",
         (F.col("_price") / F.col("transaction_count")).alias("avg_price"),
@@ -175,11 +188,21 @@ def city_year_stats(tx: DataFrame, year: int | None = None) -> DataFrame:
     )
 
 
-def transaction_stats_by(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Price and surface statistics of every group; a group without a valid price is all zeros."""
+def transaction_stats_by(tx: DataFrame, keys: Sequence[str], mapping: DataFrame | None = None) -> DataFrame:
+    """Price and surface statistics of every group; a group without a valid price is all zeros.
+
+    With `mapping` the keys are columns that it gives the lots by their insee_code, as `attach_department` would; lots are
+    counted by (commune, price) first and only the counts meet it.
+    """
     price = F.when(F.col("property_value") > 0, F.col("property_value").cast("decimal(15,2)"))
     surface = F.when(F.col("built_surface") > 0, F.col("built_surface"))
     rows = tx.withColumns({"_price": price, "_surface": surface})
+    if mapping is not None:
+        ratio = F.col("_price").cast("double") / F.col("_surface")
+        counted = rows.filter(F.col("insee_code").isNotNull()).groupBy("insee_code", F.col("_price").alias("_v")).agg(
+            F.count("_price").alias("_n"), F.count(F.lit(1)).alias("_lots"), F.count("_surface").alias("_surfaces"),
+            F.sum("_surface").alias("_surface_sum"), F.count(ratio).alias("_ratios"), F.sum(ratio).alias("_ratio_sum"))
+        return stats_of_counts(counted, mapping, keys)
     totals = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count("_price").alias("_priced"),
@@ -192,6 +215,23 @@ def transaction_stats_by(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
     return stats_columns(totals, upper_median(rows, keys, "_price"), keys)
 
 
+def stats_of_counts(counted: DataFrame, mapping: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`transaction_stats_by` from lots counted by commune and price: (insee_code, _v, _n, _lots) with the number and sum of
+    surfaces and ratios. `_v` is NULL and `_n` 0 for lots without a valid price, so they hold no rank."""
+    times, places = F.col("_times"), department_places(mapping)
+
+    def weighed(c: str) -> Column:
+        return F.sum(F.col(c) * times)
+
+    totals = attach_department(counted, places).groupBy(*keys).agg(
+        F.coalesce(weighed("_lots"), F.lit(0)).alias("_rows"), F.coalesce(weighed("_n"), F.lit(0)).alias("_priced"),
+        F.sum(F.col("_v") * (F.col("_n") * times).cast("decimal(18,0)")).cast("decimal(25,2)").alias("_sum"),
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        (weighed("_surface_sum") / F.nullif(weighed("_surfaces"), F.lit(0))).alias("_mean_surface"),
+        (weighed("_ratio_sum") / F.nullif(weighed("_ratios"), F.lit(0))).alias("_mean_ratio"))
+    return stats_columns(totals, median_over_places(counted, places, "insee_code", keys), keys)
+
+
 def stats_columns(totals: DataFrame, medians: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The published columns from the totals and the median of every group."""
     if keys:

@@ -390,8 +390,7 @@ def _(spark, sf):
     "SELECT t.*, c.department_code FROM tx t JOIN cities c ON c.insee_code = t.city_insee_code", "department_code"))
 def _(spark, sf):
     rows = view(spark, sf, "tx").withColumnRenamed("city_insee_code", "insee_code")
-    return plain(S.transaction_stats_by(
-        S.attach_department(rows, view(spark, sf, "cities")), ["department_code"]), gridded=_MEANS)
+    return plain(S.transaction_stats_by(rows, ["department_code"], view(spark, sf, "cities")), gridded=_MEANS)
 
 
 @query("price_overview", ["tx"], f"""

@@ -283,3 +283,37 @@ def test_pages_after_a_null(spark):
         seen += [tuple(r) for r in rows]
         after = seen[-1]
     assert len(seen) == 20 and seen == sorted(seen, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+def test_lots_are_counted_before_they_meet_many_communes_of_a_code(spark):
+    rows = spark.range(2000).select(
+        F.lit("00001").alias("insee_code"), F.lit(100_000).cast("decimal(15,2)").alias("property_value"),
+        F.lit(50.0).alias("built_surface"), F.lit(100_000.0).alias("price"), F.lit(50.0).alias("surface"))
+    other = spark.createDataFrame([("00002", None, 9.0, None, 9.0), (None, None, 9.0, 1.0, 9.0)],
+        "insee_code string, property_value decimal(15,2), built_surface double, price double, surface double")
+    mapping = spark.range(300).select(
+        F.lit("00001").alias("insee_code"), F.concat(F.lit("0"), (F.col("id") % 3).cast("string")).alias("department_code")
+    ).unionByName(spark.createDataFrame([("00002", None), ("00002", "00"), ("00003", "07")], "insee_code string, department_code string"))
+    lots = rows.unionByName(other)
+
+    def most_joined(df):
+        df.collect()
+        most, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            if "Join" in node.nodeName():
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        return most
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        depts = S.dept_sales_stats(lots, mapping)
+        stats = S.transaction_stats_by(lots, ["department_code"], mapping)
+        assert 0 < most_joined(depts) < 2000 and 0 < most_joined(stats) < 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {tuple(r) for r in depts.collect()} == {(f"0{d}", 200_000, 100_000.0, 2000.0, 100_000.0) for d in range(3)}
+    plain = S.transaction_stats_by(S.attach_department(lots, mapping), ["department_code"])
+    assert {tuple(r) for r in stats.collect()} == {tuple(r) for r in plain.collect()}
+    assert stats.count() == 4
