@@ -16,7 +16,8 @@ from ..functions.codes import code_number, code_text
 from ..functions.metrics import GRID_STEP, grid_cell, price_per_sqm
 from .ranking import median_of_counts
 from .sales import (
-    HEAT_METRICS, MAX_PRICE, MAX_SURFACE, MIN_PRICE, MIN_SURFACE, RESIDENTIAL, SALE_NATURES, in_viewport, stats_columns,
+    HEAT_METRICS, MAX_PRICE, MAX_SURFACE, MIN_PRICE, MIN_SURFACE, RESIDENTIAL, SALE_NATURES, dept_stats_of_counts, in_viewport,
+    stats_columns, stats_of_counts,
 )
 
 # --- prices by commune and year -------------------------------------------------------------------------------
@@ -50,9 +51,16 @@ def summary_scope(
     return rows
 
 
-def stats_of_summary(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`transaction_stats_by` from a summary that has the keys: communes, years, or what was joined to them."""
+def stats_of_summary(summary: DataFrame, keys: Sequence[str], mapping: DataFrame | None = None) -> DataFrame:
+    """`transaction_stats_by` from a summary that has the keys: communes, years, or what was joined to them; with `mapping`
+    the keys are columns that it gives the summary's communes."""
     priced = F.col("price").isNotNull()
+    if mapping is not None:
+        counted = summary.filter(F.col("insee_code").isNotNull()).groupBy("insee_code", F.col("price").alias("_v")).agg(
+            F.coalesce(F.sum(F.when(priced, F.col("lots"))), F.lit(0)).alias("_n"), F.sum("lots").alias("_lots"),
+            F.sum("surfaces").alias("_surfaces"), F.sum("surface_sum").alias("_surface_sum"),
+            F.sum("ratios").alias("_ratios"), F.sum("ratio_sum").alias("_ratio_sum"))
+        return stats_of_counts(counted, mapping, keys)
     totals = summary.groupBy(*keys).agg(
         F.coalesce(F.sum("lots"), F.lit(0)).alias("_rows"), F.coalesce(F.sum(F.when(priced, F.col("lots"))), F.lit(0)).alias("_priced"),
         F.sum(F.col("price") * F.col("lots").cast("decimal(18,0)")).cast("decimal(25,2)").alias("_sum"), F.min("price").alias("_min"),
@@ -64,16 +72,9 @@ def stats_of_summary(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def dept_stats_of_summary(summary: DataFrame, mapping: DataFrame) -> DataFrame:
     """`dept_sales_stats` from the summary."""
-    rows = summary.filter("price IS NOT NULL").join(mapping.select("insee_code", "department_code"), "insee_code")
-    counted = rows.groupBy("department_code", F.col("price").alias("_v")).agg(
-        F.sum("lots").alias("_n"), F.sum("ratio_sum").alias("_r"), F.sum("ratios").alias("_rn"))
-    found = median_of_counts(counted, ["department_code"], lower=True, sums=[
-        F.sum("_n").alias("transaction_count"), F.sum(F.col("_v").cast("double") * F.col("_n")).alias("_price"),
-        F.sum("_r").alias("_ratio"), F.sum("_rn").alias("_ratios")])
-    return found.select(
-        "department_code", "transaction_count", (F.col("_price") / F.col("transaction_count")).alias("avg_price"),
-        F.when(F.col("_ratios") > 0, F.col("_ratio") / F.col("_ratios")).alias("avg_price_per_sqm"),
-        F.col("median").cast("double").alias("median_price"))
+    rows = summary.filter("price IS NOT NULL AND insee_code IS NOT NULL")
+    return dept_stats_of_counts(rows.groupBy("insee_code", F.col("price").alias("_v")).agg(
+        F.sum("lots").alias("_n"), F.sum("ratio_sum").alias("_r"), F.sum("ratios").alias("_rn")), mapping)
 
 
 # --- heat-map cells -------------------------------------------------------------------------------------------

@@ -750,8 +750,7 @@ _rollup("transaction_stats_of_region_rollup", "transaction_stats_of_region", lam
 _rollup("transaction_stats_by_rollup", "transaction_stats_by", lambda spark, sf: plain(U.stats_of_summary(
     _summary(spark, sf).withColumnRenamed("insee_code", "city_insee_code"), ["city_insee_code", "year"]), gridded=_MEANS))
 _rollup("transaction_stats_by_department_rollup", "transaction_stats_by_department", lambda spark, sf: plain(
-    U.stats_of_summary(S.attach_department(_summary(spark, sf), view(spark, sf, "cities")), ["department_code"]),
-    gridded=_MEANS))
+    U.stats_of_summary(_summary(spark, sf), ["department_code"], view(spark, sf, "cities")), gridded=_MEANS))
 _rollup("dept_sales_stats_rollup", "dept_sales_stats", lambda spark, sf: plain(
     U.dept_stats_of_summary(_summary(spark, sf), view(spark, sf, "cities")), "avg_price", "avg_price_per_sqm"))
 
