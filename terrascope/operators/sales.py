@@ -20,6 +20,7 @@ RESIDENTIAL = ["MAISON", "APPARTEMENT"]
 MIN_PRICE, MAX_PRICE = 10_000, 5_000_000
 MIN_SURFACE, MAX_SURFACE = 9, 1000
 _PLACE = "_place"
+PLACES = 64  # of one code, in one row beside its lots
 HEAT_METRICS = ("AVERAGE_PRICE", "AVERAGE_PRICE_PER_SQM", "TRANSACTION_COUNT")
 
 
@@ -46,6 +47,20 @@ def attach_department(sales: DataFrame, mapping: DataFrame) -> DataFrame:
     return sales.join(mapping.select("insee_code", "department_code", *[c for c in mapping.columns if c == "_times"]), "insee_code")
 
 
+def with_places(lots: DataFrame, places: DataFrame, key: str, how: str) -> DataFrame:
+    """The join (`inner` or `left`) of lots with the places of their code, for codes that stand for many of them.
+
+    Lots meet blocks of up to `PLACES` places of one code and are multiplied behind the join: columns of a lot are computed
+    once for a block, while a join computes them for each of its rows. Blocks are cut where rows of a code follow one another
+    in a task, so any order gives the same join.
+    """
+    given_places = places.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key)
+    blocks = given_places.withColumn("_block", F.floor(F.monotonically_increasing_id() / PLACES)).groupBy(key, "_block").agg(
+        F.collect_list(F.struct(*[c for c in places.columns if c != key])).alias("_places")).drop("_block")
+    spread = F.inline("_places") if how == "inner" else F.inline_outer("_places")
+    return lots.join(blocks, key, how).select(key, *[c for c in lots.columns if c != key], spread)
+
+
 def department_places(mapping: DataFrame) -> DataFrame:
     """(insee_code, department_code, _times): a code may stand for several communes, also of several departments, and
     `attach_department` gives a sale once for each. Sums over counted lots need each department once, with their number."""
@@ -85,12 +100,18 @@ def filter_transactions(
 
 def transaction_summary(tx: DataFrame, cities: DataFrame) -> DataFrame:
     """Summary columns with the commune name."""
-    names = cities.select(F.col("insee_code").alias("city_insee_code"), F.col("name").alias("city_name"))
+    return _summary_columns(with_places(tx, _city_names(cities), "city_insee_code", "left"))
+
+
+def _city_names(cities: DataFrame) -> DataFrame:
+    return cities.select(F.col("insee_code").alias("city_insee_code"), F.col("name").alias("city_name"))
+
+
+def _summary_columns(joined: DataFrame) -> DataFrame:
     columns = [
         "id", "mutation_date", "mutation_nature", "property_value", "postal_code", "city_name", "city_insee_code",
         "property_type", "built_surface", "room_count", "land_surface",
     ]
-    joined = tx.join(names, "city_insee_code", "left")
     return joined.select(*[c for c in [*columns, _PLACE] if c in joined.columns])
 
 
@@ -102,7 +123,8 @@ def search_transactions(
     order = [*sort, "id"]
     rows = page(filter_transactions(tx, cities, **filters), order, number, size)
     placed = rows.withColumn(_PLACE, F.row_number().over(W.orderBy(*order)))  # at most `size` rows
-    return transaction_summary(placed, cities).orderBy(_PLACE).drop(_PLACE)
+    named = placed.join(_city_names(cities), "city_insee_code", "left")  # too few lots for blocks of communes
+    return _summary_columns(named).orderBy(_PLACE).drop(_PLACE)
 
 
 def transaction_detail(tx: DataFrame, cities: DataFrame, id) -> DataFrame:

@@ -262,7 +262,8 @@ def _(spark, sf):
 @query("transaction_summary", ["tx", "cities"], f"""
     SELECT {_SUMMARY} FROM tx t LEFT JOIN cities c ON c.insee_code = t.city_insee_code""")
 def _(spark, sf):
-    return plain(S.transaction_summary(view(spark, sf, "tx"), view(spark, sf, "cities")))
+    # types are converted once for a lot, not for each of its communes
+    return S.transaction_summary(plain(view(spark, sf, "tx")), view(spark, sf, "cities"))
 
 
 @query("search_transactions", ["tx", "cities"], f"""

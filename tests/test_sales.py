@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -317,3 +318,35 @@ def test_lots_are_counted_before_they_meet_many_communes_of_a_code(spark):
     plain = S.transaction_stats_by(S.attach_department(lots, mapping), ["department_code"])
     assert {tuple(r) for r in stats.collect()} == {tuple(r) for r in plain.collect()}
     assert stats.count() == 4
+
+
+def _joined_rows(df):
+    """Rows that the joins of an executed plan gave."""
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if "Join" in kind:
+            found += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def _of_many_places(spark):
+    lots = spark.createDataFrame([(i, c) for i, c in enumerate(["a"] * 40 + ["b", "b", "none", None])], "id INT, code STRING")
+    places = [("a", f"n{i % 150}", "01" if i % 3 else None) for i in range(200)] + [("b", None, "02"), (None, "x", "03")]
+    return lots, spark.createDataFrame(places, "insee_code STRING, name STRING, department_code STRING")
+
+
+def test_summary_multiplies_lots_behind_the_join(spark):
+    lots, cities = _of_many_places(spark)
+    tx = lots.withColumnRenamed("code", "city_insee_code")
+    expected = tx.join(cities, F.col("insee_code") == F.col("city_insee_code"), "left").select("id", F.col("name").alias("city_name"), "city_insee_code")
+    found = S.transaction_summary(tx, cities)
+    assert found.columns == expected.columns
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, expected.collect()))
+    assert _joined_rows(found) <= 40 * 5 + 4  # 200 places lie in five blocks at most
