@@ -44,7 +44,9 @@ def of_year(tx: DataFrame, year: int | None) -> DataFrame:
 
 def attach_department(sales: DataFrame, mapping: DataFrame) -> DataFrame:
     """Department of every sale; sales of unknown communes are dropped. Of `department_places` it keeps the number too."""
-    return sales.join(mapping.select("insee_code", "department_code", *[c for c in mapping.columns if c == "_times"]), "insee_code")
+    if "_times" in mapping.columns:  # one row for each department
+        return sales.join(mapping.select("insee_code", "department_code", "_times"), "insee_code")
+    return with_places(sales, mapping.select("insee_code", "department_code"), "insee_code", "inner")
 
 
 def with_places(lots: DataFrame, places: DataFrame, key: str, how: str) -> DataFrame:

@@ -350,3 +350,13 @@ def test_summary_multiplies_lots_behind_the_join(spark):
     assert found.columns == expected.columns
     assert Counter(map(tuple, found.collect())) == Counter(map(tuple, expected.collect()))
     assert _joined_rows(found) <= 40 * 5 + 4  # 200 places lie in five blocks at most
+
+
+def test_departments_multiply_sales_behind_the_join(spark):
+    lots, cities = _of_many_places(spark)
+    sales = lots.withColumnRenamed("code", "insee_code")
+    expected = sales.join(cities.select("insee_code", "department_code"), "insee_code")
+    found = S.attach_department(sales, cities)
+    assert found.columns == expected.columns
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, expected.collect()))
+    assert _joined_rows(found) <= 40 * 5 + 2
