@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sales import geocode_backlog, match_geocodes
@@ -26,13 +26,19 @@ def sales_refresh_stream(
     """
     schema = spark.read.parquet(landing).schema
     last = min(LAST_YEAR, dt.date.today().year)
+    release = F.col("release").cast("bigint") if "release" in schema.names else F.lit(0).cast("bigint")
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         session, key = batch.sparkSession, f"{checkpoint}#{batch_id}"
-        release = F.col("release").cast("bigint") if "release" in batch.columns else F.lit(0).cast("bigint")
-        counted = batch.groupBy("year", release.alias("release")).agg(F.count(F.lit(1)).alias("rows"))
+        counted = batch.groupBy("year", "release", "file").agg(F.count(F.lit(1)).alias("rows")).collect()  # some rows per file
         found, refused = {}, {}
-        for r in counted.collect():  # one row per year and release
+
+        def landed(number: int, years: list[int]) -> DataFrame:
+            files = {r["file"] for r in counted if r["release"] == number and r["year"] in years}
+            lots = session.read.schema(schema).option("basePath", landing).parquet(*sorted(_path(session, f) for f in files))
+            return lots.filter(release == number).drop("release")
+
+        for r in counted:
             if r["year"] is not None and FIRST_YEAR <= r["year"] <= last:
                 found[r["year"]] = max(r["release"], found.get(r["year"], r["release"]))
             else:
@@ -46,20 +52,23 @@ def sales_refresh_stream(
         same = [y for y, r in found.items() if r == known[y].get("release", -1)]
         for release_number in sorted({found[y] for y in newer}):
             years = [y for y in newer if found[y] == release_number]
-            publish_years(store, _of_release(batch, release, release_number), years, now,
+            publish_years(store, landed(release_number, years), years, now,
                           {"release": release_number, "deliveries": [key]})
         for release_number in sorted({found[y] for y in same}):
             years = [y for y in same if found[y] == release_number]
-            add_delivery(store, _of_release(batch, release, release_number), years, key, now)
+            add_delivery(store, landed(release_number, years), years, key, now)
 
+    # the stream only says which files have come: a batch is read with all its columns by every step that uses it
+    files = spark.readStream.schema(schema).parquet(landing).select("year", release.alias("release"), F.col("_metadata.file_path").alias("file"))
     (
-        spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(refresh)
+        files.writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     )
 
 
-def _of_release(batch: DataFrame, release: Column, number: int) -> DataFrame:
-    return batch.filter(release == number).drop("release")
+def _path(spark: SparkSession, uri: str) -> str:
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()
 
 
 def drain_geocoding(

@@ -120,6 +120,21 @@ def test_the_newest_release_of_a_year_wins(spark, tmp_path):
     assert sorted((r["year"], r["rows"]) for r in spark.read.parquet(tables["rejected"]).collect()) == [(2012, 1), (2031, 1)]
 
 
+def test_a_batch_is_read_for_its_files_only(spark, tmp_path, monkeypatch):
+    from terrascope.streaming import drains
+
+    read = []
+    monkeypatch.setattr(drains, "publish_years", lambda store, rows, *rest: read.append(rows))
+    landing = str(tmp_path / "a landing %41")
+    for release in (1, 2):
+        lots(spark, [(release, 2018, 100000), (3, 2019, 100000)]).withColumn("release", F.lit(release)).write.mode(
+            "append").partitionBy("year", "release").parquet(landing)
+    streaming.sales_refresh_stream(spark, landing, {"store": str(tmp_path / "store")}, str(tmp_path / "c"), NOW)
+    assert sorted(r["id"] for r in read[0].collect()) == [2, 3]
+    plan = read[0].select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan  # not every column of the batch
+
+
 def test_equal_events_are_kept_and_old_versions_removed(spark, tmp_path):
     state, checkpoint = str(tmp_path / "state"), str(tmp_path / "c")
     for run in range(4):
