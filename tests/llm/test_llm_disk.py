@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pathlib
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from terrascope.llm import common, jaccard, regions
@@ -64,3 +65,11 @@ def test_shingles_of_equal_sets_alone_are_not_listed(spark, monkeypatch):
     keyed = regions.keyed(documents(spark).filter("doc_id < 9999"), "doc_id", "text")
     prefixed = common.staged(jaccard.prefixes(keyed, 5, 80, []), "jaccard-prefixes")
     assert jaccard.candidate_links(prefixed, 80).count() == 0 and listed == [0]
+
+
+def test_the_pipeline_keeps_one_stage(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"s{k}", lambda s, docs, d: docs) for k in range(4)])
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: spark.range(5))
+    before = set(folders(spark))
+    assert corpus_pipeline.run(spark, "").count() == 5
+    assert [n[:-33] for n in folders(spark) if n not in before] == ["pipeline-s2"]
