@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sinks, streaming
-from ..session import fresh_path
+from ..session import fresh_path, shuffles_removed
 from ..sinks import overwrite_years, read_geocodes, with_geocodes
 from .catalog_tables import GEOCODED_SQL, NOW
 from .fixtures import over, view
@@ -116,6 +116,9 @@ def _(spark, sf):
     ]
     for part in parts:
         columns = [F.col(c).cast(tx.schema[c].dataType).alias(c) for c in tx.columns]
-        part.select(*columns, "release").write.mode("append").partitionBy("year", "release").parquet(landing)
-        streaming.sales_refresh_stream(spark, landing, tables, landing + "-checkpoint", NOW)
+        with shuffles_removed(spark):
+            part.select(*columns, "release").write.mode("append").option("compression", "zstd").partitionBy(
+                "year", "release").parquet(landing)
+        # nobody reads the store in between
+        streaming.sales_refresh_stream(spark, landing, tables, landing + "-checkpoint", NOW, keep_replaced=False)
     return plain(sinks.read_city_stats(spark, tables["store"]).drop("updated_at"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import _file_system, folder_names, remove_folder
+from ..session import _file_system, folder_names, remove_folder, shuffles_removed
 
 HEADS = "_heads"
 ROW_GROUP = 16 << 20
@@ -110,7 +110,8 @@ class YearStore:
         writer = spread.drop(*aside).observe(written, F.count(F.lit(1)).alias("rows")).withColumn("folder", F.lit(f"f{folder}")).write
         if by:
             writer = writer.option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", PAGE_ROWS)
-        writer.mode("append").partitionBy("year", "folder", *inner).parquet(f"{self.root}/{part}")
+        with shuffles_removed(df.sparkSession):
+            writer.mode("append").option("compression", "zstd").partitionBy("year", "folder", *inner).parquet(f"{self.root}/{part}")
         return written.get["rows"]
 
     def written_years(self, part: str, folder: str, years: Iterable[int]) -> list[int]:

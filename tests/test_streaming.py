@@ -166,3 +166,40 @@ def test_each_batch_writes_only_the_jobs_it_changes(spark, tmp_path, monkeypatch
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["changed=4", "full=3"]
     aside = spark.read.parquet(late)
     assert [r["job"] for r in aside.collect()] == ["j7"]  # three seconds, with the newest at 101
+
+
+def test_large_years_are_taken_one_by_one_and_replaced_ones_removed(spark, tmp_path, monkeypatch):
+    from terrascope.streaming import drains
+
+    groups, whole = [], drains.publish_years
+    monkeypatch.setattr(drains, "publish_years", lambda store, rows, years, *rest: groups.append(years) or whole(store, rows, years, *rest))
+    landing, store = str(tmp_path / "landing"), sinks.YearStore(spark, str(tmp_path / "store"))
+
+    def land(release, **options):
+        rows = lots(spark, [(10 * release, 2018, 100000), (10 * release + 1, 2019, 100000)])
+        rows.withColumn("release", F.lit(release)).write.mode("append").partitionBy("year", "release").parquet(landing)
+        streaming.sales_refresh_stream(spark, landing, {"store": store.root}, str(tmp_path / "c"), NOW, **options)
+
+    def held():
+        return [len(list((tmp_path / "store/lots" / f"year={y}").glob("folder=*"))) for y in (2018, 2019)]
+
+    land(1)
+    land(2)
+    assert groups == [[2018, 2019], [2018, 2019]] and held() == [2, 2]
+    monkeypatch.setattr(drains, "GROUP_BYTES", 1)
+    land(3, keep_replaced=False)
+    assert groups[2:] == [[2018], [2019]] and held() == [1, 1]
+    assert sorted(r["id"] for r in store.read("lots").collect()) == [30, 31]
+    assert {r["year"]: r["transaction_count"] for r in sinks.read_city_stats(spark, store.root).collect()} == {2018: 1, 2019: 1}
+
+
+def test_a_store_leaves_no_shuffle_files(spark, tmp_path):
+    import pathlib
+
+    def files():
+        at = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+        return {f.name for d in at for f in pathlib.Path(d.getPath()).rglob("shuffle_*.data")}
+
+    before = files()
+    sinks.YearStore(spark, str(tmp_path)).write("lots", lots(spark, [(i, 2019, 100) for i in range(50)]), "a", sort=["id"], by=["id"])
+    assert not files() - before
