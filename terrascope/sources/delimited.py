@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MALFORMED = "_malformed"
+_NO_SEP = "\u0001"
 
 
 def positional_schema(n: int) -> str:
@@ -29,6 +30,18 @@ def enough_fields(malformed: Column, sep: str, min_fields: int) -> Column:
     return malformed.isNull() | (field_count(malformed, sep) >= min_fields)
 
 
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines of delimited files, unparsed, as column `line`; the first line of every file is a header."""
+    raw = (
+        spark.read.schema(f"line STRING, {_MALFORMED} STRING")
+        .options(**(csv_options(_NO_SEP) | {"quote": "\u0000"}))
+        .option("header", True)
+        .option("columnPruning", False)
+        .csv(path)
+    )
+    return raw.select(F.coalesce(_MALFORMED, "line").alias("line"))  # one that has the separator is kept as it was
+
+
 def read_positional(
     spark: SparkSession, path: str | list[str], width: int, min_fields: int, sep: str = ","
 ) -> DataFrame:

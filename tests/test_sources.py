@@ -273,3 +273,27 @@ def test_zip_entries_are_dealt_over_tasks_and_lines_parsed_once(spark, tmp_path)
     parsed = sources.sales._named(sources.delimited.parse_positional(lines, 40, 38))
     plan = sources.clean_sales(parsed).filter("year = 2019")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_csv") == 1
+
+
+def test_only_lines_of_the_year_are_parsed(spark, tmp_path, monkeypatch):
+    from terrascope.sources import sales as X
+
+    def line(*first, width=40):
+        return ",".join([*first, *[""] * (width - len(first))])
+
+    rows = [
+        line("a", "2019-05-06", "", "Vente", "1,5"), line("b", "2018-05-06", "", "Vente", "2"),
+        line("c", '"20""19-05-06"', "", "Vente", '"1,5"'), line("d", " 2019-05-06 ", "", "Vente\u0001x", "3"),
+        line("e", "2019-05-06", "", "Vente", "4", width=20), line("f", "2019-05-06", "", '"Vente, en bloc"', "5", width=39),
+        line("g", "2018-05-06", "", "Vente 2019-1", "6"), "", "   ", line("h", "2019-05-06", "", "Vente", '"7'),
+    ]
+    for k, end in enumerate(("\n", "\r\n")):
+        header = line("h0", "2019-05-06", "", "Vente", "9")  # a header is no data, whatever it says
+        (tmp_path / f"{k}.csv").write_bytes((end.join([header, *rows]) + end).encode())
+    cities = spark.createDataFrame([("75001",)], "insee_code string")
+    whole, seen = X.parse_positional, []
+    monkeypatch.setattr(X, "parse_positional", lambda lines, *rest: seen.append(lines) or whole(lines, *rest))
+    got = [tuple(r) for r in X.import_sales(spark, str(tmp_path), 2019, cities).collect()]
+    expected = [tuple(r) for r in X._finish(X.scan_sales_positions(spark, str(tmp_path)), 2019, cities).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert len(got) > 6 and seen[0].count() == 14
