@@ -57,8 +57,11 @@ def with_places(lots: DataFrame, places: DataFrame, key: str, how: str) -> DataF
     in a task, so any order gives the same join.
     """
     given_places = places.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key)
-    blocks = given_places.withColumn("_block", F.floor(F.monotonically_increasing_id() / PLACES)).groupBy(key, "_block").agg(
-        F.collect_list(F.struct(*[c for c in places.columns if c != key])).alias("_places")).drop("_block")
+    place = F.struct(*[c for c in places.columns if c != key])
+    # a place of a block has a number of its own below PLACES, so a block cannot grow over it
+    slots = [F.max(F.when(F.col("_at") % PLACES == k, place)) for k in range(PLACES)]
+    blocks = given_places.withColumn("_at", F.monotonically_increasing_id()).groupBy(
+        key, F.floor(F.col("_at") / PLACES).alias("_block")).agg(F.array_compact(F.array(*slots)).alias("_places")).drop("_block")
     spread = F.inline("_places") if how == "inner" else F.inline_outer("_places")
     return lots.join(blocks, key, how).select(key, *[c for c in lots.columns if c != key], spread)
 
